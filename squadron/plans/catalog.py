@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from squadron.plans import stats_queries, transfer_queries, weekly  # noqa: F401
+from squadron.plans import player_queries, stats_queries, transfer_queries, weekly  # noqa: F401
 from squadron.plans.registry import REGISTRY  # noqa: F401
