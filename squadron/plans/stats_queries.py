@@ -50,8 +50,7 @@ def q_outliers(spark, sf_dir):
     return stats.outliers(ws_of(t), t.league)
 
 
-@register("outliers_reported", with_views(
-    """SELECT g.league_id, g.gameweek, e.entry_id AS exceptional_entry, e.team_name AS exceptional_team,
+OUT_REP_BODY = """SELECT g.league_id, g.gameweek, e.entry_id AS exceptional_entry, e.team_name AS exceptional_team,
               e.score AS exceptional_score, a.entry_id AS abysmal_entry, a.team_name AS abysmal_team,
               a.score AS abysmal_score, g.league_average
        FROM (SELECT league_id, gameweek, max(league_average) AS league_average FROM o GROUP BY ALL) g
@@ -60,7 +59,11 @@ def q_outliers(spark, sf_dir):
               ON e.league_id = g.league_id AND e.gameweek = g.gameweek
        LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY league_id, gameweek ORDER BY score, entry_id DESC) AS rn
                   FROM o WHERE kind = 'abysmal') WHERE rn = 1) a
-              ON a.league_id = g.league_id AND a.gameweek = g.gameweek""",
+              ON a.league_id = g.league_id AND a.gameweek = g.gameweek"""
+
+
+@register("outliers_reported", with_views(
+    OUT_REP_BODY,
     *WS_VIEWS, extra=(*WS_CTES, ST, OUT)), "A6 Q10")
 def q_outliers_reported(spark, sf_dir):
     t = tables(spark, sf_dir)
@@ -154,8 +157,7 @@ def q_auto_sub_points(spark, sf_dir):
     return bench.auto_sub_points(t.auto_sub, t.score)
 
 
-@register("jammy_points", with_views(
-    """SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entry_id, m.entry_name AS team_name,
+JAMMY_BODY = """SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entry_id, m.entry_name AS team_name,
               coalesce(x.auto_sub_in, CAST([] AS BIGINT[])) AS sub_in,
               coalesce(x.auto_sub_out, CAST([] AS BIGINT[])) AS sub_out, x.pts AS points
        FROM (SELECT j.league_id, j.gameweek, j.entry_id, a.auto_sub_in, a.auto_sub_out,
@@ -164,14 +166,17 @@ def q_auto_sub_points(spark, sf_dir):
                                        ORDER BY coalesce(a.auto_sub_in_points, 0) DESC, j.entry_id) AS k
              FROM j1 j LEFT JOIN asp a ON a.entry_id = j.entry_id AND a.gameweek = j.gameweek) x
        LEFT JOIN league m ON m.league_id = x.league_id AND m.entry = x.entry_id
-       WHERE x.k <= 3""", *J1_VIEWS, "auto_sub", extra=(*J1_CTES, ASP)), "T5")
+       WHERE x.k <= 3"""
+
+
+@register("jammy_points", with_views(
+    JAMMY_BODY, *J1_VIEWS, "auto_sub", extra=(*J1_CTES, ASP)), "T5")
 def q_jammy(spark, sf_dir):
     t = tables(spark, sf_dir)
     return bench.jammy_points(j1_of(t), t.auto_sub, t.score, t.league)
 
 
-@register("most_points_on_bench", with_views(
-    """SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entry_id, m.entry_name AS team_name,
+MPOB_BODY = """SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entry_id, m.entry_name AS team_name,
               coalesce((SELECT list(p.player_id ORDER BY p.position) FROM pick p
                         WHERE p.entry_id = x.entry_id AND p.gw = x.gameweek AND p.multiplier = 0),
                        CAST([] AS BIGINT[])) AS players,
@@ -180,18 +185,25 @@ def q_jammy(spark, sf_dir):
                     row_number() OVER (PARTITION BY league_id, gameweek ORDER BY points_on_bench DESC NULLS LAST, entry_id) AS k
              FROM j1) x
        LEFT JOIN league m ON m.league_id = x.league_id AND m.entry = x.entry_id
-       WHERE x.k <= 3""", *J1_VIEWS, extra=J1_CTES), "T6")
+       WHERE x.k <= 3"""
+
+
+@register("most_points_on_bench", with_views(
+    MPOB_BODY, *J1_VIEWS, extra=J1_CTES), "T6")
 def q_most_points_on_bench(spark, sf_dir):
     t = tables(spark, sf_dir)
     return bench.most_points_on_bench(j1_of(t), t.pick, t.league)
 
 
-@register("most_benched", with_views(
-    """SELECT c.league_id, c.gameweek, c.player_id, c.count, CAST(coalesce(s.total_points, 0) AS INTEGER) AS points
+MOST_BENCHED_BODY = """SELECT c.league_id, c.gameweek, c.player_id, c.count, CAST(coalesce(s.total_points, 0) AS INTEGER) AS points
        FROM (SELECT j.league_id, j.gameweek, p.player_id, count(*) AS count
              FROM j1 j JOIN pick p ON p.entry_id = j.entry_id AND p.gw = j.gameweek AND p.multiplier = 0
              GROUP BY ALL) c
-       LEFT JOIN score s ON s.player_id = c.player_id AND s.gameweek = c.gameweek""",
+       LEFT JOIN score s ON s.player_id = c.player_id AND s.gameweek = c.gameweek"""
+
+
+@register("most_benched", with_views(
+    MOST_BENCHED_BODY,
     *J1_VIEWS, extra=J1_CTES), "A9")
 def q_most_benched(spark, sf_dir):
     t = tables(spark, sf_dir)

@@ -98,9 +98,12 @@ def q_j1(spark, sf_dir):
     return j1_of(tables(spark, sf_dir)).select(*J1_COLS)
 
 
+CHIP_BODY = """SELECT league_id, gameweek, active_chip, count(*) AS count FROM j1
+       WHERE active_chip IS NOT NULL GROUP BY ALL"""
+
+
 @register("chip_usage", with_views(
-    """SELECT league_id, gameweek, active_chip, count(*) AS count FROM j1
-       WHERE active_chip IS NOT NULL GROUP BY ALL""", *J1_VIEWS, extra=J1_CTES), "A2")
+    CHIP_BODY, *J1_VIEWS, extra=J1_CTES), "A2")
 def q_chip_usage(spark, sf_dir):
     return transfers.chip_usage(j1_of(tables(spark, sf_dir)))
 
@@ -138,17 +141,21 @@ def q_least(spark, sf_dir):
     return a.unionByName(b)
 
 
-def _leader_sql(best):
+def _leader_body(best):
     order = "delta DESC, entry_id" if best else "delta ASC, entry_id"
     k = 3 if best else 2
-    return with_views(f"""SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entry_id, m.entry_name AS team_name,
+    return f"""SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entry_id, m.entry_name AS team_name,
               x.element_in[1] AS player_in, x.element_out[1] AS player_out, x.delta AS points_delta
        FROM (SELECT j.*, row_number() OVER (PARTITION BY league_id, gameweek ORDER BY {order}) AS k
              FROM j1 j WHERE active_chip IS NULL AND has_transfer
                AND (SELECT count(*) FROM j1 c WHERE c.league_id = j.league_id AND c.gameweek = j.gameweek
                     AND c.active_chip IS NULL AND c.has_transfer) > 2) x
        LEFT JOIN league m ON m.league_id = x.league_id AND m.entry = x.entry_id
-       WHERE x.k <= {k}""", *J1_VIEWS, extra=J1_CTES)
+       WHERE x.k <= {k}"""
+
+
+def _leader_sql(best):
+    return with_views(_leader_body(best), *J1_VIEWS, extra=J1_CTES)
 
 
 @register("best_transfer_in", _leader_sql(True), "T3 T9")
@@ -202,21 +209,27 @@ def q_weeks_without(spark, sf_dir):
     return transfers.weeks_without_transfers(t.transfer, members_of(t), current_week(t))
 
 
-@register("rank_risers", with_views(
-    """SELECT league_id, gw AS gameweek, CAST(k AS INTEGER) AS k, entry AS entry_id, rank AS current_rank,
+RISE_BODY = """SELECT league_id, gw AS gameweek, CAST(k AS INTEGER) AS k, entry AS entry_id, rank AS current_rank,
               last_rank AS prev_rank, rank_delta, player_name AS participant_name
        FROM (SELECT *, CAST(last_rank - rank AS INTEGER) AS rank_delta,
                     row_number() OVER (PARTITION BY league_id, gw ORDER BY last_rank - rank DESC, entry) AS k
-             FROM standings WHERE last_rank - rank > 0) WHERE k <= 3""", "standings"), "T1 W3")
+             FROM standings WHERE last_rank - rank > 0) WHERE k <= 3"""
+
+
+@register("rank_risers", with_views(
+    RISE_BODY, "standings"), "T1 W3")
 def q_risers(spark, sf_dir):
     return ranking.rank_movers(tables(spark, sf_dir).standings, "rise")
 
 
-@register("rank_fallers", with_views(
-    """SELECT league_id, gw AS gameweek, CAST(k AS INTEGER) AS k, entry AS entry_id, rank AS current_rank,
+FALL_BODY = """SELECT league_id, gw AS gameweek, CAST(k AS INTEGER) AS k, entry AS entry_id, rank AS current_rank,
               last_rank AS prev_rank, rank_delta, player_name AS participant_name
        FROM (SELECT *, CAST(last_rank - rank AS INTEGER) AS rank_delta,
                     row_number() OVER (PARTITION BY league_id, gw ORDER BY last_rank - rank ASC, entry) AS k
-             FROM standings WHERE last_rank - rank < 0) WHERE k <= 3""", "standings"), "T2 W3")
+             FROM standings WHERE last_rank - rank < 0) WHERE k <= 3"""
+
+
+@register("rank_fallers", with_views(
+    FALL_BODY, "standings"), "T2 W3")
 def q_fallers(spark, sf_dir):
     return ranking.rank_movers(tables(spark, sf_dir).standings, "fall")

@@ -19,9 +19,12 @@ def ws_of(t):
     return picks.weekly_scores(t.entry, t.pick, t.score, t.league)
 
 
+CAPTAIN_BODY = """SELECT league_id, gameweek, captain, count(*) AS count FROM ws
+       WHERE captain IS NOT NULL GROUP BY league_id, gameweek, captain"""
+
+
 @register("captain_counts", with_views(
-    """SELECT league_id, gameweek, captain, count(*) AS count FROM ws
-       WHERE captain IS NOT NULL GROUP BY league_id, gameweek, captain""",
+    CAPTAIN_BODY,
     *WS_VIEWS, extra=WS_CTES), "A1")
 def q_captain_counts(spark, sf_dir):
     return captains.captain_counts(ws_of(tables(spark, sf_dir)))
