@@ -14,6 +14,8 @@ auto-sub line number 7.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +34,10 @@ CHIP_BY_PRIORITY = {"1-URGENT": "wildcard", "2-HIGH": "freehit"}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events")
 
+# Domain tables written once per session and data version (see ``tables``).
+DOMAIN_VIEWS = ("league", "pick", "auto_sub", "score", "entry", "standings", "transfer",
+                "player", "fixture", "team")
+
 
 def days(c: Column) -> Column:
     return F.datediff(c.cast("date"), F.lit(BASE_DATE).cast("date"))
@@ -47,6 +53,8 @@ class TestTables:
 
     spark: SparkSession
     sf_dir: str
+    materialize: bool = False
+    store: str | None = None
     _cache: dict = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
@@ -57,9 +65,26 @@ class TestTables:
 
     def _view(self, name, build):
         if name not in self._cache:
-            self._cache[name] = build()
+            df = build()
+            if self.materialize and name in DOMAIN_VIEWS:
+                df = self._write_read(name, df)
+            self._cache[name] = df
         return self._cache[name]
 
+    def _write_read(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a domain table as parquet into the shared store and read it
+        back: later plans start from a short, columnar scan with real size
+        statistics (so broadcast decisions are checked against actual bytes)."""
+        path = f"{self.store}/{name}"
+        if not _exists(self.spark, f"{path}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def materialize_all(self) -> "TestTables":
+        for v in DOMAIN_VIEWS:
+            getattr(self, v)
+        return self
+
     # -- orders with their gameweek ------------------------------------
     @property
     def ord(self) -> DataFrame:
@@ -246,5 +271,39 @@ class TestTables:
             F.concat(F.lit("TEAM_"), F.col("id").cast("string")).alias("name")))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> TestTables:
-    return TestTables(spark, sf_dir)
+_SHARED: dict = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(jpath)
+
+
+def _data_version(sf_dir: str) -> str:
+    """Fingerprint of the input files, so a changed input never reuses an
+    old domain store."""
+    h = hashlib.sha1(sf_dir.encode())
+    for t in TABLES:
+        p = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(p):
+            st = os.stat(p)
+            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
+    return h.hexdigest()[:16]
+
+
+def tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> TestTables:
+    """Domain tables for ``sf_dir``, shared by every query of the session.
+
+    With ``materialize`` (the default) each domain table is written once to
+    ``<checkpoint dir>/domain/<data version>/`` and read back from there."""
+    from squadron.session import checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir, materialize)
+    if key not in _SHARED:
+        store = None
+        if materialize:
+            store = f"{checkpoint_dir(spark).rstrip('/')}/domain/{_data_version(sf_dir)}"
+        _SHARED[key] = TestTables(spark, sf_dir, materialize, store)
+    return _SHARED[key]
