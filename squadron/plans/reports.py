@@ -5,7 +5,8 @@ The report is tidy: one row per report item, ``section`` naming the part.
 Every (league, week) with a fielded squad has at least its ``league_name``
 row, so empty parts never drop a group.  The shared frames (weekly scores and
 the entry/transfer join) can be cut from their lineage with a reliable
-checkpoint (``materialize=True``) so the twelve parts reuse them.
+stage table in the shared checkpoint folder (``materialize=True``) so the
+parts reuse them instead of recomputing them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from squadron.operators import bench, captains, stats, transfers
 from squadron.operators.picks import G, weekly_scores
 from squadron.operators.ranking import rank_movers
-from squadron.session import cut_lineage
+from squadron.session import stage_table
 
 LONG_SCHEMA = [("league_id", "int"), ("gameweek", "int"), ("section", "string"), ("k", "int"),
                ("entry_id", "bigint"), ("player_id", "bigint"), ("team_name", "string"),
@@ -45,15 +46,15 @@ def _long(df: DataFrame, section: str, **cols) -> DataFrame:
     return df.select(*out)
 
 
-def league_weekly_report(t, population: str = "transferred", materialize: bool = False) -> DataFrame:
+def league_weekly_report(t, population: str = "transferred", materialize: bool = True) -> DataFrame:
     """R1 over all leagues and weeks.  ``t`` provides the domain tables
     (entry, pick, score, league, standings, transfer, auto_sub)."""
     ws = weekly_scores(t.entry, t.pick, t.score, t.league)
     if materialize:
-        ws = cut_lineage(ws)
+        ws = stage_table(ws, "weekly_scores")
     j1 = transfers.entry_transfer_join(ws, t.transfer, t.score, t.league, population)
     if materialize:
-        j1 = cut_lineage(j1)
+        j1 = stage_table(j1, "entry_transfer_join")
     league = t.league
     rep = stats.outliers_reported(ws, league)
     parts = [

@@ -35,7 +35,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events")
 
 # Domain tables written once per session and data version (see ``tables``).
-DOMAIN_VIEWS = ("league", "pick", "auto_sub", "score", "entry", "standings", "transfer",
+DOMAIN_VIEWS = ("league", "pick0", "pick", "auto_sub", "score", "entry", "standings", "transfer",
                 "player", "fixture", "team")
 
 
@@ -118,10 +118,18 @@ class TestTables:
 
     @property
     def pick0(self) -> DataFrame:
+        """lineitem x orders aggregated once per (entry, week, player): the
+        pick rule's (min line number, min return flag) plus the partial sums
+        that ``score`` adds up per (player, week) -- one join for both.  The
+        return flag is a one-character code, so its min is taken over the
+        code point, which keeps the aggregate hash-based."""
         return self._view("pick0", lambda: (
             self._line_ord.groupBy(F.col("o_custkey").alias("entry_id"), "gw",
                                    F.col("l_partkey").alias("player_id"))
-            .agg(F.min("l_linenumber").alias("ln"), F.min("l_returnflag").alias("flag"))))
+            .agg(F.min("l_linenumber").alias("ln"),
+                 F.expr("chr(min(ascii(l_returnflag)))").alias("flag"),
+                 F.sum("l_quantity").alias("qty"), F.sum("l_linenumber").alias("lines"),
+                 F.count(F.lit(1)).alias("n"))))
 
     @property
     def pick(self) -> DataFrame:
@@ -152,11 +160,10 @@ class TestTables:
         expected-goal and ICT stats are derived by fixed integer rules so that
         decimal sums are exact in both engines."""
         def build():
-            qty = F.sum("l_quantity").cast("bigint")
-            lines = F.sum("l_linenumber")
-            n = F.count(F.lit(1))
-            g = self._line_ord.groupBy(F.col("l_partkey").alias("player_id"),
-                                       F.col("gw").alias("gameweek"))
+            qty = F.sum("qty").cast("bigint")
+            lines = F.sum("lines")
+            n = F.sum("n")
+            g = self.pick0.groupBy("player_id", F.col("gw").alias("gameweek"))
             s = g.agg(
                 (qty % 20 - 3).cast("int").alias("total_points"),
                 F.when(lines % 4 == 0, 0).otherwise(90).cast("int").alias("minutes"),
@@ -185,10 +192,13 @@ class TestTables:
     @property
     def entry(self) -> DataFrame:
         def build():
-            prio = F.min("o_orderpriority")
+            # min(o_orderpriority) via the leading digit's code point: the
+            # priorities start with distinct digits 1-5, and an integer min
+            # keeps the aggregate hash-based (a string min forces a sort).
+            prio = F.min(F.ascii("o_orderpriority"))
             chip = F.lit(None).cast("string")
             for k, v in reversed(list(CHIP_BY_PRIORITY.items())):
-                chip = F.when(prio == k, v).otherwise(chip)
+                chip = F.when(prio == ord(k[0]), v).otherwise(chip)
             okey = F.min("o_orderkey")
             pts = (F.when(okey % 97 == 0, -120).when(okey % 101 == 0, 260)
                    .otherwise(F.floor(F.max("o_totalprice") / 5000)).cast("int"))
