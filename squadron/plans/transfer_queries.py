@@ -57,8 +57,8 @@ J1_COLS = ["league_id", "gameweek", "entry_id", "active_chip", "total_points", "
 SPAN = [8, 10, 3]  # the reference's span fixture
 
 
-def j1_of(t):
-    return transfers.entry_transfer_join(ws_of(t), t.transfer, t.score, t.league)
+def j1_of(t, rank: bool = False):
+    return transfers.entry_transfer_join(ws_of(t, rank), t.transfer, t.score, t.league)
 
 
 def current_week(t):
@@ -95,7 +95,7 @@ def q_transfer_delta(spark, sf_dir):
 @register("entry_transfer_join", with_views(
     f"SELECT {', '.join(J1_COLS)} FROM j1", *J1_VIEWS, extra=J1_CTES), "J1 F5")
 def q_j1(spark, sf_dir):
-    return j1_of(tables(spark, sf_dir)).select(*J1_COLS)
+    return j1_of(tables(spark, sf_dir), rank=True).select(*J1_COLS)
 
 
 CHIP_BODY = """SELECT league_id, gameweek, active_chip, count(*) AS count FROM j1

@@ -15,8 +15,9 @@ WS_COLS = ["league_id", "gameweek", "entry_id", "total_points", "active_chip", "
            "vice_captain_points", "missing_players", "rank"]
 
 
-def ws_of(t):
-    return picks.weekly_scores(t.entry, t.pick, t.score, t.league)
+def ws_of(t, rank: bool = False):
+    """Weekly league frame; the W1 rank only where a query outputs it."""
+    return picks.weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=rank)
 
 
 CAPTAIN_BODY = """SELECT league_id, gameweek, captain, count(*) AS count FROM ws
@@ -33,14 +34,14 @@ def q_captain_counts(spark, sf_dir):
 @register("weekly_scores", with_views(
     f"SELECT {', '.join(WS_COLS)} FROM ws", *WS_VIEWS, extra=WS_CTES), "F4 J3 W1")
 def q_weekly_scores(spark, sf_dir):
-    return ws_of(tables(spark, sf_dir)).select(*WS_COLS)
+    return ws_of(tables(spark, sf_dir), rank=True).select(*WS_COLS)
 
 
 @register("weekly_rank_position", with_views(
     "SELECT league_id, gameweek, entry_id, total_points, rank FROM ws",
     *WS_VIEWS, extra=WS_CTES), "W1")
 def q_rank_position(spark, sf_dir):
-    return picks.rank_position(ws_of(tables(spark, sf_dir)))
+    return picks.rank_position(ws_of(tables(spark, sf_dir), rank=True))
 
 
 @register("weekly_rank_avg", with_views(
