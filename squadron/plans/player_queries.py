@@ -287,3 +287,97 @@ def q_league_shield(spark, sf_dir):
 def q_common_players(spark, sf_dir):
     t = tables(spark, sf_dir)
     return participants.common_players(ws_of(t), t.pick)
+
+
+# ---- A23 season wrap, all sections ----------------------------------------
+def _season_sql(section: str, body: str, **cols) -> str:
+    from squadron.operators.participants import SEASON_SCHEMA
+    from squadron.plans.report_queries import DUCK_TYPES
+    sel = []
+    for name, typ in SEASON_SCHEMA:
+        if name == "section":
+            sel.append(f"'{section}' AS section")
+        elif name in cols:
+            sel.append(f"CAST({cols[name]} AS {DUCK_TYPES[typ]}) AS {name}")
+        elif name == "entry_id":
+            sel.append("CAST(entry_id AS BIGINT) AS entry_id")
+        else:
+            sel.append(f"CAST(NULL AS {DUCK_TYPES[typ]}) AS {name}")
+    return f"SELECT {', '.join(sel)} FROM ({body})"
+
+
+def _season_parts():
+    parts = [
+        _season_sql("captain", "SELECT entry_id, player_id, count(*) AS n FROM pick WHERE is_captain GROUP BY ALL",
+                    player_id="player_id", value="n"),
+        _season_sql("promoted_vice", """SELECT r.entry_id, r.vice, count(*) AS n, sum(coalesce(s.total_points * 2, 0)) AS p
+            FROM (SELECT entry_id, gw, max(CASE WHEN is_captain THEN player_id END) AS cap,
+                         max(CASE WHEN is_vice_captain THEN player_id END) AS vice FROM pick GROUP BY entry_id, gw) r
+            LEFT JOIN score c ON c.player_id = r.cap AND c.gameweek = r.gw
+            LEFT JOIN score s ON s.player_id = r.vice AND s.gameweek = r.gw
+            WHERE r.cap IS NOT NULL AND r.vice IS NOT NULL AND coalesce(c.minutes, 0) = 0
+            GROUP BY r.entry_id, r.vice""", player_id="vice", value="p", value2="n"),
+        _season_sql("used_chips", "SELECT DISTINCT entry_id, active_chip FROM e WHERE active_chip IS NOT NULL",
+                    label="active_chip"),
+        _season_sql("exceptional", "SELECT e.* FROM e JOIN est USING (entry_id) WHERE total_points = mx",
+                    gameweek="gameweek", value="total_points"),
+        _season_sql("abysmal", "SELECT e.* FROM e JOIN est USING (entry_id) WHERE total_points < q1 - 1.5 * (q3 - q1)",
+                    gameweek="gameweek", value="total_points"),
+        _season_sql("season_average", "SELECT * FROM est", average="avg"),
+    ]
+    for col, tag in (("element_out", "transferred_out"), ("element_in", "transferred_in")):
+        for least in (False, True):
+            order = "ASC" if least else "DESC"
+            parts.append(_season_sql(("least_" if least else "most_") + tag, f"""SELECT * FROM (
+                SELECT entry_id, {col}, count(*) AS n,
+                       row_number() OVER (PARTITION BY entry_id ORDER BY count(*) {order}, {col}) AS k
+                FROM w GROUP BY entry_id, {col}) WHERE k <= 3""", k="k", detail=col, value="n"))
+    for best in (True, False):
+        order, kk = ("delta DESC", 3) if best else ("delta ASC", 2)
+        parts.append(_season_sql("best_transfer_in" if best else "worst_transfer_in", f"""SELECT * FROM (
+            SELECT nc.*, row_number() OVER (PARTITION BY entry_id ORDER BY {order}, gameweek) AS k FROM nc
+            WHERE (SELECT count(*) FROM nc c WHERE c.entry_id = nc.entry_id) > 2) WHERE k <= {kk}""",
+            k="k", gameweek="gameweek", detail="element_in", detail2="element_out", value="delta"))
+    parts.append(_season_sql("most_points_on_bench", """SELECT x.*, coalesce((SELECT list(p.player_id ORDER BY p.position)
+            FROM pick p WHERE p.entry_id = x.entry_id AND p.gw = x.gameweek AND p.multiplier = 0),
+            CAST([] AS BIGINT[])) AS players FROM (
+            SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY points_on_bench DESC, gameweek) AS k
+            FROM e WHERE points_on_bench IS NOT NULL) x WHERE k <= 3""",
+            k="k", gameweek="gameweek", detail="players", value="points_on_bench"))
+    parts.append(_season_sql("lucky_week", """SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY auto_sub_in_points DESC, gameweek) AS k
+            FROM asp WHERE gameweek <= (SELECT max(gw) FROM entry)) WHERE k <= 3""",
+            k="k", gameweek="gameweek", detail="auto_sub_in", detail2="auto_sub_out", value="auto_sub_in_points"))
+    ext = """SELECT entry_id, first(gameweek ORDER BY total_points DESC, gameweek) AS hg, max(total_points) AS hv,
+                    first(gameweek ORDER BY total_points ASC, gameweek) AS lg, min(total_points) AS lv
+             FROM e GROUP BY entry_id"""
+    parts.append(_season_sql("highest_point", ext, gameweek="hg", value="hv"))
+    parts.append(_season_sql("lowest_point", ext, gameweek="lg", value="lv"))
+    return parts
+
+
+def _season_report_sql():
+    from squadron.plans.stats_queries import ASP
+    from squadron.plans.transfer_queries import MEMBERS, SPINE, TA, TA_LONG
+    e = ("e", """SELECT entry_id, gw AS gameweek, active_chip, total_points, points_on_bench FROM entry
+                 WHERE gw <= (SELECT max(gw) FROM entry)""")
+    est = ("est", """SELECT entry_id, quantile_cont(total_points, 0.25) AS q1, quantile_cont(total_points, 0.75) AS q3,
+                     max(total_points) AS mx, avg(total_points) AS avg FROM e GROUP BY entry_id""")
+    pw = ("pw", """SELECT s.entry_id, s.gameweek,
+              coalesce(ta.element_in, CAST([] AS BIGINT[])) AS element_in,
+              coalesce(ta.element_out, CAST([] AS BIGINT[])) AS element_out,
+              coalesce(ta.transfers, 0) AS transfers, coalesce(ta.delta, 0) AS delta
+       FROM spine s LEFT JOIN ta ON ta.entry_id = s.entry_id AND ta.gameweek = s.gameweek""")
+    w = ("w", "SELECT pw.*, e.active_chip, e.total_points, e.points_on_bench FROM pw LEFT JOIN e USING (entry_id, gameweek)")
+    nc = ("nc", "SELECT * FROM w WHERE active_chip IS NULL AND transfers > 0")
+    return with_views("\nUNION ALL\n".join(_season_parts()), "entry", "pick", "score", "transfer",
+                      "auto_sub", "league",
+                      extra=(TA_LONG, TA, MEMBERS, SPINE, e, est, pw, w, nc, ASP))
+
+
+@register("season_wrap_report", _season_report_sql(), "A23 A6 A3 A4 T8 T3 T4 T6 T5 A24")
+def q_season_wrap_report(spark, sf_dir):
+    from squadron.plans.transfer_queries import members_of
+    t = tables(spark, sf_dir)
+    return participants.season_wrap_report(t.entry, t.pick, t.score, t.transfer, t.auto_sub,
+                                           members_of(t), current_week(t))
