@@ -53,6 +53,17 @@ def player_frequency(pick: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
+def most_owned(ws: DataFrame, pick: DataFrame, k: int = 3) -> DataFrame:
+    """A19 per league: the ``k`` players in most squads of each (league,
+    week); ties by player id.  Owner counts are partial aggregates and the
+    top-k is a group limit, so a huge league is never one task."""
+    p = pick.select("entry_id", F.col("gw").alias("gameweek"), "player_id")
+    owned = (ws.select(*G, "entry_id").join(p, ["entry_id", "gameweek"])
+             .groupBy(*G, "player_id").agg(F.count(F.lit(1)).alias("owners")))
+    return top_k(owned, G, [F.col("owners").desc(), F.col("player_id")], k).select(
+        *G, "k", "player_id", "owners")
+
+
 def season_wrap(entry: DataFrame, pick: DataFrame, score: DataFrame) -> DataFrame:
     """A23 (inferred from saved season reports): per entry the season
     average, highest and lowest week (ties: earliest), chips used, most

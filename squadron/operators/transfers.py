@@ -113,27 +113,35 @@ def transfer_counts(j1: DataFrame, column: str) -> DataFrame:
 
 
 def most_transferred(j1: DataFrame, direction: str = "out", k: int = 3,
-                     least: bool = False) -> DataFrame:
+                     least: bool = False, per_player: bool = False) -> DataFrame:
     """A3 / A4 (most) and T8 (least): top ``k`` whole lists by count,
-    showing each list's first player; ties by that player (Q11, Q12)."""
+    showing each list's first player; ties by that player (Q11, Q12).
+    ``per_player`` counts each listed player instead of whole lists (Q4)."""
     column = "element_out" if direction == "out" else "element_in"
-    c = transfer_counts(j1, column).withColumn("player", first_item(column))
+    if per_player:
+        single = (j1.select(*G, F.explode(column).alias("__p"))
+                  .select(*G, F.array("__p").alias(column)))
+        c = transfer_counts(single, column).withColumn("player", first_item(column))
+    else:
+        c = transfer_counts(j1, column).withColumn("player", first_item(column))
     order = [F.col("count").asc() if least else F.col("count").desc(), F.col("player").asc(),
              F.col(column).asc()]
     return top_k(c, G, order, k).select(*G, "k", "player", "count")
 
 
-def transfer_leaders(j1: DataFrame, participants: DataFrame, best: bool = True) -> DataFrame:
+def transfer_leaders(j1: DataFrame, participants: DataFrame, best: bool = True,
+                     k: int | None = None) -> DataFrame:
     """T3 (best, 3 rows) / T4 (worst, 2 rows -- the reference loop stops one
     short): chip-free transfer rows by delta, only where a (league, week) has
-    more than two chip-free rows.  Ties by entry id."""
+    more than two chip-free rows.  Ties by entry id.  ``k=1`` gives the
+    single best / worst transfer (T9)."""
     nc = j1.where(F.col("active_chip").isNull() & F.col("has_transfer"))
     n = nc.groupBy(*G).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 2)
     nc = nc.join(n, G, "left_semi")
     order = [F.col("delta").desc() if best else F.col("delta").asc(), F.col("entry_id").asc()]
     names = participants.select("league_id", F.col("entry").alias("entry_id"),
                                 F.col("entry_name").alias("team_name"))
-    return (top_k(nc, G, order, 3 if best else 2)
+    return (top_k(nc, G, order, k or (3 if best else 2))
             .join(names, ["league_id", "entry_id"], "left")
             .select(*G, "k", "entry_id", "team_name",
                     first_item("element_in").alias("player_in"),

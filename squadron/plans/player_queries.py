@@ -381,3 +381,14 @@ def q_season_wrap_report(spark, sf_dir):
     t = tables(spark, sf_dir)
     return participants.season_wrap_report(t.entry, t.pick, t.score, t.transfer, t.auto_sub,
                                            members_of(t), current_week(t))
+
+
+@register("most_owned", with_views(
+    """SELECT league_id, gameweek, CAST(k AS INTEGER) AS k, player_id, owners FROM (
+         SELECT w.league_id, w.gameweek, p.player_id, count(*) AS owners,
+                row_number() OVER (PARTITION BY w.league_id, w.gameweek ORDER BY count(*) DESC, p.player_id) AS k
+         FROM ws w JOIN pick p ON p.entry_id = w.entry_id AND p.gw = w.gameweek
+         GROUP BY w.league_id, w.gameweek, p.player_id) WHERE k <= 3""", *WS_VIEWS, extra=WS_CTES), "A19")
+def q_most_owned(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return participants.most_owned(ws_of(t), t.pick)

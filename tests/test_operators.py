@@ -153,3 +153,14 @@ def test_csv_and_list_helpers(spark):
     r = spark.createDataFrame([("10, 11,,12 ",)], "s string").select(
         csv_ids("s").alias("ids"), list_sum(csv_ids("s")).alias("t")).collect()[0]
     assert r.ids == [10, 11, 12] and r.t == 33
+
+
+def test_per_player_counts_and_single_best(spark, world):
+    pick, score, entry, league = world
+    t0 = dt.datetime(2024, 1, 1)
+    tr = spark.createDataFrame([(i, e, 1, t0, 10, 11 + i % 2) for i, e in enumerate([1, 3, 5, 6])], TRANSFER)
+    lg = league.unionByName(spark.createDataFrame([(7, "L7", e, f"t{e}", f"m{e}") for e in (5, 6)], LEAGUE))
+    j1 = transfers.entry_transfer_join(weekly_scores(entry, pick, score, lg), tr, score, lg)
+    per = {r.player: r["count"] for r in transfers.most_transferred(j1, "out", per_player=True).collect()}
+    assert per == {11: 2, 12: 2}
+    assert transfers.transfer_leaders(j1, lg, True, k=1).count() == 1
