@@ -41,7 +41,7 @@ def q_player_payload(spark, sf_dir):
 @register("player_names", with_views(
     f"""SELECT p.entry_id, p.gw AS gameweek, list(pl.player_name ORDER BY p.position) AS player_names
         FROM pick p LEFT JOIN player pl ON pl.player_id = p.player_id AND pl.half = {HALF.format(g='p.gw')}
-        WHERE p.multiplier > 0 GROUP BY p.entry_id, p.gw""", "pick", "player"), "J8")
+        WHERE p.multiplier > 0 GROUP BY p.entry_id, p.gw""", "pick", "player"), "J8", list_cols=('player_names',))
 def q_player_names(spark, sf_dir):
     t = tables(spark, sf_dir)
     return players.squad_names(t.pick, t.player)
@@ -201,7 +201,7 @@ R2 = ("r2", """SELECT entry_id, gw,
         LEFT JOIN player pv ON pv.player_id = r.vice_captain AND pv.half = {HALF.format(g='r.gw')}
         LEFT JOIN player ph ON ph.player_id = r.highest_scoring_player AND ph.half = {HALF.format(g='r.gw')}
         WHERE e.gw <= (SELECT max(gw) FROM entry)""",
-    "entry", "pick", "score", "player", extra=(SQP, R2)), "R2 W4 J3 J7 F8")
+    "entry", "pick", "score", "player", extra=(SQP, R2)), "R2 W4 J3 J7 F8", list_cols=('players', 'points_breakdown'))
 def q_participant_report(spark, sf_dir):
     t = tables(spark, sf_dir)
     return participants.participant_report(t.entry, t.pick, t.score, t.player, upto=current_week(t))
@@ -234,7 +234,7 @@ def q_player_frequency(spark, sf_dir):
                   LEFT JOIN score s ON s.player_id = x.cap AND s.gameweek = x.gw
                   WHERE x.cap IS NOT NULL AND x.has_vice IS NOT NULL AND coalesce(s.minutes, 0) = 0
                   GROUP BY x.entry_id) v ON v.entry_id = e.entry_id""",
-    "entry", "pick", "score"), "A23")
+    "entry", "pick", "score"), "A23", list_cols=('chips_used',))
 def q_season_wrap(spark, sf_dir):
     t = tables(spark, sf_dir)
     return participants.season_wrap(t.entry, t.pick, t.score)
@@ -375,7 +375,7 @@ def _season_report_sql():
                       extra=(TA_LONG, TA, MEMBERS, SPINE, e, est, pw, w, nc, ASP))
 
 
-@register("season_wrap_report", _season_report_sql(), "A23 A6 A3 A4 T8 T3 T4 T6 T5 A24")
+@register("season_wrap_report", _season_report_sql(), "A23 A6 A3 A4 T8 T3 T4 T6 T5 A24", list_cols=('detail', 'detail2'))
 def q_season_wrap_report(spark, sf_dir):
     from squadron.plans.transfer_queries import members_of
     t = tables(spark, sf_dir)

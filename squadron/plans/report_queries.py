@@ -64,6 +64,6 @@ R1_PARTS = [
 
 @register("league_weekly_report", with_views(
     "\nUNION ALL\n".join(R1_PARTS), *J1_VIEWS, "standings", "auto_sub",
-    extra=(*J1_CTES, ST, OUT, ASP)), "R1")
+    extra=(*J1_CTES, ST, OUT, ASP)), "R1", list_cols=('detail', 'detail2'))
 def q_league_weekly_report(spark, sf_dir):
     return reports.league_weekly_report(tables(spark, sf_dir))

@@ -151,7 +151,7 @@ def q_extremes(spark, sf_dir):
     return stats.season_extremes(tables(spark, sf_dir).standings)
 
 
-@register("auto_sub_points", with_views("SELECT * FROM asp", "auto_sub", "score", extra=(ASP,)), "A12 Q5")
+@register("auto_sub_points", with_views("SELECT * FROM asp", "auto_sub", "score", extra=(ASP,)), "A12 Q5", list_cols=('auto_sub_in', 'auto_sub_out'))
 def q_auto_sub_points(spark, sf_dir):
     t = tables(spark, sf_dir)
     return bench.auto_sub_points(t.auto_sub, t.score)
@@ -170,7 +170,7 @@ JAMMY_BODY = """SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.ent
 
 
 @register("jammy_points", with_views(
-    JAMMY_BODY, *J1_VIEWS, "auto_sub", extra=(*J1_CTES, ASP)), "T5")
+    JAMMY_BODY, *J1_VIEWS, "auto_sub", extra=(*J1_CTES, ASP)), "T5", list_cols=('sub_in', 'sub_out'))
 def q_jammy(spark, sf_dir):
     t = tables(spark, sf_dir)
     return bench.jammy_points(j1_of(t), t.auto_sub, t.score, t.league)
@@ -189,7 +189,7 @@ MPOB_BODY = """SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entr
 
 
 @register("most_points_on_bench", with_views(
-    MPOB_BODY, *J1_VIEWS, extra=J1_CTES), "T6")
+    MPOB_BODY, *J1_VIEWS, extra=J1_CTES), "T6", list_cols=('players',))
 def q_most_points_on_bench(spark, sf_dir):
     t = tables(spark, sf_dir)
     return bench.most_points_on_bench(j1_of(t), t.pick, t.league)

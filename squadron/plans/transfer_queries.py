@@ -71,20 +71,20 @@ def members_of(t):
 
 
 @register("league_gw_transfers", with_views(
-    "SELECT entry_id, gameweek, element_in, element_out FROM t1", "transfer", extra=(T1,)), "W5 Q1")
+    "SELECT entry_id, gameweek, element_in, element_out FROM t1", "transfer", extra=(T1,)), "W5 Q1", list_cols=('element_in', 'element_out'))
 def q_single(spark, sf_dir):
     return transfers.single_transfers(tables(spark, sf_dir).transfer)
 
 
 @register("transfers_collected", with_views(
     "SELECT entry_id, gameweek, element_in, element_out FROM ta",
-    "transfer", "score", extra=(TA_LONG, TA)), "A10")
+    "transfer", "score", extra=(TA_LONG, TA)), "A10", list_cols=('element_in', 'element_out'))
 def q_collected(spark, sf_dir):
     return transfers.collected_transfers(tables(spark, sf_dir).transfer)
 
 
 @register("transfer_delta", with_views(
-    "SELECT * FROM tp", "transfer", "score", extra=(T1, TP)), "A11")
+    "SELECT * FROM tp", "transfer", "score", extra=(T1, TP)), "A11", list_cols=('element_in', 'element_out'))
 def q_transfer_delta(spark, sf_dir):
     t = tables(spark, sf_dir)
     return transfers.transfer_points(t.transfer, t.score, "single").select(
@@ -93,7 +93,7 @@ def q_transfer_delta(spark, sf_dir):
 
 
 @register("entry_transfer_join", with_views(
-    f"SELECT {', '.join(J1_COLS)} FROM j1", *J1_VIEWS, extra=J1_CTES), "J1 F5")
+    f"SELECT {', '.join(J1_COLS)} FROM j1", *J1_VIEWS, extra=J1_CTES), "J1 F5", list_cols=('element_in', 'element_out'))
 def q_j1(spark, sf_dir):
     return j1_of(tables(spark, sf_dir), rank=True).select(*J1_COLS)
 
@@ -194,7 +194,7 @@ def q_span(spark, sf_dir):
               coalesce(ta.transfer_points_out, 0) AS transfer_points_out,
               coalesce(ta.transfers, 0) AS transfers, coalesce(ta.delta, 0) AS delta
        FROM spine s LEFT JOIN ta ON ta.entry_id = s.entry_id AND ta.gameweek = s.gameweek""",
-    "transfer", "score", "league", "entry", extra=(TA_LONG, TA, MEMBERS, SPINE)), "J10 A11")
+    "transfer", "score", "league", "entry", extra=(TA_LONG, TA, MEMBERS, SPINE)), "J10 A11", list_cols=('element_in', 'element_out'))
 def q_transfer_weeks(spark, sf_dir):
     t = tables(spark, sf_dir)
     return transfers.participant_transfer_weeks(t.transfer, t.score, members_of(t), current_week(t))

@@ -62,7 +62,7 @@ def q_rank_avg(spark, sf_dir):
        WHERE p.multiplier > 0 GROUP BY p.entry_id, p.gw
        UNION ALL
        SELECT entry_id, gw, [], [], 0 FROM pick GROUP BY entry_id, gw HAVING max(multiplier) = 0""",
-    "pick", "score"), "J2 H1 H2")
+    "pick", "score"), "J2 H1 H2", list_cols=('players', 'points_breakdown'))
 def q_points_breakdown(spark, sf_dir):
     t = tables(spark, sf_dir)
     return picks.points_breakdown(t.pick, t.score)

@@ -41,3 +41,14 @@ def test_query_matches_oracle(spark, con, sf_small, key):
     assert {c: spark_to_duck(st[c]) for c in sc} == {c: dt[c] for c in dc}
     assert len(sr) == len(dr)
     assert sorted(sr, key=repr) == sorted(dr, key=repr)
+
+
+def test_outputs_are_flat(spark, sf_small):
+    """Query outputs hold no arrays, maps or structs: list columns are
+    returned as comma-separated text on both sides."""
+    from pyspark.sql import types as T
+    for key in ("points_breakdown", "league_weekly_report", "player_names", "season_wrap"):
+        df = E.queries()[key](spark, sf_small)
+        bad = [f.name for f in df.schema.fields
+               if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        assert not bad, (key, bad)
