@@ -84,15 +84,14 @@ GAMEVIEW_SETS = [("gameweek", "position"), ("gameweek", "team"), ("position", "t
 
 
 def gameview_grouping_sets(stats: DataFrame, sets=GAMEVIEW_SETS) -> DataFrame:
-    """Every requested key set in one pass with GROUPING SETS; the
-    ``level`` column is grouping_id(gameweek, position, team)."""
-    stats.createOrReplaceTempView("__gv_stats")
-    spec = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    return stats.sparkSession.sql(f"""
-        SELECT gameweek, position, team, grouping_id(gameweek, position, team) AS level,
-               sum(goals_scored) AS goals_scored, sum(total_points) AS total_points,
-               sum(assists) AS assists
-        FROM __gv_stats GROUP BY GROUPING SETS ({spec})""")
+    """Every requested key set in one pass with GROUPING SETS (one scan,
+    one shuffle); ``level`` is grouping_id(gameweek, position, team)."""
+    keys = ["gameweek", "position", "team"]
+    return stats.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(
+        F.grouping_id(*keys).alias("level"),
+        F.sum("goals_scored").alias("goals_scored"),
+        F.sum("total_points").alias("total_points"),
+        F.sum("assists").alias("assists"))
 
 
 def gameview_ict(stats: DataFrame) -> DataFrame:

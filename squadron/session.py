@@ -79,3 +79,28 @@ def stage_table(df, name: str = "stage"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_conf(executors: int, cores_per_executor: int, input_bytes: int) -> dict[str, str]:
+    """Settings for a cluster run, derived from its size.
+
+    Shuffle partitions start at ~128 MB of input per partition (at least
+    three waves of the cluster's cores), and AQE coalesces them at run time
+    toward the same advisory size.  A partition is then a fraction of an
+    executor's memory, so sorts and aggregates spill rarely.  Skewed join
+    partitions (5x the median and over 256 MB) are split by AQE.  Explicit
+    broadcasts in this library are for fixed-size dimensions only; the
+    automatic threshold stays at Spark's size check.
+    """
+    cores = executors * cores_per_executor
+    target = 128 << 20
+    partitions = max(3 * cores, -(-input_bytes // target))
+    return {
+        **CORE_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    }
