@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,6 +60,8 @@ class TestTables:
     materialize: bool = False
     store: str | None = None
     _cache: dict = field(default_factory=dict)
+    _locks: dict = field(default_factory=lambda: defaultdict(threading.RLock))
+    _guard: threading.Lock = field(default_factory=threading.Lock)
 
     def table(self, name: str) -> DataFrame:
         key = ("table", name)
@@ -66,11 +70,18 @@ class TestTables:
         return self._cache[key]
 
     def _view(self, name, build):
-        if name not in self._cache:
-            df = build()
-            if self.materialize and name in DOMAIN_VIEWS:
-                df = self._write_read(name, df)
-            self._cache[name] = df
+        """Build a view once; a per-view lock lets independent views be built
+        from several threads while one view is never written twice."""
+        if name in self._cache:
+            return self._cache[name]
+        with self._guard:
+            lock = self._locks[name]
+        with lock:
+            if name not in self._cache:
+                df = build()
+                if self.materialize and name in DOMAIN_VIEWS:
+                    df = self._write_read(name, df)
+                self._cache[name] = df
         return self._cache[name]
 
     def _write_read(self, name: str, df: DataFrame) -> DataFrame:
@@ -83,17 +94,18 @@ class TestTables:
         return self.spark.read.parquet(path)
 
     def materialize_all(self, parallel: bool = True) -> "TestTables":
-        """Build every domain table.  Tables in one wave do not depend on
-        each other, so their writes run as concurrent Spark jobs (each input
-        here is a single file, so one job alone leaves cores idle)."""
+        """Build every domain table.  With ``parallel`` each table's write is
+        its own Spark job submitted from its own thread; a table that reads
+        another waits on that table's lock, so each write starts as soon as
+        its inputs exist (each input here is a single file, so one job alone
+        leaves cores idle)."""
         if not parallel:
             for v in DOMAIN_VIEWS:
                 getattr(self, v)
             return self
         from concurrent.futures import ThreadPoolExecutor
-        with ThreadPoolExecutor(max_workers=len(DOMAIN_WAVES[0])) as pool:
-            for wave in DOMAIN_WAVES:
-                list(pool.map(lambda v: getattr(self, v), wave))
+        with ThreadPoolExecutor(max_workers=len(DOMAIN_VIEWS)) as pool:
+            list(pool.map(lambda v: getattr(self, v), DOMAIN_VIEWS))
         return self
 
     # -- orders with their gameweek ------------------------------------
@@ -293,6 +305,7 @@ class TestTables:
 
 
 _SHARED: dict = {}
+_SHARED_LOCK = threading.Lock()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -322,9 +335,10 @@ def tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> TestTa
     from squadron.session import checkpoint_dir
 
     key = (spark.sparkContext.applicationId, sf_dir, materialize)
-    if key not in _SHARED:
-        store = None
-        if materialize:
-            store = f"{checkpoint_dir(spark).rstrip('/')}/domain/{_data_version(sf_dir)}"
-        _SHARED[key] = TestTables(spark, sf_dir, materialize, store)
-    return _SHARED[key]
+    with _SHARED_LOCK:
+        if key not in _SHARED:
+            store = None
+            if materialize:
+                store = f"{checkpoint_dir(spark).rstrip('/')}/domain/{_data_version(sf_dir)}"
+            _SHARED[key] = TestTables(spark, sf_dir, materialize, store)
+        return _SHARED[key]
