@@ -77,3 +77,29 @@ def test_position_rank_matches_row_number(spark, rows, bucket):
     got = sorted(map(tuple, mine.select("g", "entry", "r").collect()))
     want = sorted(map(tuple, ref.select("g", "entry", "r").collect()))
     assert got == want
+
+
+def test_report_documents_one_per_group(spark, sf_small):
+    import json
+
+    from squadron.plans.reports import report_documents
+    t = tables(spark, sf_small)
+    r = league_weekly_report(t)
+    docs = report_documents(r)
+    rows = docs.collect()
+    assert len(rows) == r.select("league_id", "gameweek").distinct().count()
+    d = json.loads(rows[0].json)
+    assert {"league_id", "gameweek", "sections"} <= set(d)
+    assert "league_name" in d["sections"] and "captain" in d["sections"]
+    ks = [i.get("k") for i in d["sections"].get("rise", [])]
+    assert ks == sorted(ks)
+
+
+def test_nested_player_payload(spark, sf_small):
+    from squadron.operators.players import player_payload
+    t = tables(spark, sf_small)
+    p = player_payload(t.score, t.player, nested=True)
+    assert p.columns == ["id", "gameweek", "info", "gameweekScore"]
+    r = p.first()
+    assert r.info.player_name and r.gameweekScore.total_points is not None
+    assert p.count() == t.score.count()  # one payload per score row: halves never double
