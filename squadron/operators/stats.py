@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from squadron.functions.dims import bounded_broadcast
 from squadron.functions.lists import season_half
 from squadron.operators.picks import G
 
@@ -118,8 +119,9 @@ def stat_totals(score: DataFrame, keys=("gameweek",)) -> DataFrame:
 def fixture_results(fixture: DataFrame, team: DataFrame, code_base: int = 2444470) -> DataFrame:
     """Fixtures with team names, code re-based to the
     fixture number, and 0/1 home-win / draw / away-win flags (unplayed
-    fixtures give 0, 0, 0 -- Q20).  The team dimension has a fixed 20 rows."""
-    names = F.broadcast(team.select("id", "name"))
+    fixtures give 0, 0, 0 -- Q20).  The team dimension (20 rows) is broadcast
+    after a size check."""
+    names = bounded_broadcast(team.select("id", "name"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     hg, ag = F.col("homegoals"), F.col("awaygoals")
     return (fixture

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from squadron import schemas
+from squadron.functions.dims import bounded_broadcast
 from squadron.functions.lists import ids_csv
 
 DEC = "decimal(8,2)"
@@ -57,7 +58,8 @@ def gameweek_explain(spark: SparkSession, path: str, multi_line: bool = True) ->
 def player_info(spark: SparkSession, path: str, half: int, multi_line: bool = True) -> DataFrame:
     """S3: bootstrap elements joined to teams (by code) and element types,
     first and second name concatenated (H7), stamped with the season half.
-    Teams and element types are fixed small lists (20 and 4), so broadcast."""
+    Teams and element types are small lists (20 and 4), broadcast after a
+    size check."""
     doc = _read(spark, path, schemas.BOOTSTRAP_DOC, {}, multi_line)
     teams = doc.select(F.explode("teams").alias("t")).select(
         F.col("t.code").alias("team_code"), F.col("t.name").alias("team"), F.col("t.id").alias("team_id"))
@@ -67,8 +69,8 @@ def player_info(spark: SparkSession, path: str, half: int, multi_line: bool = Tr
         F.col("e.id").alias("player_id"), F.col("e.team_code").alias("team_code"),
         F.col("e.element_type").alias("element_type"),
         F.concat_ws(" ", "e.first_name", "e.second_name").alias("player_name"))
-    return (el.join(F.broadcast(teams), "team_code", "left")
-            .join(F.broadcast(types), "element_type", "left")
+    return (el.join(bounded_broadcast(teams), "team_code", "left")
+            .join(bounded_broadcast(types), "element_type", "left")
             .select("player_id", "team", "team_code", "team_id", "position", "player_name",
                     F.lit(half).alias("half")))
 

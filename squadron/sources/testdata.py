@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from squadron.functions.dims import bounded_broadcast
+
 # ---- fixed values -------------------------------------------------------
 BASE_DATE = "1995-01-01"
 DAYS_PER_WEEK = 64
@@ -117,14 +119,14 @@ class TestTables:
     @property
     def league(self) -> DataFrame:
         """(league_id, entry) membership; nation and region are fixed-size
-        dimensions (25 and 5 rows), so they are broadcast."""
+        dimensions (25 and 5 rows), broadcast after a size check."""
         def build():
             nation = self.table("nation").select("n_nationkey", "n_regionkey")
             region = self.table("region").select(
                 F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("league_name"))
             return (self.table("customer")
-                    .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-                    .join(F.broadcast(region), "n_regionkey")
+                    .join(bounded_broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+                    .join(bounded_broadcast(region), "n_regionkey")
                     .select(F.col("n_regionkey").alias("league_id"),
                             "league_name",
                             F.col("c_custkey").alias("entry"),

@@ -50,3 +50,13 @@ def test_skew_safe_rank_equals_row_number(spark):
     ref = df.withColumn("r", F.row_number().over(w).cast("int"))
     assert mine.select("g", "entry", "r").exceptAll(ref.select("g", "entry", "r")).count() == 0
     assert mine.count() == ref.count()
+
+
+def test_bounded_broadcast(spark):
+    from squadron.functions.dims import bounded_broadcast
+    small, big = spark.range(10), spark.range(50)
+    fact = spark.range(1000).withColumn("k", F.col("id") % 10)
+    p_small = plan_text(fact.join(bounded_broadcast(small, max_rows=20), fact.k == small.id))
+    assert "BroadcastHashJoin" in p_small
+    # over the bound: no hint is added, the planner decides by size
+    assert bounded_broadcast(big, max_rows=20) is big
