@@ -46,27 +46,43 @@ def collected_transfers(transfer: DataFrame) -> DataFrame:
 
 def transfer_points(transfer: DataFrame, score: DataFrame, mode: str = "single") -> DataFrame:
     """Per (entry, week) points of players in and out that week, number
-    of transfers and delta = in - out.  Computed on long rows: each transfer
-    looks up two scores, then one sum per (entry, week)."""
+    of transfers and delta = in - out (unknown players score 0, Q7).
+
+    ``single`` (league mode, W5) reduces each (entry, week) to its earliest
+    transfer first and then looks up two scores; ``all`` (participant mode,
+    A10) looks up scores on the raw transfer rows and builds the lists and
+    the sums in one aggregation -- no explode and re-group."""
     if mode == "single":
-        lists = single_transfers(transfer)
-    elif mode == "all":
-        lists = collected_transfers(transfer)
-    else:
+        one = single_transfers(transfer).select(
+            "entry_id", "gameweek", "element_in", "element_out",
+            F.col("element_in")[0].alias("pin"), F.col("element_out")[0].alias("pout"))
+        one = lookup_points(one, score, id_col="pin", gw_col="gameweek", out="transfer_points_in")
+        one = lookup_points(one, score, id_col="pout", gw_col="gameweek", out="transfer_points_out")
+        return one.select(
+            "entry_id", "gameweek", "element_in", "element_out",
+            F.col("transfer_points_in").cast("int").alias("transfer_points_in"),
+            F.col("transfer_points_out").cast("int").alias("transfer_points_out"),
+            F.lit(1).alias("transfers"),
+            (F.col("transfer_points_in") - F.col("transfer_points_out")).cast("int").alias("delta"))
+    if mode != "all":
         raise ValueError(f"mode must be 'single' or 'all', got {mode!r}")
-    long_ = lists.select("entry_id", "gameweek",
-                         F.posexplode(F.arrays_zip("element_in", "element_out")).alias("i", "p"))
-    long_ = long_.select("entry_id", "gameweek", F.col("p.element_in").alias("pin"),
-                         F.col("p.element_out").alias("pout"))
-    long_ = lookup_points(long_, score, id_col="pin", gw_col="gameweek", out="p_in")
-    long_ = lookup_points(long_, score, id_col="pout", gw_col="gameweek", out="p_out")
-    sums = long_.groupBy("entry_id", "gameweek").agg(
-        F.sum("p_in").alias("transfer_points_in"), F.sum("p_out").alias("transfer_points_out"))
-    return (lists.join(sums, ["entry_id", "gameweek"], "left")
-            .withColumn("transfers", F.size("element_out"))
-            .withColumn("transfer_points_in", F.coalesce("transfer_points_in", F.lit(0)).cast("int"))
-            .withColumn("transfer_points_out", F.coalesce("transfer_points_out", F.lit(0)).cast("int"))
-            .withColumn("delta", (F.col("transfer_points_in") - F.col("transfer_points_out")).cast("int")))
+    t = transfer.select(F.col("entry").alias("entry_id"), F.col("event").alias("gameweek"),
+                        "time", "transfer_id", "element_in", "element_out")
+    t = lookup_points(t, score, id_col="element_in", gw_col="gameweek", out="p_in")
+    t = lookup_points(t, score, id_col="element_out", gw_col="gameweek", out="p_out")
+    s = F.struct(F.col("time").alias("t"), F.col("transfer_id").alias("id"),
+                 F.col("element_in").alias("i"), F.col("element_out").alias("o"))
+    g = t.groupBy("entry_id", "gameweek").agg(
+        F.sort_array(F.collect_list(s), asc=False).alias("__l"),
+        F.sum("p_in").cast("int").alias("transfer_points_in"),
+        F.sum("p_out").cast("int").alias("transfer_points_out"),
+        F.count(F.lit(1)).cast("int").alias("transfers"))
+    return g.select(
+        "entry_id", "gameweek",
+        F.transform("__l", lambda x: x["i"]).alias("element_in"),
+        F.transform("__l", lambda x: x["o"]).alias("element_out"),
+        "transfer_points_in", "transfer_points_out", "transfers",
+        (F.col("transfer_points_in") - F.col("transfer_points_out")).cast("int").alias("delta"))
 
 
 def entry_transfer_join(ws: DataFrame, transfer: DataFrame, score: DataFrame,
