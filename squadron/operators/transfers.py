@@ -103,17 +103,18 @@ def entry_transfer_join(ws: DataFrame, transfer: DataFrame, score: DataFrame,
         return j.withColumn("has_transfer", F.col("transfers").isNotNull())
     if population != "transferred":
         raise ValueError(f"population must be 'transferred' or 'all', got {population!r}")
-    with_t = ws.join(t, [*G, "entry_id"], "right").withColumn("has_transfer", F.lit(True))
-    groups_with_t = t.select(*G).distinct()
-    fallback = ws.join(groups_with_t, G, "left_anti")
-    for c in ("element_in", "element_out"):
-        fallback = fallback.withColumn(c, F.lit(None).cast("array<bigint>"))
-    for c in ("transfer_points_in", "transfer_points_out", "transfers"):
-        fallback = fallback.withColumn(c, F.lit(None).cast("int"))
-    fallback = fallback.withColumn("delta", F.lit(0)).withColumn("has_transfer", F.lit(False))
+    # One pass over the week frame: a full outer join keeps transfer rows
+    # (entry columns null without a squad) and every entry; a small
+    # (league, week) flag table then drops the entries of weeks where
+    # somebody transferred, which leaves the fallback rows of the others.
+    groups_with_t = t.select(*G).distinct().withColumn("__week_has_t", F.lit(True))
+    fo = (ws.join(t.withColumn("__has_t", F.lit(True)), [*G, "entry_id"], "full")
+          .join(groups_with_t, G, "left")
+          .where(F.col("__has_t").isNotNull() | F.col("__week_has_t").isNull()))
     cols = [*G, "entry_id", *ws_cols, "element_in", "element_out", "transfer_points_in",
-            "transfer_points_out", "transfers", "delta", "has_transfer"]
-    return with_t.select(*cols).unionByName(fallback.select(*cols))
+            "transfer_points_out", "transfers"]
+    return fo.select(*cols, F.coalesce("delta", F.lit(0)).alias("delta"),
+                     F.col("__has_t").isNotNull().alias("has_transfer"))
 
 
 def chip_usage(j1: DataFrame) -> DataFrame:
