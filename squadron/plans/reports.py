@@ -3,10 +3,10 @@
 
 The report is tidy: one row per report item, ``section`` naming the part.
 Every (league, week) with a fielded squad has at least its ``league_name``
-row, so empty parts never drop a group.  The shared frames (weekly scores and
-the entry/transfer join) can be cut from their lineage with a reliable
-stage table in the shared checkpoint folder (``materialize=True``) so the
-parts reuse them instead of recomputing them.
+row, so empty parts never drop a group.  The two shared frames (weekly scores
+and the entry/transfer join) are written as stage tables in the shared
+checkpoint folder (``materialize=True``, the default): the parts read them
+instead of recomputing them, and their lineage is cut.
 """
 
 from __future__ import annotations
