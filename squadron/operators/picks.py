@@ -82,12 +82,13 @@ def weekly_squads(pick: DataFrame, score: DataFrame, with_lists: bool = False) -
 
 
 def weekly_scores(entry: DataFrame, pick: DataFrame, score: DataFrame,
-                  league: DataFrame, with_rank: bool = True) -> DataFrame:
+                  league: DataFrame, with_rank: bool = True, stage: bool = False) -> DataFrame:
     """The league-week frame of R1 (``o_df``): entries that fielded a squad
     (F4, Q6: null or empty squads dropped), joined to every league they are
     in, with captain / vice points and, ``with_rank``, the 1-based league
     rank (W1, ties by entry_id, Q12).  Consumers that never read the rank
-    skip its extra shuffles."""
+    skip its extra shuffles; ``stage`` writes the frame once before ranking
+    so the rank's two passes do not recompute the squad aggregation."""
     sq = weekly_squads(pick, score).where(F.col("n_players") > 0)
     members = league.select("league_id", F.col("entry").alias("entry_id"))
     ws = (entry.join(sq, ["entry_id", "gw"], "inner")
@@ -95,7 +96,7 @@ def weekly_scores(entry: DataFrame, pick: DataFrame, score: DataFrame,
           .withColumnRenamed("gw", "gameweek"))
     if not with_rank:
         return ws
-    return position_rank(ws, G, "total_points", "entry_id", out="rank")
+    return position_rank(ws, G, "total_points", "entry_id", out="rank", stage=stage)
 
 
 def rank_position(ws: DataFrame) -> DataFrame:

@@ -30,9 +30,17 @@ def _cols(keys):
 
 
 def position_rank(df: DataFrame, keys: Sequence[str], score: str, id_col: str,
-                  out: str = "rank", bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
-    """1-based position by ``score`` desc then ``id_col`` asc within ``keys``."""
+                  out: str = "rank", bucket_size: int = DEFAULT_BUCKET,
+                  stage: bool = False) -> DataFrame:
+    """1-based position by ``score`` desc then ``id_col`` asc within ``keys``.
+
+    The input is read twice (count table, then numbering).  For an
+    expensive derived input pass ``stage=True``: it is written once as a
+    stage table in the shared checkpoint folder and both passes read that."""
     keys = list(keys)
+    if stage:
+        from squadron.session import stage_table
+        df = stage_table(df, "rank_input")
     b = "__bucket"
     with_b = df.withColumn(b, F.floor(F.col(id_col) / F.lit(bucket_size)))
     counts = with_b.groupBy(*keys, score, b).agg(F.count(F.lit(1)).alias("__n"))

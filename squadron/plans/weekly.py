@@ -16,8 +16,9 @@ WS_COLS = ["league_id", "gameweek", "entry_id", "total_points", "active_chip", "
 
 
 def ws_of(t, rank: bool = False):
-    """Weekly league frame; the W1 rank only where a query outputs it."""
-    return picks.weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=rank)
+    """Weekly league frame; the W1 rank only where a query outputs it (then
+    the frame is staged once so the rank's two passes share it)."""
+    return picks.weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=rank, stage=rank)
 
 
 CAPTAIN_BODY = """SELECT league_id, gameweek, captain, count(*) AS count FROM ws

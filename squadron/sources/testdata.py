@@ -251,7 +251,8 @@ class TestTables:
             run = Window.partitionBy("league_id", "entry").orderBy("gw").rowsBetween(
                 Window.unboundedPreceding, Window.currentRow)
             s = s.withColumn("total", F.sum("event_total").over(run))
-            s = position_rank(s, ["league_id", "gw"], "total", "entry", out="rank")
+            s = position_rank(s, ["league_id", "gw"], "total", "entry", out="rank",
+                              stage=self.materialize)
             lastw = Window.partitionBy("league_id", "entry").orderBy("gw")
             return s.withColumn("last_rank", F.lag("rank").over(lastw)).select(
                 "league_id", "entry", "gw", "event_total", "total", "rank", "last_rank",
