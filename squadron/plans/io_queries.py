@@ -42,3 +42,73 @@ def q_refresh(spark, sf_dir):
     feed = s.where(F.col("gameweek") >= REFRESH_FROM_WEEK).withColumn(
         "total_points", F.col("total_points") + 1)
     return sinks.refreshed(s, feed)
+
+
+# ---- document sources over landed documents ---------------------------------
+# Each query lands bounded API-shaped documents derived from the domain tables
+# (one Spark job) and reads them back with the production reader.
+def _landed(t, name, writer, *args):
+    from squadron.sources.landing import landing_path
+    path = landing_path(t.spark, name)
+    writer(*args, path)
+    return path
+
+
+@register("src_gameweek_scores", with_views(
+    """SELECT player_id, gameweek, total_points, minutes, goals_scored, assists,
+              CAST(expected_goals AS DOUBLE) AS expected_goals, CAST(influence AS DOUBLE) AS influence,
+              in_dreamteam FROM score""", "score"), "S1 S15 F14")
+def q_src_gameweek_scores(spark, sf_dir):
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = _landed(t, "gameweek", landing.land_gameweek_docs, t.score)
+    s = documents.gameweek_scores(spark, path, multi_line=False)
+    return s.select("player_id", "gameweek", "total_points", "minutes", "goals_scored", "assists",
+                    F.col("expected_goals").cast("double").alias("expected_goals"),
+                    F.col("influence").cast("double").alias("influence"), "in_dreamteam")
+
+
+@register("src_gameweek_explain", with_views(
+    """SELECT player_id, gameweek, total_points, minutes AS value, CAST(NULL AS INTEGER) AS fixture
+       FROM score""", "score"), "S2")
+def q_src_gameweek_explain(spark, sf_dir):
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = _landed(t, "gameweek", landing.land_gameweek_docs, t.score)
+    return documents.gameweek_explain(spark, path, multi_line=False)
+
+
+@register("src_fixtures", with_views(
+    """SELECT homedifficulty, awaydifficulty, home, away, CAST(homegoals AS INTEGER) AS homegoals,
+              CAST(awaygoals AS INTEGER) AS awaygoals, code, gameweek, finished, date FROM fixture""",
+    "fixture"), "S4 S12")
+def q_src_fixtures(spark, sf_dir):
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = _landed(t, "fixtures", landing.land_fixture_docs, t.fixture)
+    return documents.fixtures(spark, path, multi_line=False).withColumn(
+        "date", F.col("date").cast("timestamp_ntz"))
+
+
+@register("src_transfers", with_views(
+    "SELECT entry, event, time, element_in, element_out FROM transfer", "transfer"), "S6")
+def q_src_transfers(spark, sf_dir):
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = _landed(t, "transfers", landing.land_transfer_docs, t.transfer)
+    return documents.transfers(spark, path, multi_line=False).select(
+        "entry", "event", F.col("time").cast("timestamp_ntz").alias("time"), "element_in", "element_out")
+
+
+@register("src_league_pages", with_views(
+    """SELECT CAST(s.league_id AS BIGINT) AS league_id, s.entry, m.league_name, s.entry_name, s.player_name,
+              s.rank, s.last_rank, CAST(s.total AS INTEGER) AS total, s.event_total
+       FROM standings s JOIN (SELECT DISTINCT league_id, league_name FROM league) m ON m.league_id = s.league_id
+       WHERE s.gw = (SELECT max(gw) FROM entry)""", "standings", "league", "entry"), "S7 S8 U2")
+def q_src_league_pages(spark, sf_dir):
+    from squadron.plans.transfer_queries import current_week
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = landing.landing_path(spark, "leagues")
+    landing.land_league_pages(t.standings, t.league, current_week(t), path)
+    return documents.league_participants(spark, path, multi_line=False)
