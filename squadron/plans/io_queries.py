@@ -112,3 +112,29 @@ def q_src_league_pages(spark, sf_dir):
     path = landing.landing_path(spark, "leagues")
     landing.land_league_pages(t.standings, t.league, current_week(t), path)
     return documents.league_participants(spark, path, multi_line=False)
+
+
+@register("src_entry_picks", with_views(
+    """SELECT e.entry_id, e.gw, e.active_chip, e.total_points, e.points_on_bench, e.event_transfers_cost,
+              p.players, p.bench, p.captain, p.vice_captain,
+              coalesce(a.ins, '') AS auto_sub_in, coalesce(a.outs, '') AS auto_sub_out
+       FROM entry e
+       JOIN (SELECT entry_id, gw,
+                    coalesce(string_agg(CAST(player_id AS VARCHAR), ',' ORDER BY position)
+                             FILTER (WHERE multiplier <> 0), '') AS players,
+                    coalesce(string_agg(CAST(player_id AS VARCHAR), ',' ORDER BY position)
+                             FILTER (WHERE multiplier = 0), '') AS bench,
+                    max(CASE WHEN is_captain THEN player_id END) AS captain,
+                    max(CASE WHEN is_vice_captain THEN player_id END) AS vice_captain
+             FROM pick GROUP BY entry_id, gw) p ON p.entry_id = e.entry_id AND p.gw = e.gw
+       LEFT JOIN (SELECT entry_id, gw,
+                         string_agg(CAST(player_id AS VARCHAR), ',' ORDER BY player_id) FILTER (WHERE direction = 'in') AS ins,
+                         string_agg(CAST(player_id AS VARCHAR), ',' ORDER BY player_id) FILTER (WHERE direction = 'out') AS outs
+                  FROM auto_sub GROUP BY entry_id, gw) a ON a.entry_id = e.entry_id AND a.gw = e.gw""",
+    "entry", "pick", "auto_sub"), "S5 H1 H2")
+def q_src_entry_picks(spark, sf_dir):
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = landing.landing_path(spark, "picks")
+    landing.land_picks_docs(t.pick, t.entry, t.auto_sub, path)
+    return documents.entry_rows(spark, path, multi_line=False, entry_in_doc=True)

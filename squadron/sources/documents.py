@@ -91,27 +91,35 @@ def fixtures(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         "code", F.col("event").alias("gameweek"), "finished", F.col("kickoff_time").alias("date"))
 
 
-def _picks_docs(spark, path, multi_line):
+def _picks_docs(spark, path, multi_line, entry_in_doc=False):
+    """Picks documents under ``entry_id=<e>/gw=<n>/``; with ``entry_in_doc``
+    the landing kept the request's entry id in each document and only the
+    gameweek is a folder (``gw=<n>/``)."""
+    if entry_in_doc:
+        body = T.StructType(schemas.PICKS_DOC.fields + [T.StructField("entry_id", T.LongType())])
+        return _read(spark, path, body, {"gw": T.IntegerType()}, multi_line)
     return _read(spark, path, schemas.PICKS_DOC,
                  {"entry_id": T.LongType(), "gw": T.IntegerType()}, multi_line)
 
 
-def picks_long(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def picks_long(spark: SparkSession, path: str, multi_line: bool = True,
+               entry_in_doc: bool = False) -> DataFrame:
     """S5 (long): ``<path>/entry_id=<e>/gw=<n>/*.json`` picks documents ->
     the ``pick`` domain table, one row per (entry, week, player)."""
-    d = _picks_docs(spark, path, multi_line)
+    d = _picks_docs(spark, path, multi_line, entry_in_doc)
     return d.select("entry_id", "gw", F.explode("picks").alias("p")).select(
         "entry_id", "gw", F.col("p.element").alias("player_id"), F.col("p.position").alias("position"),
         F.col("p.multiplier").alias("multiplier"), F.col("p.is_captain").alias("is_captain"),
         F.col("p.is_vice_captain").alias("is_vice_captain"))
 
 
-def entry_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def entry_rows(spark: SparkSession, path: str, multi_line: bool = True,
+               entry_in_doc: bool = False) -> DataFrame:
     """S5 (entry row, as the reference builds it): chip, points, bench points,
     transfer cost, starters / bench as CSV in pick order, captain, vice and
     auto-subs as CSV.  Lists come from the document's own array, so no
     shuffle is needed."""
-    d = _picks_docs(spark, path, multi_line)
+    d = _picks_docs(spark, path, multi_line, entry_in_doc)
     srt = F.array_sort(F.col("picks"), lambda a, b: a["position"] - b["position"])
     starters = F.transform(F.filter(srt, lambda p: p["multiplier"] != 0), lambda p: p["element"])
     bench = F.transform(F.filter(srt, lambda p: p["multiplier"] == 0), lambda p: p["element"])
@@ -136,14 +144,16 @@ def entry_table(spark: SparkSession, path: str, multi_line: bool = True) -> Data
         "entry_id", "gw", "active_chip", "total_points", "points_on_bench", "event_transfers_cost")
 
 
-def auto_subs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def auto_subs(spark: SparkSession, path: str, multi_line: bool = True,
+              entry_in_doc: bool = False) -> DataFrame:
     """S5 -> the ``auto_sub`` domain table (one row per player in / out)."""
-    d = _picks_docs(spark, path, multi_line)
+    d = _picks_docs(spark, path, multi_line, entry_in_doc)
     s = d.select("entry_id", "gw", F.explode("automatic_subs").alias("s"))
-    return s.select("entry_id", "gw", F.col("s.element_in").alias("player_id"),
-                    F.lit("in").alias("direction")).unionByName(
-        s.select("entry_id", "gw", F.col("s.element_out").alias("player_id"),
-                 F.lit("out").alias("direction")))
+    both = F.explode(F.array(F.struct(F.col("s.element_in").alias("player_id"), F.lit("in").alias("direction")),
+                             F.struct(F.col("s.element_out").alias("player_id"), F.lit("out").alias("direction"))))
+    return (s.select("entry_id", "gw", both.alias("x"))
+            .select("entry_id", "gw", "x.player_id", "x.direction")
+            .where(F.col("player_id").isNotNull()))
 
 
 def transfers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

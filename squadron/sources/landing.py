@@ -92,3 +92,26 @@ def land_league_pages(standings: DataFrame, league: DataFrame, week, path: str,
         F.struct(F.col("league_id").cast("long").alias("id"), F.col("league_name").alias("name")).alias("league"),
         F.struct((F.col("page") < F.col("__last")).alias("has_next"), "page",
                  "results").alias("standings")).write.partitionBy("league_id").json(path)
+
+
+def land_picks_docs(pick: DataFrame, entry: DataFrame, auto_sub: DataFrame, path: str) -> None:
+    """One picks document per (entry, week) -- a squad, bounded -- under
+    ``gw=<n>/``, keeping the request's entry id in the document.  Auto-subs
+    are paired in/out in ascending id order, as the API lists pairs."""
+    picks = pick.groupBy("entry_id", "gw").agg(F.collect_list(F.struct(
+        F.col("player_id").alias("element"), "position", "multiplier", "is_captain",
+        "is_vice_captain")).alias("picks"))
+    is_in = F.col("direction") == "in"
+    subs = auto_sub.groupBy("entry_id", "gw").agg(
+        F.array_sort(F.collect_list(F.when(is_in, F.col("player_id")))).alias("ins"),
+        F.array_sort(F.collect_list(F.when(~is_in, F.col("player_id")))).alias("outs"))
+    subs = subs.select("entry_id", "gw", F.transform(
+        F.arrays_zip("ins", "outs"),
+        lambda z: F.struct(z["ins"].alias("element_in"), z["outs"].alias("element_out"))).alias("automatic_subs"))
+    history = F.struct(F.col("gw").alias("event"), F.col("total_points").alias("points"),
+                       "points_on_bench", "event_transfers_cost")
+    docs = (entry.select("entry_id", "gw", "active_chip", history.alias("entry_history"))
+            .join(picks, ["entry_id", "gw"], "inner")
+            .join(subs, ["entry_id", "gw"], "left"))
+    docs.select("entry_id", "gw", "active_chip", "automatic_subs", "entry_history", "picks") \
+        .write.partitionBy("gw").json(path)
