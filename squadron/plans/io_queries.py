@@ -138,3 +138,16 @@ def q_src_entry_picks(spark, sf_dir):
     path = landing.landing_path(spark, "picks")
     landing.land_picks_docs(t.pick, t.entry, t.auto_sub, path)
     return documents.entry_rows(spark, path, multi_line=False, entry_in_doc=True)
+
+
+@register("src_player_info", with_views(
+    "SELECT player_id, half, player_name, position, team FROM player", "player"), "S3 H7")
+def q_src_player_info(spark, sf_dir):
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    halves = []
+    for half in (1, 2):
+        path = landing.landing_path(spark, f"bootstrap-{half}")
+        landing.land_bootstrap(t.player, half, path)
+        halves.append(documents.player_info(spark, path, half, multi_line=False))
+    return halves[0].unionByName(halves[1]).select("player_id", "half", "player_name", "position", "team")

@@ -248,15 +248,17 @@ def q_history_named(spark, sf_dir):
     return participants.history_named(t.entry, t.league)
 
 
-@register("participant_history", with_views(
-    """SELECT s.entry AS entry_id, s.gw AS gameweek, s.league_id, ov.event_total AS points, ov.total AS total_points,
+PH_BODY = """SELECT s.entry AS entry_id, s.gw AS gameweek, s.league_id, ov.event_total AS points, ov.total AS total_points,
               s.rank, ov.overall_rank, e.points_on_bench, e.event_transfers_cost
        FROM standings s
        JOIN (SELECT entry, gw, event_total, total,
                     CAST(row_number() OVER (PARTITION BY gw ORDER BY total DESC, entry) AS INTEGER) AS overall_rank
              FROM (SELECT DISTINCT entry, gw, event_total, total FROM standings)) ov
          ON ov.entry = s.entry AND ov.gw = s.gw
-       LEFT JOIN entry e ON e.entry_id = s.entry AND e.gw = s.gw""", "standings", "entry"), "S14 D8")
+       LEFT JOIN entry e ON e.entry_id = s.entry AND e.gw = s.gw"""
+
+
+@register("participant_history", with_views(PH_BODY, "standings", "entry"), "S14 D8")
 def q_participant_history(spark, sf_dir):
     t = tables(spark, sf_dir)
     return participants.participant_history(t.standings, t.entry)
@@ -392,3 +394,15 @@ def q_season_wrap_report(spark, sf_dir):
 def q_most_owned(spark, sf_dir):
     t = tables(spark, sf_dir)
     return participants.most_owned(ws_of(t), t.pick)
+
+
+@register("src_participant_history", with_views(
+    f"""SELECT entry_id, gameweek, points, CAST(total_points AS INTEGER) AS total_points, rank, overall_rank,
+               points_on_bench FROM ({PH_BODY})""", "standings", "entry"), "S14 H11")
+def q_src_participant_history(spark, sf_dir):
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = landing.landing_path(spark, "history")
+    landing.land_history_docs(participants.participant_history(t.standings, t.entry), path)
+    return documents.participant_history(spark, path, multi_line=False, entry_in_doc=True).select(
+        "entry_id", "gameweek", "points", "total_points", "rank", "overall_rank", "points_on_bench")

@@ -61,10 +61,13 @@ def player_info(spark: SparkSession, path: str, half: int, multi_line: bool = Tr
     Teams and element types are small lists (20 and 4), broadcast after a
     size check."""
     doc = _read(spark, path, schemas.BOOTSTRAP_DOC, {}, multi_line)
+    # a landing may split one bootstrap into several parts; the small lists
+    # are de-duplicated so joins never multiply player rows
     teams = doc.select(F.explode("teams").alias("t")).select(
-        F.col("t.code").alias("team_code"), F.col("t.name").alias("team"), F.col("t.id").alias("team_id"))
+        F.col("t.code").alias("team_code"), F.col("t.name").alias("team"),
+        F.col("t.id").alias("team_id")).distinct()
     types = doc.select(F.explode("element_types").alias("t")).select(
-        F.col("t.id").alias("element_type"), F.col("t.singular_name").alias("position"))
+        F.col("t.id").alias("element_type"), F.col("t.singular_name").alias("position")).distinct()
     el = doc.select(F.explode("elements").alias("e")).select(
         F.col("e.id").alias("player_id"), F.col("e.team_code").alias("team_code"),
         F.col("e.element_type").alias("element_type"),
@@ -184,10 +187,16 @@ def league_participants(spark: SparkSession, path: str, multi_line: bool = True)
     return flat.groupBy("league_id", "entry").agg(latest.alias("x")).select("league_id", "entry", "x.*")
 
 
-def participant_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def participant_history(spark: SparkSession, path: str, multi_line: bool = True,
+                        entry_in_doc: bool = False) -> DataFrame:
     """``<path>/entry_id=<e>/*.json`` history documents -> weekly rows;
-    bank and value are held in tenths (H11)."""
-    doc = _read(spark, path, schemas.HISTORY_DOC, {"entry_id": T.LongType()}, multi_line)
+    bank and value are held in tenths (H11).  With ``entry_in_doc`` the
+    landing kept the request's entry id in each document instead."""
+    if entry_in_doc:
+        body = T.StructType(schemas.HISTORY_DOC.fields + [T.StructField("entry_id", T.LongType())])
+        doc = _read(spark, path, body, {}, multi_line)
+    else:
+        doc = _read(spark, path, schemas.HISTORY_DOC, {"entry_id": T.LongType()}, multi_line)
     c = doc.select("entry_id", F.explode("current").alias("c"))
     return c.select("entry_id", F.col("c.event").alias("gameweek"), F.col("c.points").alias("points"),
                     F.col("c.total_points").alias("total_points"), F.col("c.rank").alias("rank"),

@@ -115,3 +115,43 @@ def land_picks_docs(pick: DataFrame, entry: DataFrame, auto_sub: DataFrame, path
             .join(subs, ["entry_id", "gw"], "left"))
     docs.select("entry_id", "gw", "active_chip", "automatic_subs", "entry_history", "picks") \
         .write.partitionBy("gw").json(path)
+
+
+def land_bootstrap(player: DataFrame, half: int, path: str, chunk: int = PLAYERS_PER_DOC) -> None:
+    """One season half's bootstrap, landed in bounded parts: the team list,
+    the position list, and player chunks of at most ``chunk``.  Team and
+    position ids are dense ranks of their names; a team's code is its id
+    plus 100."""
+    from pyspark.sql import Window
+
+    p = player.where(F.col("half") == half)
+    teams = p.select("team").distinct().withColumn(
+        "id", F.dense_rank().over(Window.orderBy("team")).cast("int"))
+    types = p.select("position").distinct().withColumn(
+        "id", F.dense_rank().over(Window.orderBy("position")).cast("int"))
+    team_doc = teams.groupBy().agg(F.collect_list(F.struct(
+        "id", (F.col("id") + 100).alias("code"), F.col("team").alias("name"))).alias("teams"))
+    type_doc = types.groupBy().agg(F.collect_list(F.struct(
+        "id", F.col("position").alias("singular_name"))).alias("element_types"))
+    first = F.regexp_extract("player_name", r"^(\S+)", 1)
+    second = F.nullif(F.regexp_extract("player_name", r"^\S+\s(.*)$", 1), F.lit(""))
+    el = (p.join(teams.withColumnRenamed("id", "team_id"), "team")
+          .join(types.withColumnRenamed("id", "element_type"), "position")
+          .select(F.floor(F.col("player_id") / chunk).alias("__chunk"), F.struct(
+              F.col("player_id").alias("id"), (F.col("team_id") + 100).alias("team_code"),
+              "element_type", first.alias("first_name"), second.alias("second_name")).alias("e")))
+    el_doc = el.groupBy("__chunk").agg(F.collect_list("e").alias("elements")).drop("__chunk")
+    parts = (team_doc.select(F.to_json(F.struct("teams")).alias("value"))
+             .unionByName(type_doc.select(F.to_json(F.struct("element_types")).alias("value")))
+             .unionByName(el_doc.select(F.to_json(F.struct("elements")).alias("value"))))
+    parts.write.text(path)
+
+
+def land_history_docs(history: DataFrame, path: str) -> None:
+    """One history document per entry (its season: at most 38 weeks),
+    keeping the request's entry id in the document."""
+    row = F.struct(F.col("gameweek").alias("event"), "points",
+                   F.col("total_points").cast("int").alias("total_points"), "rank",
+                   "overall_rank", "event_transfers_cost", "points_on_bench")
+    docs = history.groupBy("entry_id").agg(F.collect_list(row).alias("current"))
+    docs.write.json(path)
