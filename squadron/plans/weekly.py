@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from squadron.operators import captains, picks
 from squadron.oracle_views import with_views

@@ -65,12 +65,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_table(df, name: str = "stage"):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: one computation, lineage cut, and exact size statistics for the

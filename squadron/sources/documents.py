@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from squadron import schemas
 from squadron.functions.dims import bounded_broadcast
-from squadron.functions.lists import ids_csv
+from squadron.functions.lists import ids_csv, tenths
 
 DEC = "decimal(8,2)"
 
@@ -201,6 +201,6 @@ def participant_history(spark: SparkSession, path: str, multi_line: bool = True,
     return c.select("entry_id", F.col("c.event").alias("gameweek"), F.col("c.points").alias("points"),
                     F.col("c.total_points").alias("total_points"), F.col("c.rank").alias("rank"),
                     F.col("c.overall_rank").alias("overall_rank"),
-                    (F.col("c.bank") / 10).alias("bank"), (F.col("c.value") / 10).alias("value"),
+                    tenths("c.bank").alias("bank"), tenths("c.value").alias("value"),
                     F.col("c.event_transfers").alias("event_transfers"),
                     F.col("c.points_on_bench").alias("points_on_bench"))
