@@ -32,18 +32,18 @@ SECTIONS = ["captain", "chips", "exceptional", "abysmal", "league_average", "ris
 
 
 def _long(df: DataFrame, section: str, **cols) -> DataFrame:
-    out = []
+    """Project one report part onto the long schema (one ``selectExpr``)."""
+    exprs = []
     for name, typ in LONG_SCHEMA:
         if name == "section":
-            out.append(F.lit(section).alias(name))
+            exprs.append(f"'{section}' AS section")
         elif name in cols:
-            c = cols[name]
-            out.append((F.col(c) if isinstance(c, str) else c).cast(typ).alias(name))
+            exprs.append(f"CAST(`{cols[name]}` AS {typ}) AS {name}")
         elif name in ("league_id", "gameweek"):
-            out.append(F.col(name).cast(typ).alias(name))
+            exprs.append(f"CAST(`{name}` AS {typ}) AS {name}")
         else:
-            out.append(F.lit(None).cast(typ).alias(name))
-    return df.select(*out)
+            exprs.append(f"CAST(NULL AS {typ}) AS {name}")
+    return df.selectExpr(*exprs)
 
 
 def league_weekly_report(t, population: str = "transferred", materialize: bool = True) -> DataFrame:
