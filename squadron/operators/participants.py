@@ -150,18 +150,19 @@ SEASON_SCHEMA = [("entry_id", "bigint"), ("section", "string"), ("k", "int"), ("
 
 
 def _season_long(df: DataFrame, section: str, **cols) -> DataFrame:
-    out = []
+    """Project one season part onto the long schema; ``cols`` values are SQL
+    expressions over the part's columns (one ``selectExpr``)."""
+    exprs = []
     for name, typ in SEASON_SCHEMA:
         if name == "section":
-            out.append(F.lit(section).alias(name))
+            exprs.append(f"'{section}' AS section")
         elif name in cols:
-            c = cols[name]
-            out.append((F.col(c) if isinstance(c, str) else c).cast(typ).alias(name))
+            exprs.append(f"CAST({cols[name]} AS {typ}) AS {name}")
         elif name == "entry_id":
-            out.append(F.col("entry_id").cast(typ))
+            exprs.append(f"CAST(entry_id AS {typ}) AS entry_id")
         else:
-            out.append(F.lit(None).cast(typ).alias(name))
-    return df.select(*out)
+            exprs.append(f"CAST(NULL AS {typ}) AS {name}")
+    return df.selectExpr(*exprs)
 
 
 def season_wrap_report(entry: DataFrame, pick: DataFrame, score: DataFrame, transfer: DataFrame,
@@ -248,6 +249,6 @@ def season_wrap_report(entry: DataFrame, pick: DataFrame, score: DataFrame, tran
     ext = e.groupBy(*E).agg(
         F.min(F.struct((-F.col("total_points")).alias("v"), F.col("gameweek").alias("g"))).alias("hi"),
         F.min(F.struct(F.col("total_points").alias("v"), F.col("gameweek").alias("g"))).alias("lo"))
-    parts.append(_season_long(ext, "highest_point", gameweek=F.col("hi.g"), value=-F.col("hi.v")))
-    parts.append(_season_long(ext, "lowest_point", gameweek=F.col("lo.g"), value=F.col("lo.v")))
+    parts.append(_season_long(ext, "highest_point", gameweek="hi.g", value="-hi.v"))
+    parts.append(_season_long(ext, "lowest_point", gameweek="lo.g", value="lo.v"))
     return reduce(DataFrame.unionByName, parts)
