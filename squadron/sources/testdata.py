@@ -38,13 +38,12 @@ CHIP_BY_PRIORITY = {"1-URGENT": "wildcard", "2-HIGH": "freehit"}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events")
 
-# Domain tables written once per session and data version (see ``tables``):
-# the ones that cost a join, an aggregate or a window.  The others (league,
-# transfer, player, fixture, team) are projections or small-dimension joins
-# over the given tables and stay lazy views, so their scans are pruned and
-# filtered at the source.
-DOMAIN_VIEWS = ("pick0", "entry", "pick", "auto_sub", "score", "standings")
-LAZY_VIEWS = ("league", "transfer", "player", "fixture", "team")
+# Domain tables written once per session and data version (see ``tables``).
+# All of them are written: even the cheap ones (league's dimension joins, the
+# JSON parse behind ``transfer``) would otherwise be recomputed by every
+# report part that reads them -- measured slower for R1.
+DOMAIN_VIEWS = ("league", "pick0", "entry", "transfer", "player", "fixture", "team",
+                "pick", "auto_sub", "score", "standings")
 
 
 def days(c: Column) -> Column:
@@ -103,7 +102,7 @@ class TestTables:
         another waits on that table's lock, so each write starts as soon as
         its inputs exist (each input here is a single file, so one job alone
         leaves cores idle)."""
-        views = DOMAIN_VIEWS + LAZY_VIEWS
+        views = DOMAIN_VIEWS
         if not parallel:
             for v in views:
                 getattr(self, v)
