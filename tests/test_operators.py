@@ -164,3 +164,23 @@ def test_per_player_counts_and_single_best(spark, world):
     per = {r.player: r["count"] for r in transfers.most_transferred(j1, "out", per_player=True).collect()}
     assert per == {11: 2, 12: 2}
     assert transfers.transfer_leaders(j1, lg, True, k=1).count() == 1
+
+
+def test_invalid_spans_raise_before_any_job(spark, world):
+    from squadron.operators.participants import entries_span
+    _, _, entry, _ = world
+    tr = spark.createDataFrame([], TRANSFER)
+    with pytest.raises(GameweekError):
+        transfers.transfers_in_weeks(tr, [1, 10, 39])
+    with pytest.raises(GameweekError):
+        entries_span(entry, weeks=[40])
+    assert entries_span(entry, upto=1).count() == 4
+
+
+def test_scale_conf_sizes_partitions():
+    from squadron.session import scale_conf
+    small = scale_conf(10, 4, 1 << 30)
+    assert small["spark.sql.shuffle.partitions"] == "120"  # 3 waves of 40 cores
+    big = scale_conf(1000, 8, 100 << 40)
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
