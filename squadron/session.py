@@ -72,7 +72,15 @@ def stage_table(df, name: str = "stage"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    _delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Let the folder's file system remove it when the driver ends."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
 def scale_conf(executors: int, cores_per_executor: int, input_bytes: int) -> dict[str, str]:
