@@ -12,10 +12,11 @@ Candidates are verified on the full shingle sets.
 
 Equal sets are one class from the start (a partial aggregate, so thousands of
 copies cost one row).  Within a bucket of a band every class is compared with
-the bucket's leader first; only classes that are still in different components
-afterwards are compared with each other, so a large group of near copies costs
-a star, not all its pairs; a crowded bucket is compared by prefix filtering
-(rarest shingles first), which is exact as well.
+the bucket's leader first, the class that shares most buckets with others; only
+buckets that still hold classes of different components are looked at again,
+small ones pair by pair, the others by prefix and positional filtering (rarest
+shingles first), which is exact.  So a large group of near copies costs a star,
+not all its pairs.
 
 Defined results: a null or wordless text has an empty set and is linked with
 nothing; a null id is linked with nothing and kept; rows that repeat an id are
@@ -40,9 +41,8 @@ SKETCH = 128
 ROWS = 4
 BANDS = SKETCH // ROWS
 SIMILARITY_PERCENT = 75
-LEADER_ROUNDS = 1
 #: Larger buckets are compared by their members' rarest shingles instead.
-BUCKET_PAIRS = 64
+BUCKET_PAIRS = 4
 
 _U = np.uint64
 
@@ -121,14 +121,24 @@ def _close(n: str, m: str):
 
 def _across(member: DataFrame, key: str) -> DataFrame:
     """Pairs of members that share a key value and are in different groups."""
-    left = member.select(key, F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("group").alias("ga"))
-    right = member.select(key, F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("group").alias("gb"))
-    return left.join(right, key).filter("ga < gb").select("a", "n", "b", "m")
+    left = member.select(key, F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("group").alias("ga"),
+                         F.col("place").alias("pa"))
+    right = member.select(key, F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("group").alias("gb"),
+                          F.col("place").alias("pb"))
+    fits = (left[key] == right[key]) & (F.col("ga") < F.col("gb")) & _close("n", "m") \
+        & (F.least(F.col("n") - F.col("pa"), F.col("m") - F.col("pb")) + 1 >= _shared_at_least("n", "m"))
+    return left.join(right, fits).select("a", "b")
+
+
+def _shared_at_least(n: str, m: str):
+    """Shingles that two sets of these sizes must share."""
+    return F.ceil((F.col(n) + F.col(m)) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT))
 
 
 def _prefixes(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members' rarest shingles: two sets of the similarity share one of
-    their first n - ceil(0.75 n) + 1 in any common order, so this loses no pair."""
+    """The members' rarest shingles and their places: in any common order two
+    similar sets share one of their first n - ceil(0.75 n) + 1, and at the first
+    that they share enough shingles must follow in both, so no pair is lost."""
     crowd = member.select("node", "n_shingles", "group").distinct()
     tokens = (crowd.join(sets.withColumnRenamed("doc_id", "node"), "node")
               .select("node", "n_shingles", "group", F.explode("members").alias("token")))
@@ -136,8 +146,7 @@ def _prefixes(member: DataFrame, sets: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
     need = F.ceil(F.col("n_shingles") * SIMILARITY_PERCENT / 100)
     return (tokens.join(rarity, "token").withColumn("place", place)
-            .filter(F.col("place") <= F.col("n_shingles") - need + 1)
-            .filter("held > 1"))
+            .filter((F.col("place") <= F.col("n_shingles") - need + 1) & (F.col("held") > 1)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,35 +162,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           "near-classes")
     spread = stage_table(classes.select("node", "n_shingles", F.explode("bands").alias("band")), "near-bands")
 
-    links, joined, sets = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        grouped = spread if joined is None else spread.join(joined, "node", "left")
-        member = grouped.select("node", "n_shingles", "band",
-                                (F.col("node") if joined is None else F.coalesce("component", "node")).alias("group"))
-        order = F.xxhash64("node", "band", F.lit(turn))
-        shared = (member.groupBy("band")
-                  .agg(F.min(F.struct(order.alias("o"), "node", "n_shingles", "group")).alias("leader"),
-                       F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("crowd"))
-                  .filter("low < high"))
-        if sets is None:
-            wanted = spread.join(shared, "band", "left_semi").select(F.col("node").alias("doc_id")).distinct()
-            sets = stage_table(source.join(wanted, "doc_id", "left_semi").mapInArrow(
-                _sets, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, members array<bigint>"),
-                "near-sets")
-        if turn < LEADER_ROUNDS:
-            pairs = (member.join(shared, "band").filter("group <> leader.group")
-                     .select(F.col("node").alias("a"), F.col("n_shingles").alias("n"),
-                             F.col("leader.node").alias("b"), F.col("leader.n_shingles").alias("m")))
-        else:
-            few = member.join(shared.filter(F.col("crowd") <= BUCKET_PAIRS).select("band"), "band", "left_semi")
-            many = member.join(shared.filter(F.col("crowd") > BUCKET_PAIRS).select("band"), "band", "left_semi")
-            pairs = _across(few, "band").union(_across(_prefixes(many, sets), "token"))
-        pairs = stage_table(pairs.filter(_close("n", "m")).select("a", "b").distinct(), "near-pairs")
-        found = stage_table(_verified(pairs, sets), "near-links")
-        if links is not None and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        joined = components(links)
+    sizes = spread.groupBy("band").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    member = stage_table(spread.join(sizes, "band"), "near-members")
+    central = stage_table(member.groupBy("node").agg(F.sum("crowd").alias("central")), "near-central")
+    sets = stage_table(source.join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
+        _sets, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, members array<bigint>"), "near-sets")
+
+    ranked = member.join(central, "node")
+    leader = ranked.groupBy("band").agg(F.max(F.struct("central", "node", "n_shingles")).alias("leader"))
+    pairs = (member.join(leader, "band").filter("node <> leader.node")
+             .select(F.col("node").alias("a"), F.col("n_shingles").alias("n"),
+                     F.col("leader.node").alias("b"), F.col("leader.n_shingles").alias("m"))
+             .filter(_close("n", "m")).select("a", "b").distinct())
+    links = stage_table(_verified(stage_table(pairs, "near-pairs"), sets), "near-links")
+    joined = components(links)
+
+    grouped = (member.join(joined, "node", "left")
+               .select("node", "n_shingles", "band", "crowd", F.coalesce("component", "node").alias("group")))
+    open_ = grouped.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
+    rest = stage_table(grouped.join(open_.select("band"), "band", "left_semi"), "near-rest")
+    few = rest.filter(F.col("crowd") <= BUCKET_PAIRS).withColumn("place", F.lit(0))
+    pairs = _across(few, "band").union(_across(_prefixes(rest.filter(F.col("crowd") > BUCKET_PAIRS), sets), "token"))
+    found = stage_table(_verified(stage_table(pairs.distinct(), "near-pairs"), sets), "near-links")
+    if not found.isEmpty():
+        joined = components(links.union(found))
     label = (classes.join(joined, "node", "left")
              .select(*key, F.coalesce("component", "node").alias("component")))
     return (signed.join(label, key, "left")
