@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from squadron.llm import licenses, quality_rules
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,3 +73,55 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+_STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+_LINE = r"regexp_matches(x, '[^\x20\x09-\x0D]')"
+_BOUNDS = " AND ".join(f"{name} >= {low}" if most is None else f"{name} <= {most}" if low is None
+                       else f"{name} BETWEEN {low} AND {most}" for name, low, most in quality_rules.THRESHOLDS)
+ORACLE["op2_quality_rules"] = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {_words("coalesce(text, '')")} AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF {_LINE}] AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([w[j:j + 2] FOR j IN range(1, len(w) - 1)]) AS k FROM d
+      WHERE len(w) >= 3),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+         len([x FOR x IN w IF lower(x) IN ({_STOP})]) AS n_stop, len(ls) AS n_lines,
+         len([x FOR x IN ls IF regexp_matches(x, '^\s*[-*•·]')]) AS n_bullet,
+         len([x FOR x IN ls IF regexp_matches(x, '(\.\.\.|…)\s*$')]) AS n_ellipsis
+  FROM d LEFT JOIN c USING (doc_id)),
+q AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,
+         CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word,
+         CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0 END AS stop_words_per_word,
+         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS duplicate_lines_per_line,
+         CASE WHEN n_lines > 0 THEN n_bullet / n_lines ELSE 0 END AS bullet_lines_per_line,
+         CASE WHEN n_lines > 0 THEN n_ellipsis / n_lines ELSE 0 END AS ellipsis_lines_per_line FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {_BOUNDS} AS kept FROM q
+"""
+
+_SPELLED = "x"
+for _a, _b in licenses.EQUIVALENT:
+    _SPELLED = f"replace({_SPELLED}, '{_a}', '{_b}')"
+_CANONICAL = (rf"[y FOR y IN [trim(regexp_replace({_SPELLED}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) FOR x IN "
+              rf"string_split(lower(text), chr(10)) IF NOT regexp_matches(x, "
+              rf"'^\s*(copyright|\(c\)|©|all rights reserved)')] IF y <> '']")
+_KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+ORACLE["op7_licenses"] = f"""
+WITH known AS (
+  SELECT sha256(array_to_string(ls, ' ')) AS digest, min(license_id) AS license_id
+  FROM (SELECT license_id, {_CANONICAL} AS ls FROM (VALUES {_KNOWN}) v(license_id, text)) GROUP BY 1),
+d AS (SELECT doc_id, coalesce({_CANONICAL}, []) AS ls FROM documents),
+w AS (SELECT doc_id, CASE WHEN len(ls) > 0 THEN sha256(array_to_string(ls, ' ')) END AS digest FROM d),
+h AS (SELECT l.doc_id, count(*) AS n, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS ids
+      FROM (SELECT doc_id, sha256(unnest(ls)) AS digest FROM d) l JOIN known k USING (digest) GROUP BY l.doc_id)
+SELECT w.doc_id, w.digest, k.license_id, coalesce(h.n, 0) AS n_notices, coalesce(h.ids, '') AS notices
+FROM w LEFT JOIN known k USING (digest) LEFT JOIN h USING (doc_id)
+"""

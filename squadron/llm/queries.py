@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from squadron.llm import decontaminate, line_dedup, near_dup, pieces, quality_knn
+from squadron.llm import (decontaminate, licenses, line_dedup, near_dup, pieces, quality_knn, quality_rules,
+                          secrets, url_rules)
 from squadron.llm.oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+@_query
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(_read(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "row.page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rated(_read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @_query
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -36,6 +49,22 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@_query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "row.doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"))
+
+
+@_query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
 @_query
 def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
