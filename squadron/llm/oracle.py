@@ -125,3 +125,24 @@ h AS (SELECT l.doc_id, count(*) AS n, string_agg(DISTINCT k.license_id, ',' ORDE
 SELECT w.doc_id, w.digest, k.license_id, coalesce(h.n, 0) AS n_notices, coalesce(h.ids, '') AS notices
 FROM w LEFT JOIN known k USING (digest) LEFT JOIN h USING (doc_id)
 """
+
+# Hexadecimal digits are single bytes, so a byte window is a substring of 400 of them.
+ORACLE["op4_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k
+      FROM (SELECT doc_id, h, unnest(range(CAST(length(h) / 2 AS BIGINT) - 199)) AS i FROM d WHERE length(h) >= 400)),
+s AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM s),
+r AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END)
+             OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before,
+             row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM u),
+k AS (SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a)
+             || max(CASE WHEN back = 1 THEN substr(h, CAST(2 * b + 1 AS BIGINT)) ELSE '' END) AS kept
+      FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
