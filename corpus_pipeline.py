@@ -51,9 +51,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces: doc_id, n_pieces, ids_sha256, round_trip, ids."""
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
-    return pieces.digests(coded)
+    """The documents as pieces: doc_id, n_pieces, ids_sha256, round_trip."""
+    return pieces.digests(pieces.encode(docs.select("doc_id", "text"), back=True))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -37,8 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text whose distinct words are coded together.
 GROUP_BYTES = 24 << 20
-#: Words of earlier slices whose ids a worker keeps.
-KNOWN_WORDS = 300_000
+#: Words (seen twice in a slice) whose ids a worker keeps.
+KNOWN_WORDS = 200_000
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -76,9 +76,10 @@ class Vocabulary:
         v.bytes_ = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 6}
         lengths: dict[str, set[int]] = {}
         for p in v.ids:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        # A piece of one character ends like any string that ends with it.
-        v.ends = {e: tuple(sorted(n | {1}, reverse=True)) for e, n in lengths.items() if len(e) == 2}
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        # Lengths of the pieces that may end where a string ends with these three characters.
+        v.ends = {e: (*sorted(n, reverse=True), 2, 1) for e, n in lengths.items()}
         if any(MARK in p.lstrip(MARK) for p in v.ids):
             raise ValueError("a piece has a mark after another character: words are not independent")
         return v
@@ -116,10 +117,8 @@ class Vocabulary:
 
 def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
     """Ids of each of the distinct words, which are in code point order."""
-    find, ends, unigram, scores = vocabulary.ids.get, vocabulary.ends.get, vocabulary.unigram, vocabulary.scores
-    joins, stays, single = vocabulary._joins, vocabulary.stays, (1,)
-    floor = min(scores, default=0.0) - _UNKNOWN_PENALTY
-    # The forward columns: of the best path to each prefix, the last piece, its start and the score.
+    forward = _best_scores if vocabulary.unigram else _only_paths
+    # The forward columns: of the path to each prefix, the last piece, its start and (unigram) the score.
     last: list[int | None] = [None]
     begin, best = [0], [0.0]
     out, before = [], ""
@@ -130,30 +129,7 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
                 break
             same += 1
         del last[same + 1:], begin[same + 1:], best[same + 1:]
-        for end in range(same + 1, size + 1):
-            took, score, place = None, -np.inf, end - 1
-            for length in ends(word[end - 2:end], single) if end > 1 else single:
-                start = end - length
-                if start < 0:
-                    continue
-                piece = find(word[start:end])
-                if piece is None:
-                    if length > 1:
-                        continue
-                    piece, reach = -1 - ord(word[start]), best[start] + floor
-                elif unigram:
-                    reach = best[start] + scores[piece]
-                else:
-                    pair = last[start], piece
-                    if joins[pair] if pair in joins else stays(*pair):
-                        took, place, score = piece, start, 0.0
-                        break  # the only one
-                    continue
-                if reach > score:
-                    took, place, score = piece, start, reach
-            last.append(took)
-            begin.append(place)
-            best.append(score if unigram else 0.0)
+        forward(vocabulary, word, same + 1, last, begin, best)
         path, end = [], size
         while end:
             path.append(last[end])
@@ -166,6 +142,49 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
     return out
 
 
+def _only_paths(vocabulary: Vocabulary, word: str, first: int, last: list, begin: list, best: list) -> None:
+    """The forward columns of the prefixes from ``first`` characters on, by merging."""
+    find, ends, joins, stays = vocabulary.ids.get, vocabulary.ends.get, vocabulary._joins.get, vocabulary.stays
+    for end in range(first, len(word) + 1):
+        for length in ends(word[end - 3:end], (2, 1)) if end > 2 else (2, 1)[2 - end:]:
+            start = end - length
+            if start < 0:
+                continue
+            piece = find(word[start:end])
+            if piece is None:
+                if length == 1:
+                    piece = -1 - ord(word[start])
+                    break
+                continue
+            pair = last[start], piece
+            ok = joins(pair)
+            if stays(*pair) if ok is None else ok:
+                break
+        last.append(piece)
+        begin.append(start)
+
+
+def _best_scores(vocabulary: Vocabulary, word: str, first: int, last: list, begin: list, best: list) -> None:
+    """The same by the largest sum of scores."""
+    find, ends, scores = vocabulary.ids.get, vocabulary.ends.get, vocabulary.scores
+    floor = min(scores, default=0.0) - _UNKNOWN_PENALTY
+    for end in range(first, len(word) + 1):
+        top, took, place = -np.inf, None, end - 1
+        for length in ends(word[end - 3:end], (2, 1)) if end > 2 else (2, 1)[2 - end:]:
+            start = end - length
+            if start < 0:
+                continue
+            piece = find(word[start:end])
+            if piece is None and length > 1:
+                continue
+            reach = best[start] + (floor if piece is None else scores[piece])
+            if reach > top:
+                top, took, place = reach, -1 - ord(word[start]) if piece is None else piece, start
+        last.append(took)
+        begin.append(place)
+        best.append(top)
+
+
 def _marked(text: str) -> list[str]:
     """The marked words of a text: marks, then characters that are none."""
     line = MARK + text.replace(" ", MARK)
@@ -202,8 +221,7 @@ def encode_slice(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
         code = np.concatenate([*parts, code[at:]])
         plain = list(index)
     lists: list[list[int]] = [[]] * len(plain)
-    used = np.zeros(len(plain), dtype=bool)
-    used[code] = True
+    used = np.bincount(code, minlength=len(plain))
     known, new = vocabulary.known, []
     for i in np.flatnonzero(used).tolist():
         held = known.get(plain[i])
@@ -214,20 +232,14 @@ def encode_slice(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
     new.sort(key=plain.__getitem__)
     for i, coded_word in zip(new, encode_words(vocabulary, [plain[i] for i in new])):
         lists[i] = coded_word
-        if len(known) < KNOWN_WORDS and len(plain[i]) <= 32:
+        if used[i] > 1 and len(known) < KNOWN_WORDS and len(plain[i]) <= 32:
             known[plain[i]] = coded_word
     size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    start = np.cumsum(size) - size
-    flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(size.sum()))
-    value, ends = gather(flat, start[code], size[code])
+    flat = pa.array(np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(size.sum())))
+    ends = pa.array(np.concatenate(([0], np.cumsum(size))))
+    coded_words = pa.LargeListArray.from_arrays(ends, flat).take(pa.array(code))
     word = np.concatenate(([0], np.cumsum(count)))
-    return pa.LargeListArray.from_arrays(pa.array(ends[word]), pa.array(value))
-
-
-def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs flat[start:start + size] one after another, and their ends."""
-    ends = np.concatenate(([0], np.cumsum(size)))
-    return flat[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], ends
+    return pa.LargeListArray.from_arrays(pa.array(coded_words.offsets.to_numpy()[word]), coded_words.values)
 
 
 def decode_slice(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
@@ -236,31 +248,36 @@ def decode_slice(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
     n = len(column)
     parts = [bytes([int(p[3:5], 16)]) if k == 6 else p.replace(MARK, " ").encode() if k in (1, 4) else b""
              for p, k in zip(vocabulary.pieces, vocabulary.kinds)]
-    size = np.array([*map(len, parts), 0], dtype=np.int64)
-    start = np.cumsum(size) - size
     column = column.cast(pa.large_list(pa.int32()))
-    ids = np.asarray(pc.fill_null(column.flatten(), -1)).astype(np.int64)
+    ids = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
     ids = np.where((ids >= 0) & (ids < len(parts)), ids, len(parts))
-    count = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     first = np.concatenate(([0], np.cumsum(count)))
-    value, ends = gather(np.frombuffer(b"".join(parts), dtype=np.uint8), start[ids], size[ids])
-    raw = value.tobytes()
+    strings = pa.array([*parts, b""], pa.large_binary()).take(pa.array(ids))
+    ends = np.frombuffer(strings.buffers()[1], dtype=np.int64)
+    raw = memoryview(strings.buffers()[2] or b"")
     out = []
     for r in range(n):
-        text = raw[ends[first[r]]:ends[first[r + 1]]].decode("utf-8", "replace")
+        text = str(raw[ends[first[r]]:ends[first[r + 1]]], "utf-8", "replace")
         out.append(text[1:] if text.startswith(" ") else text)
     return pa.array(out, pa.string())
 
 
-def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
-    """Columns ``row`` (the input row) and ids."""
+def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", back: bool = False) -> DataFrame:
+    """Columns ``row`` (the input row) and ids; with ``back`` also decoded, the
+    text that the ids give, made in the same pass."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def work():
         vocabulary = sent.value
-        return lambda column: [encode_slice(vocabulary, column).cast(pa.list_(pa.int32()))]
 
-    return annotate(docs, text_col, "ids array<int>", work, GROUP_BYTES)
+        def code(column: pa.Array) -> list[pa.Array]:
+            ids = encode_slice(vocabulary, column).cast(pa.list_(pa.int32()))
+            return [ids, decode_slice(vocabulary, ids)] if back else [ids]
+
+        return code
+
+    return annotate(docs, text_col, "ids array<int>" + ", decoded string" * back, work, GROUP_BYTES)
 
 
 def decode(coded: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataFrame:

@@ -88,4 +88,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.digests(pieces.decode(pieces.encode(docs)))
+    return pieces.digests(pieces.encode(docs, back=True))
