@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from squadron.llm import decontaminate, line_dedup, near_dup, pieces, quality_knn
 from squadron.session import stage_table
 
+#: Text that is coded together; the workers still hold what earlier stages left.
+CODING_BYTES = 6 << 20
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -52,7 +55,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces: doc_id, n_pieces, ids_sha256, round_trip."""
-    return pieces.digests(pieces.encode(docs.select("doc_id", "text"), back=True))
+    return pieces.digests(pieces.encode(docs.select("doc_id", "text"), back=True, group_bytes=CODING_BYTES))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -37,8 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text whose distinct words are coded together.
 GROUP_BYTES = 24 << 20
-#: Words (seen twice in a slice) whose ids a worker keeps.
-KNOWN_WORDS = 200_000
+#: Bytes of a slice for each word (seen twice in a slice) whose ids a worker keeps.
+BYTES_PER_KNOWN = 120
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -53,6 +53,7 @@ class Vocabulary:
     ids: dict[str, int] = field(default_factory=dict)
     bytes_: dict[int, int] = field(default_factory=dict)
     ends: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    keep: int = GROUP_BYTES // BYTES_PER_KNOWN
     known: dict[str, list[int]] = field(default_factory=dict)
     _joins: dict = field(default_factory=dict)
 
@@ -232,7 +233,7 @@ def encode_slice(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
     new.sort(key=plain.__getitem__)
     for i, coded_word in zip(new, encode_words(vocabulary, [plain[i] for i in new])):
         lists[i] = coded_word
-        if used[i] > 1 and len(known) < KNOWN_WORDS and len(plain[i]) <= 32:
+        if used[i] > 1 and len(known) < vocabulary.keep and len(plain[i]) <= 32:
             known[plain[i]] = coded_word
     size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     flat = pa.array(np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(size.sum())))
@@ -263,13 +264,16 @@ def decode_slice(vocabulary: Vocabulary, column: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", back: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", back: bool = False,
+           group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Columns ``row`` (the input row) and ids; with ``back`` also decoded, the
-    text that the ids give, made in the same pass."""
+    text that the ids give, made in the same pass.  Smaller groups take less
+    memory (about 15 bytes a byte) and more time."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def work():
         vocabulary = sent.value
+        vocabulary.keep = group_bytes // BYTES_PER_KNOWN
 
         def code(column: pa.Array) -> list[pa.Array]:
             ids = encode_slice(vocabulary, column).cast(pa.list_(pa.int32()))
@@ -277,7 +281,7 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", back: boo
 
         return code
 
-    return annotate(docs, text_col, "ids array<int>" + ", decoded string" * back, work, GROUP_BYTES)
+    return annotate(docs, text_col, "ids array<int>" + ", decoded string" * back, work, group_bytes)
 
 
 def decode(coded: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataFrame:

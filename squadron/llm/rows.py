@@ -34,5 +34,6 @@ def annotate(df: DataFrame, text_col: str, fields: str, work: Callable[[], Calla
 
         for part in T.pieces(flat(), "text", limit):
             yield pa.RecordBatch.from_arrays([part.column("row"), *judge(part.column("text"))], names)
+            pa.default_memory_pool().release_unused()  # else a worker keeps its largest slice's memory
 
     return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(run, whole)

@@ -231,8 +231,10 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = (some.filter("blocks > 1 and least = 1").select("place.*", "count").groupBy("doc_id", "text_hash")
               .agg(F.collect_list(F.struct("start", "n", "at", "count")).alias("found")))
     # Rows that repeat an id and a text give the same places; one of them is enough.
-    texts = source.join(listed, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    bodies = stage_table(texts.select("doc_id", "text_hash", "text", "found").mapInArrow(
+    same = source["doc_id"].eqNullSafe(listed["doc_id"]) & (source["text_hash"] == listed["text_hash"])
+    texts = (source.join(listed, same).select(source["doc_id"], source["text_hash"], "text", "found")
+             .dropDuplicates(["doc_id", "text_hash"]))
+    bodies = stage_table(texts.mapInArrow(
         _bodies, f"doc_id {kind}, text_hash bigint, start int, n int, at int, count bigint, body binary")
         .withColumn("rid", F.monotonically_increasing_id()), "suffix-bodies")
     sides = bodies.select("rid", "at", "body").mapInArrow(_sides, "rid bigint, place int, key bigint")
