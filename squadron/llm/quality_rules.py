@@ -74,15 +74,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
                      | F.coalesce(F.when(j > 0, same(j, j - 1)), F.lit(False)))
     covered = F.array_distinct(F.flatten(F.transform(
         twice, lambda s: F.array(s["i"], s["i"] + 1, s["i"] + 2))))
-    return step.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    ratio = {
+        "mean_word_chars": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"),
+        "stop_words_per_word": ("n_stop", "n_words"), "duplicate_lines_per_line": ("n_dup_lines", "n_lines"),
+        "bullet_lines_per_line": ("n_bullet", "n_lines"), "ellipsis_lines_per_line": ("n_ellipsis", "n_lines")}
+    # inline() keeps later filters from being pushed down, which would put the whole
+    # expression of a measure in place of its column, inside the lambdas too.
+    return step.select("row", F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.size(covered), F.lit(0)).cast("bigint").alias("n_repeat_words"),
-        _ratio(F.col("word_chars"), F.col("n_words")).alias("mean_word_chars"),
-        _ratio(F.col("n_symbols"), F.col("n_words")).alias("symbols_per_word"),
-        _ratio(F.col("n_stop"), F.col("n_words")).alias("stop_words_per_word"),
-        _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("duplicate_lines_per_line"),
-        _ratio(F.col("n_bullet"), F.col("n_lines")).alias("bullet_lines_per_line"),
-        _ratio(F.col("n_ellipsis"), F.col("n_lines")).alias("ellipsis_lines_per_line"))
+        *[_ratio(F.col(x), F.col(y)).alias(k) for k, (x, y) in ratio.items()]))))
 
 
 def rated(docs: DataFrame, text_col: str = "text",
