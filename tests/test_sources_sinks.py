@@ -147,6 +147,31 @@ def test_refresh_stream(spark, tmp_path):
     assert got == [(1, 1, 8), (1, 2, 3), (2, 1, 12)]
 
 
+def test_refresh_stream_keeps_newest_row_of_each_player(spark, tmp_path):
+    import os
+
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "table")
+
+    def run():
+        start_gameweek_refresh(spark, landing, table, str(tmp_path / "ckpt")).awaitTermination(120)
+        return sorted((r.player_id, r.gameweek, r.total_points) for r in spark.read.parquet(table).collect())
+
+    _live(landing, 1, [(1, 5)], name="a.json")
+    assert run() == [(1, 1, 5)]
+    # the rest of the gameweek lands in a later batch
+    _live(landing, 1, [(2, 7)], name="b.json")
+    assert run() == [(1, 1, 5), (2, 1, 7)]
+    # two versions of one document in a batch: the one changed last counts
+    _live(landing, 1, [(1, 9)], name="c.json")
+    _live(landing, 1, [(1, 6)], name="d.json")
+    found = {f: os.path.join(d, f) for d, _, fs in os.walk(landing) for f in fs}
+    os.utime(found["d.json"], (1_700_000_000, 1_700_000_000))
+    assert run() == [(1, 1, 9), (2, 1, 7)]
+    # a replay changes nothing
+    _live(landing, 1, [(1, 9), (2, 7)], name="e.json")
+    assert run() == [(1, 1, 9), (2, 1, 7)]
+
+
 def test_schema_contract(spark):
     docs = spark.createDataFrame([('{"k": 1}',), ('{"k": 2, "x": 1}',)], "props string")
     obs = contract.key_counts(docs, "props", "events.props")
