@@ -15,7 +15,7 @@ from squadron.llm import decontaminate, line_dedup, near_dup, pieces, quality_kn
 from squadron.session import stage_table
 
 #: Text that is coded together; the workers still hold what earlier stages left.
-CODING_BYTES = 6 << 20
+CODING_BYTES = 2 << 20
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
