@@ -37,8 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text whose distinct words are coded together.
 GROUP_BYTES = 24 << 20
-#: Bytes of a slice for each word (seen twice in a slice) whose ids a worker keeps.
-BYTES_PER_KNOWN = 120
+#: Words (seen twice in a slice) whose ids a worker keeps, about 20 MB.
+KNOWN_WORDS = 60_000
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -53,7 +53,7 @@ class Vocabulary:
     ids: dict[str, int] = field(default_factory=dict)
     bytes_: dict[int, int] = field(default_factory=dict)
     ends: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    keep: int = GROUP_BYTES // BYTES_PER_KNOWN
+    keep: int = KNOWN_WORDS
     known: dict[str, list[int]] = field(default_factory=dict)
     _joins: dict = field(default_factory=dict)
 
@@ -273,7 +273,6 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", back: boo
 
     def work():
         vocabulary = sent.value
-        vocabulary.keep = group_bytes // BYTES_PER_KNOWN
 
         def code(column: pa.Array) -> list[pa.Array]:
             ids = encode_slice(vocabulary, column).cast(pa.list_(pa.int32()))
