@@ -6,27 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squadron.functions.lists import valid_gameweek
-from squadron.sources.testdata import CHIP_BY_PRIORITY
 
 
-def gameweek_status(entry: DataFrame) -> DataFrame:
-    """F10 / F11 derived from the weekly entries: the latest week is
-    current, earlier weeks are finished (and data-checked); each week's chip
-    plays, highest-scoring entry (ties: lowest id) and floor of the mean
-    entry score.  Status text: current / not yet played / summary."""
-    chips = list(CHIP_BY_PRIORITY.values())
+def chip_plays(entry: DataFrame) -> DataFrame:
+    """how often each chip was played, one row per (gameweek, chip)."""
+    return (entry.where(F.col("active_chip").isNotNull())
+            .groupBy(F.col("gw").alias("gameweek"), F.col("active_chip").alias("chip"))
+            .agg(F.count(F.lit(1)).alias("plays")))
+
+
+def gameweek_status(entry: DataFrame, current=None) -> DataFrame:
+    """F10 / F11 derived from the weekly entries: ``current`` (an int or a
+    Column; by default the latest week) is current, earlier weeks are finished
+    (and data-checked), later ones not yet played; each week's chip plays
+    (``chip:plays``, by chip), highest-scoring entry (ties: lowest id) and floor
+    of the mean entry score.  Status text: current / not yet played / summary."""
     per = entry.groupBy(F.col("gw").alias("gameweek")).agg(
-        *[F.count(F.when(F.col("active_chip") == c, 1)).alias(f"{c}_plays") for c in chips],
         F.min(F.struct((-F.col("total_points")).alias("neg"), F.col("entry_id"))).alias("__hi"),
         F.floor(F.sum("total_points") / F.count("total_points")).cast("int").alias("average_entry_score"))
-    current = entry.select(F.max("gw")).scalar()
+    # A week has as many items as there are kinds of chips.
+    chips = chip_plays(entry).groupBy("gameweek").agg(
+        F.array_sort(F.collect_list(F.struct("chip", "plays"))).alias("__chips"))
+    if current is None:
+        current = entry.select(F.max("gw")).scalar()
     is_current = F.col("gameweek") == current
     finished = F.col("gameweek") < current
-    return per.select(
+    text = F.transform("__chips", lambda x: F.concat_ws(":", x["chip"], x["plays"].cast("string")))
+    return per.join(chips, "gameweek", "left").select(
         "gameweek", is_current.alias("is_current"), finished.alias("finished"),
         finished.alias("data_checked"),
         F.when(is_current, "current").when(~finished, "not yet played").otherwise("summary").alias("status"),
-        *[f"{c}_plays" for c in chips],
+        F.coalesce(text, F.array().cast("array<string>")).alias("chip_plays"),
         F.col("__hi.entry_id").alias("highest_scoring_entry"),
         (-F.col("__hi.neg")).alias("highest_score"),
         "average_entry_score")

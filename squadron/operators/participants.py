@@ -53,13 +53,15 @@ def player_frequency(pick: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
-def most_owned(ws: DataFrame, pick: DataFrame, k: int = 3) -> DataFrame:
-    """A19 per league: the ``k`` players in most squads of each (league,
-    week); ties by player id.  Owner counts are partial aggregates and the
+def most_owned(ws: DataFrame, pick: DataFrame, k: int | None = None) -> DataFrame:
+    """A19 per league: how many squads of each (league, week) hold each player;
+    with ``k`` only the k most owned, numbered (ties by player id).  Owner counts are partial aggregates and the
     top-k is a group limit, so a huge league is never one task."""
     p = pick.select("entry_id", F.col("gw").alias("gameweek"), "player_id")
     owned = (ws.select(*G, "entry_id").join(p, ["entry_id", "gameweek"])
              .groupBy(*G, "player_id").agg(F.count(F.lit(1)).alias("owners")))
+    if k is None:
+        return owned
     return top_k(owned, G, [F.col("owners").desc(), F.col("player_id")], k).select(
         *G, "k", "player_id", "owners")
 
@@ -131,16 +133,22 @@ def league_shield(ws: DataFrame, pick: DataFrame) -> DataFrame:
             .select(*G, "player_id", "n_entries"))
 
 
+def common_to(squads: DataFrame, pick: DataFrame, keys) -> DataFrame:
+    """The players in every one of the chosen squads of each group;
+    ``squads`` has the group's ``keys``, entry_id and gameweek, a squad once (an
+    intersection as group-by-having)."""
+    p = pick.select("entry_id", F.col("gw").alias("gameweek"), "player_id")
+    size = squads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_squads"))
+    owned = squads.join(p, ["entry_id", "gameweek"]).groupBy(*keys, "player_id").agg(
+        F.count(F.lit(1)).alias("n"))
+    return owned.join(size, list(keys)).where(F.col("n") == F.col("n_squads")).select(*keys, "player_id", "n_squads")
+
+
 def common_players(ws: DataFrame, pick: DataFrame, top: int = 3) -> DataFrame:
-    """Players common to the squads of each league-week's ``top``
-    ranked entries (an intersection as group-by-having)."""
+    """U3 for the squads of each league-week's ``top`` ranked entries."""
     lead = top_k(ws.select(*G, "entry_id", "total_points"), G,
                  [F.col("total_points").desc(), F.col("entry_id")], top).drop("k")
-    p = pick.select("entry_id", F.col("gw").alias("gameweek"), "player_id")
-    size = lead.groupBy(*G).agg(F.count(F.lit(1)).alias("n_squads"))
-    owned = lead.join(p, ["entry_id", "gameweek"]).groupBy(*G, "player_id").agg(
-        F.count(F.lit(1)).alias("n"))
-    return owned.join(size, G).where(F.col("n") == F.col("n_squads")).select(*G, "player_id", "n_squads")
+    return common_to(lead, pick, G)
 
 
 SEASON_SCHEMA = [("entry_id", "bigint"), ("section", "string"), ("k", "int"), ("gameweek", "int"),

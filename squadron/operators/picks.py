@@ -81,15 +81,26 @@ def weekly_squads(pick: DataFrame, score: DataFrame, with_lists: bool = False) -
     return out
 
 
-def weekly_scores(entry: DataFrame, pick: DataFrame, score: DataFrame,
-                  league: DataFrame, with_rank: bool = True, stage: bool = False) -> DataFrame:
+def squad_roles(pick: DataFrame) -> DataFrame:
+    """Per (entry_id, gw): number of starters, captain and vice.  No points, so
+    no score is read."""
+    return pick.groupBy("entry_id", "gw").agg(
+        F.count(F.when(F.col("multiplier") > 0, 1)).cast("int").alias("n_players"),
+        F.max(F.when(F.col("is_captain"), F.col("player_id"))).alias("captain"),
+        F.max(F.when(F.col("is_vice_captain"), F.col("player_id"))).alias("vice_captain"))
+
+
+def weekly_scores(entry: DataFrame, pick: DataFrame, score: DataFrame, league: DataFrame,
+                  with_rank: bool = True, stage: bool = False, points: bool = True) -> DataFrame:
     """The league-week frame of R1 (``o_df``): entries that fielded a squad
     (F4, Q6: null or empty squads dropped), joined to every league they are
     in, with captain / vice points and, ``with_rank``, the 1-based league
     rank (W1, ties by entry_id, Q12).  Consumers that never read the rank
     skip its extra shuffles; ``stage`` writes the frame once before ranking
-    so the rank's two passes do not recompute the squad aggregation."""
-    sq = weekly_squads(pick, score).where(F.col("n_players") > 0)
+    so the rank's two passes do not recompute the squad aggregation.  Without
+    ``points`` the captain and vice points and ``missing_players`` are left out
+    and the scores are not read."""
+    sq = (weekly_squads(pick, score) if points else squad_roles(pick)).where(F.col("n_players") > 0)
     members = league.select("league_id", F.col("entry").alias("entry_id"))
     ws = (entry.join(sq, ["entry_id", "gw"], "inner")
           .join(members, "entry_id", "inner")

@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from squadron.functions.lists import season_half
 from squadron.operators.ranking import top_k
 
-SCORE_FIELDS = ["total_points", "minutes", "goals_scored", "assists", "expected_goals",
-                "expected_assists", "expected_goals_conceded", "influence", "creativity",
-                "threat", "in_dreamteam"]
 
-
-def player_payload(score: DataFrame, player: DataFrame, nested: bool = False) -> DataFrame:
+def player_payload(score: DataFrame, player: DataFrame, nested: bool = False, ids=None,
+                   gameweek=None) -> DataFrame:
     """Per (player, gameweek) the player's info for that season
-    half and the week's score.  ``nested`` returns the API shape
-    ``{id, info: struct, gameweekScore: struct}``."""
+    half and the week's score, optionally of the listed ``ids`` and one
+    ``gameweek``.  ``nested`` returns the API shape
+    ``{id, info: struct, gameweekScore: struct}`` with every score column."""
+    score = player_week_score(score, gameweek=gameweek)
+    if ids is not None:
+        score = score.where(F.col("player_id").isin(list(ids)))
     info = player.select("player_id", "half", "player_name", "team", "position")
     j = (score.withColumn("half", season_half("gameweek"))
-         .join(info, ["player_id", "half"], "inner").drop("half"))
+         .join(info, ["player_id", "half"], "inner"))
     if not nested:
         return j
+    fields = [c for c in score.columns if c not in ("player_id", "gameweek")]
     return j.select(
         F.col("player_id").alias("id"), "gameweek",
-        F.struct("player_name", "team", "position").alias("info"),
-        F.struct(*SCORE_FIELDS).alias("gameweekScore"))
+        F.struct("player_name", "team", "position", "half").alias("info"),
+        F.struct(*fields).alias("gameweekScore"))
 
 
 def player_by_half(player: DataFrame, player_id=None, half=None) -> DataFrame:

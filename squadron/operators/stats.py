@@ -7,8 +7,9 @@ small integers, so the map stays small even for a huge league.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from squadron.functions.dims import bounded_broadcast
 from squadron.functions.lists import season_half
@@ -27,9 +28,11 @@ def outliers(ws: DataFrame, participants: DataFrame, rule: str = "max") -> DataF
     """A6, every row (Q10): ``exceptional`` = at the week's maximum (rule
     ``max``) or above Q3 + 1.5 IQR (rule ``iqr``); ``abysmal`` = below
     Q1 - 1.5 IQR.  Each row carries the league average."""
-    st = basic_stats(ws, G).withColumn("iqr", F.col("q3") - F.col("q1"))
-    mx = ws.groupBy(*G).agg(F.max("total_points").alias("max_points"))
-    j = ws.join(st, G).join(mx, G)
+    quarters = F.percentile("total_points", [0.25, 0.75])
+    st = ws.groupBy(*G).agg(quarters.alias("q"), F.avg("total_points").alias("average"),
+                            F.max("total_points").alias("max_points"))
+    j = ws.join(st.select(*G, "average", "max_points", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"),
+                          (F.col("q")[1] - F.col("q")[0]).alias("iqr")), G)
     if rule == "max":
         high = F.col("total_points") == F.col("max_points")
     elif rule == "iqr":
@@ -104,16 +107,13 @@ def gameview_ict(stats: DataFrame) -> DataFrame:
     return stats.groupBy("gameweek", "position").agg(*aggs)
 
 
-STAT_COLUMNS = ["total_points", "minutes", "goals_scored", "assists", "expected_goals",
-                "expected_assists", "expected_goals_conceded", "influence", "creativity", "threat"]
-
-
 def stat_totals(score: DataFrame, keys=("gameweek",)) -> DataFrame:
-    """Totals of every stat column (per gameweek by default; ``keys=()``
-    for the season)."""
+    """Totals of every numeric column of the frame but its ids (per
+    gameweek by default; ``keys=()`` for the season)."""
+    ids = {"player_id", "gameweek", *keys}
     return score.groupBy(*keys).agg(*[
-        (F.sum(c).cast("double") if c.startswith(("expected", "influence", "creativity", "threat"))
-         else F.sum(c)).alias(c) for c in STAT_COLUMNS])
+        (F.sum(f.name).cast("double") if isinstance(f.dataType, T.DecimalType) else F.sum(f.name)).alias(f.name)
+        for f in score.schema if isinstance(f.dataType, T.NumericType) and f.name not in ids])
 
 
 def fixture_results(fixture: DataFrame, team: DataFrame, code_base: int = 2444470) -> DataFrame:
@@ -155,3 +155,18 @@ def season_extremes(standings: DataFrame) -> DataFrame:
         F.col("lo.gw").alias("lowest_gw"), F.col("lo.v").alias("lowest_points"),
         F.col("best.gw").alias("best_rank_gw"), F.col("best.v").alias("best_rank"),
         F.col("worst.gw").alias("worst_rank_gw"), (-F.col("worst.v")).alias("worst_rank"))
+
+
+def season_extreme_weeks(history: DataFrame) -> DataFrame:
+    """A24 by overall rank: every week at which an entry has its highest or
+    lowest points, or its best or worst overall rank (ties: all of them).  The
+    windows hold one entry's season."""
+    season = Window.partitionBy("entry_id")
+    ends = [("highest_points", "points", F.max), ("lowest_points", "points", F.min),
+            ("best_rank", "overall_rank", F.min), ("worst_rank", "overall_rank", F.max)]
+    weeks = history.select("entry_id", "gameweek", "points", "overall_rank").distinct()
+    kinds = F.array(*[F.when(F.col(c) == end(c).over(season), F.struct(F.lit(kind).alias("kind"), F.col(c).cast(
+        "bigint").alias("value"))) for kind, c, end in ends])
+    return (weeks.select("entry_id", "gameweek", kinds.alias("kinds"))
+            .select("entry_id", "gameweek", F.explode("kinds").alias("k")).where("k is not null")
+            .select("entry_id", "gameweek", "k.kind", "k.value"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from squadron.operators import lookups, participants, players
+from squadron.operators import lookups, participants, players, stats
 from squadron.oracle_views import with_views
 from squadron.plans.oracle_common import WS_CTES, WS_VIEWS
 from squadron.plans.registry import register
-from squadron.plans.transfer_queries import current_week
+from squadron.plans.transfer_queries import SPAN, current_week
 from squadron.plans.weekly import ws_of
 from squadron.sources.testdata import tables
 
@@ -38,6 +38,19 @@ def q_player_payload(spark, sf_dir):
         "in_dreamteam")
 
 
+PLAYER_IDS = [1, 2, 3, 10, 17, 26, 42, 77]
+
+
+@register("player_payload_by_ids", with_views(
+    f"""SELECT s.player_id, s.gameweek, p.half, p.player_name, p.team, p.position, s.total_points
+        FROM score s JOIN player p ON p.player_id = s.player_id AND p.half = {HALF.format(g='s.gameweek')}
+        WHERE s.gameweek = 20 AND s.player_id IN (1, 2, 3, 10, 17, 26, 42, 77)""", "score", "player"), "J7 R4")
+def q_player_payload_by_ids(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return players.player_payload(t.score, t.player, ids=PLAYER_IDS, gameweek=20).select(
+        "player_id", "gameweek", "half", "player_name", "team", "position", "total_points")
+
+
 @register("player_names", with_views(
     f"""SELECT p.entry_id, p.gw AS gameweek, list(pl.player_name ORDER BY p.position) AS player_names
         FROM pick p LEFT JOIN player pl ON pl.player_id = p.player_id AND pl.half = {HALF.format(g='p.gw')}
@@ -97,21 +110,38 @@ def q_season_stats(spark, sf_dir):
 
 
 # ---- gameweek lookups ------------------------------------------------------
-STATUS_SQL = """SELECT gw AS gameweek, gw = c.cur AS is_current, gw < c.cur AS finished, gw < c.cur AS data_checked,
+def _status_sql(current: str = "(SELECT max(gw) FROM entry)") -> str:
+    return f"""SELECT s.*, coalesce(p.chip_plays, CAST([] AS VARCHAR[])) AS chip_plays FROM (
+  SELECT gw AS gameweek, gw = c.cur AS is_current, gw < c.cur AS finished, gw < c.cur AS data_checked,
        CASE WHEN gw = c.cur THEN 'current' WHEN NOT (gw < c.cur) THEN 'not yet played' ELSE 'summary' END AS status,
-       count(CASE WHEN active_chip = 'wildcard' THEN 1 END) AS wildcard_plays,
-       count(CASE WHEN active_chip = 'freehit' THEN 1 END) AS freehit_plays,
        first(entry_id ORDER BY total_points DESC, entry_id) AS highest_scoring_entry,
        max(total_points) AS highest_score,
        CAST(floor(sum(total_points) / count(total_points)) AS INTEGER) AS average_entry_score
-  FROM entry CROSS JOIN (SELECT max(gw) AS cur FROM entry) c GROUP BY gw, c.cur"""
+  FROM entry CROSS JOIN (SELECT {current} AS cur) c GROUP BY gw, c.cur) s
+  LEFT JOIN (SELECT gameweek, list(chip || ':' || plays ORDER BY chip) AS chip_plays FROM ({CHIPS_SQL})
+             GROUP BY gameweek) p ON p.gameweek = s.gameweek"""
+
 
+CHIPS_SQL = """SELECT gw AS gameweek, active_chip AS chip, count(*) AS plays FROM entry
+    WHERE active_chip IS NOT NULL GROUP BY gw, active_chip"""
+STATUS_SQL = _status_sql()
 
-@register("gameweek_status", with_views(STATUS_SQL, "entry"), "F11 Q16")
+
+@register("gameweek_status", with_views(STATUS_SQL, "entry"), "F11 Q16", list_cols=("chip_plays",))
 def q_gameweek_status(spark, sf_dir):
     return lookups.gameweek_status(tables(spark, sf_dir).entry)
 
 
+@register("gameweek_status_midseason", with_views(_status_sql("20"), "entry"), "F11", list_cols=("chip_plays",))
+def q_gameweek_status_midseason(spark, sf_dir):
+    return lookups.gameweek_status(tables(spark, sf_dir).entry, current=20)
+
+
+@register("chip_plays", with_views(CHIPS_SQL, "entry"), "F11")
+def q_chip_plays(spark, sf_dir):
+    return lookups.chip_plays(tables(spark, sf_dir).entry)
+
+
 @register("current_gameweek", with_views(
     "SELECT gameweek, finished, data_checked FROM st WHERE is_current", "entry",
     extra=(("st", STATUS_SQL),)), "F10")
@@ -176,6 +206,20 @@ def q_entries_span(spark, sf_dir):
         "event_transfers_cost")
 
 
+@register("entries_span_upto", with_views(
+    "SELECT entry_id, gw AS gameweek, total_points FROM entry WHERE gw <= 17", "entry"), "F8")
+def q_entries_span_upto(spark, sf_dir):
+    return participants.entries_span(tables(spark, sf_dir).entry, upto=17).select(
+        "entry_id", F.col("gw").alias("gameweek"), "total_points")
+
+
+@register("entries_span_weeks", with_views(
+    "SELECT entry_id, gw AS gameweek, total_points FROM entry WHERE gw IN (8, 10, 3)", "entry"), "F8")
+def q_entries_span_weeks(spark, sf_dir):
+    return participants.entries_span(tables(spark, sf_dir).entry, weeks=SPAN).select(
+        "entry_id", F.col("gw").alias("gameweek"), "total_points")
+
+
 SQP = ("sqp", """SELECT p.entry_id, p.gw, p.position, p.player_id, p.multiplier, p.is_captain, p.is_vice_captain,
        CAST(coalesce(s.total_points, 0) AS INTEGER) AS pts
   FROM pick p LEFT JOIN score s ON s.player_id = p.player_id AND s.gameweek = p.gw""")
@@ -291,6 +335,46 @@ def q_common_players(spark, sf_dir):
     return participants.common_players(ws_of(t), t.pick)
 
 
+@register("common_players_by_captain", with_views(
+    """SELECT o.league_id, o.gameweek, o.captain, o.player_id, sz.n_squads
+       FROM (SELECT w.league_id, w.gameweek, w.captain, p.player_id, count(*) AS n
+             FROM ws w JOIN pick p ON p.entry_id = w.entry_id AND p.gw = w.gameweek GROUP BY ALL) o
+       JOIN (SELECT league_id, gameweek, captain, count(*) AS n_squads FROM ws GROUP BY ALL HAVING count(*) > 1) sz
+         ON sz.league_id = o.league_id AND sz.gameweek = o.gameweek AND sz.captain = o.captain
+       WHERE o.n = sz.n_squads""", *WS_VIEWS, extra=WS_CTES), "U3")
+def q_common_players_by_captain(spark, sf_dir):
+    """The chosen squads are those that share a captain."""
+    t = tables(spark, sf_dir)
+    keys = ["league_id", "gameweek", "captain"]
+    chosen = ws_of(t).where(F.col("captain").isNotNull()).select(*keys, "entry_id")
+    return participants.common_to(chosen, t.pick, keys).where(F.col("n_squads") > 1)
+
+
+@register("owned_counts", with_views(
+    """SELECT w.league_id, w.gameweek, p.player_id, count(*) AS owners
+       FROM ws w JOIN pick p ON p.entry_id = w.entry_id AND p.gw = w.gameweek
+       GROUP BY w.league_id, w.gameweek, p.player_id""", *WS_VIEWS, extra=WS_CTES), "A19")
+def q_owned_counts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return participants.most_owned(ws_of(t), t.pick)
+
+
+@register("season_extreme_weeks", with_views(
+    """SELECT entry_id, gameweek, kind, value FROM (
+         SELECT h.entry_id, h.gameweek, k.kind,
+                CAST(CASE WHEN k.kind LIKE '%points' THEN h.points ELSE h.overall_rank END AS BIGINT) AS value,
+                CASE k.kind WHEN 'highest_points' THEN h.points = x.hi WHEN 'lowest_points' THEN h.points = x.lo
+                     WHEN 'best_rank' THEN h.overall_rank = x.best ELSE h.overall_rank = x.worst END AS hit
+         FROM h JOIN (SELECT entry_id, max(points) AS hi, min(points) AS lo, min(overall_rank) AS best,
+                             max(overall_rank) AS worst FROM h GROUP BY entry_id) x ON x.entry_id = h.entry_id
+         CROSS JOIN (VALUES ('highest_points'), ('lowest_points'), ('best_rank'), ('worst_rank')) k(kind)) WHERE hit""",
+    "standings", "entry", extra=(("h", f"SELECT DISTINCT entry_id, gameweek, points, overall_rank FROM ({PH_BODY})"),)),
+    "A24")
+def q_season_extreme_weeks(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return stats.season_extreme_weeks(participants.participant_history(t.standings, t.entry))
+
+
 # ---- A23 season wrap, all sections ----------------------------------------
 def _season_sql(section: str, body: str, **cols) -> str:
     from squadron.operators.participants import SEASON_SCHEMA
@@ -393,7 +477,7 @@ def q_season_wrap_report(spark, sf_dir):
          GROUP BY w.league_id, w.gameweek, p.player_id) WHERE k <= 3""", *WS_VIEWS, extra=WS_CTES), "A19")
 def q_most_owned(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return participants.most_owned(ws_of(t), t.pick)
+    return participants.most_owned(ws_of(t), t.pick, k=3)
 
 
 @register("src_participant_history", with_views(

@@ -49,7 +49,7 @@ def _long(df: DataFrame, section: str, **cols) -> DataFrame:
 def league_weekly_report(t, population: str = "transferred", materialize: bool = True) -> DataFrame:
     """R1 over all leagues and weeks.  ``t`` provides the domain tables
     (entry, pick, score, league, standings, transfer, auto_sub)."""
-    ws = weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=False)
+    ws = weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=False, points=False)
     if materialize:
         ws = stage_table(ws, "weekly_scores")
     j1 = transfers.entry_transfer_join(ws, t.transfer, t.score, t.league, population)

@@ -50,6 +50,14 @@ def q_outliers(spark, sf_dir):
     return stats.outliers(ws_of(t), t.league)
 
 
+@register("outliers_iqr", with_views("SELECT * FROM o", *WS_VIEWS, extra=(
+    *WS_CTES, ST, (OUT[0], OUT[1].replace("w.total_points = st.max_points",
+                                          "w.total_points > st.q3 + 1.5 * (st.q3 - st.q1)")))), "A6 Q10")
+def q_outliers_iqr(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return stats.outliers(ws_of(t), t.league, rule="iqr")
+
+
 OUT_REP_BODY = """SELECT g.league_id, g.gameweek, e.entry_id AS exceptional_entry, e.team_name AS exceptional_team,
               e.score AS exceptional_score, a.entry_id AS abysmal_entry, a.team_name AS abysmal_team,
               a.score AS abysmal_score, g.league_average

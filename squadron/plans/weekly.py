@@ -14,10 +14,11 @@ WS_COLS = ["league_id", "gameweek", "entry_id", "total_points", "active_chip", "
            "vice_captain_points", "missing_players", "rank"]
 
 
-def ws_of(t, rank: bool = False):
+def ws_of(t, rank: bool = False, points: bool = False):
     """Weekly league frame; the W1 rank only where a query outputs it (then
-    the frame is staged once so the rank's two passes share it)."""
-    return picks.weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=rank, stage=rank)
+    the frame is staged once so the rank's two passes share it), and the
+    captain and vice points too."""
+    return picks.weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=rank, stage=rank, points=points)
 
 
 CAPTAIN_BODY = """SELECT league_id, gameweek, captain, count(*) AS count FROM ws
@@ -34,7 +35,7 @@ def q_captain_counts(spark, sf_dir):
 @register("weekly_scores", with_views(
     f"SELECT {', '.join(WS_COLS)} FROM ws", *WS_VIEWS, extra=WS_CTES), "F4 J3 W1")
 def q_weekly_scores(spark, sf_dir):
-    return ws_of(tables(spark, sf_dir), rank=True).select(*WS_COLS)
+    return ws_of(tables(spark, sf_dir), rank=True, points=True).select(*WS_COLS)
 
 
 @register("weekly_rank_position", with_views(

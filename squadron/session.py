@@ -86,17 +86,17 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
 def scale_conf(executors: int, cores_per_executor: int, input_bytes: int) -> dict[str, str]:
     """Settings for a cluster run, derived from its size.
 
-    Shuffle partitions start at ~128 MB of input per partition (at least
-    three waves of the cluster's cores), and AQE coalesces them at run time
-    toward the same advisory size.  A partition is then a fraction of an
-    executor's memory, so sorts and aggregates spill rarely.  Skewed join
+    Shuffle partitions start at ~128 MB of input per partition, between three
+    and ten waves of the cluster's cores (more would cost map tasks times
+    reducers in blocks and map statuses on the driver), and AQE coalesces them
+    at run time toward the same advisory size.  Skewed join
     partitions (5x the median and over 256 MB) are split by AQE.  Explicit
     broadcasts in this library are for fixed-size dimensions only; the
     automatic threshold stays at Spark's size check.
     """
     cores = executors * cores_per_executor
     target = 128 << 20
-    partitions = max(3 * cores, -(-input_bytes // target))
+    partitions = min(max(3 * cores, -(-input_bytes // target)), 10 * cores)
     return {
         **CORE_CONF,
         "spark.sql.shuffle.partitions": str(partitions),

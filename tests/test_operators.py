@@ -182,5 +182,5 @@ def test_scale_conf_sizes_partitions():
     small = scale_conf(10, 4, 1 << 30)
     assert small["spark.sql.shuffle.partitions"] == "120"  # 3 waves of 40 cores
     big = scale_conf(1000, 8, 100 << 40)
-    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert int(big["spark.sql.shuffle.partitions"]) == 10 * 1000 * 8  # ten waves at most
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"

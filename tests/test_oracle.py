@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from squadron.plans.catalog import REGISTRY
 from tools.check_oracle import TABLES, duck_rows, spark_rows, spark_to_duck
 
-KEYS = sorted(E.queries())
+KEYS = sorted(REGISTRY)
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def con(sf_small):
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(REGISTRY) - set(E.oracle_sql())
     assert not missing, missing
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from squadron.plans.catalog import REGISTRY
 from squadron.operators.ranking import position_rank, top_k
 from squadron.operators.players import points_by_gameweek
 
@@ -15,7 +16,7 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(REGISTRY))
 def test_no_python_udf_no_cartesian(spark, sf_small, key):
     p = plan_text(E.queries()[key](spark, sf_small))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -60,3 +61,16 @@ def test_bounded_broadcast(spark):
     assert "BroadcastHashJoin" in p_small
     # over the bound: no hint is added, the planner decides by size
     assert bounded_broadcast(big, max_rows=20) is big
+
+
+@pytest.mark.parametrize("key", ["captain_counts", "basic_stats", "outliers", "most_owned"])
+def test_scores_are_read_only_for_points(spark, sf_small, key):
+    assert not [f for f in E.queries()[key](spark, sf_small).inputFiles() if "/score" in f]
+
+
+def test_variants_return_rows(spark, sf_small):
+    for key in ("common_players_by_captain", "entries_span_weeks", "entries_span_upto", "season_extreme_weeks",
+                "player_payload_by_ids", "outliers_iqr"):
+        assert not E.queries()[key](spark, sf_small).isEmpty(), key
+    status = {r.status for r in E.queries()["gameweek_status_midseason"](spark, sf_small).collect()}
+    assert status == {"summary", "current", "not yet played"}
