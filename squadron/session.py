@@ -7,9 +7,12 @@ from the session and only invents a local folder when the master is local.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -71,11 +74,39 @@ def stage_table(df, name: str = "stage"):
     plans that read it.  Survives executor loss like any written table."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.parquet(path)
     _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writers_lock = threading.Lock()
+_writers: dict[int, tuple[int, str | None]] = {}
+
+
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of the queries in the block when each
+    ends, as only the table they write is read again.  The session's own setting
+    is restored when the last of several concurrent blocks ends."""
+    with _writers_lock:
+        count, own = _writers.get(id(spark)) or (0, spark.conf.get(_SHUFFLE_CLEANUP, None))
+        _writers[id(spark)] = count + 1, own
+        spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _writers_lock:
+            count, own = _writers.pop(id(spark))
+            if count > 1:
+                _writers[id(spark)] = count - 1, own
+            elif own is None:
+                spark.conf.unset(_SHUFFLE_CLEANUP)
+            else:
+                spark.conf.set(_SHUFFLE_CLEANUP, own)
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     """Let the folder's file system remove it when the driver ends."""
     jvm = spark._jvm
