@@ -25,7 +25,7 @@ _U = np.uint64
 BLOCKS = "doc_id {id}, text_hash bigint, start int, n int, at int, anchor bigint, block bigint"
 
 
-def _range_hash(data: np.ndarray, salt: int) -> callable:
+def range_hash(data: np.ndarray, salt: int) -> callable:
     """A function of (starts, stops) giving 64-bit hashes of byte ranges."""
     forward, back = T.powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -58,12 +58,12 @@ def row_starts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The blocks of each row (doc_id, text, text_hash); starts count from the row's first byte."""
-    for part in T.pieces(batches, "text", 1 << 20):
+    for part in T.pieces(batches, "text", 1 << 16):
         data, offsets = T.utf8(part.column("text"))
         start, row = row_starts(offsets)
         if not len(start):
             continue
-        one = _range_hash(data, 1)
+        one = range_hash(data, 1)
         anchor = anchors(data, one, start)
         new = np.ones(len(start), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
@@ -75,5 +75,5 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id").take(pa.array(r)), part.column("text_hash").take(pa.array(r)),
              small(a - offsets[r]), small(n), small(p - a), pa.array(one(p, p + GRAM).view(np.int64)),
-             pa.array(_range_hash(data, 0x51ED270B)(a, end).view(np.int64))],
+             pa.array(range_hash(data, 0x51ED270B)(a, end).view(np.int64))],
             ["doc_id", "text_hash", "start", "n", "at", "anchor", "block"])

@@ -2,7 +2,10 @@
 
 ``suffix_blocks`` leaves the places where a repeated window may begin; a whole
 block that occurs twice is repeated throughout and stands once in what is
-sorted.  Their suffixes are ordered by a difference cover modulo 3, to the depth
+sorted.  The other blocks are cut into cells of ``STEP`` window starts, at places
+that follow the anchor, so equal windows lie in cells of the same number whose
+common bytes (the core) are equal: cells with a core of their own hold no repeat,
+and cells with equal bytes throughout (the hull) stand once.  Their suffixes are ordered by a difference cover modulo 3, to the depth
 of 200 bytes:
 
 1. positions 1 and 2 modulo 3 are the sample.  The triple of 8-byte characters
@@ -24,7 +27,6 @@ empty result; other columns are kept in ``row``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ from squadron.llm import suffix_blocks as B, textkit as T
 from squadron.session import stage_table
 
 LENGTH = B.LENGTH
-#: Bytes between the places left and right of an anchor at which blocks are compared.
-STEP = 38
+#: Window starts of a cell.
+STEP = 8
 _REST = LENGTH - B.GRAM
 #: Distances of the names that make the next triple.
 LEVELS = [(24, (0, 24, 48)), (72, (0, 63, 126))]
@@ -66,40 +68,50 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "text_hash", "start", "n", "at", "count", "body"])
 
 
-def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, place, key): hashes of the gram with 38, 76, ... bytes on its left
-    (places 1, 2, ...) or on its right (-1, -2, ...)."""
-    for batch in batches:
-        rid, place, key = [], [], []
-        for r, at, body in zip(batch.column("rid").to_pylist(), batch.column("at").to_pylist(),
-                               batch.column("body").to_pylist()):
-            for j in range(1, _REST // STEP + 1):
-                for sign, a, b in ((1, at - STEP * j, at + B.GRAM), (-1, at, at + B.GRAM + STEP * j)):
-                    if a >= 0 and b <= len(body):
-                        rid.append(r)
-                        place.append(sign * j)
-                        key.append(int.from_bytes(hashlib.blake2b(body[a:b], digest_size=8, key=bytes([j, sign + 1]))
-                                                  .digest(), "big", signed=True))
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(place, pa.int32()),
-                                          pa.array(key, pa.int64())], ["rid", "place", "key"])
-
-
-def _windows(n: int, at: int, shared: set[int]) -> np.ndarray:
-    """Window starts of a block whose left and right parts, to whole steps, stand in another block."""
-    left = at - np.arange(n)
-    ok = np.array([j == 0 or j in shared for j in range(_REST // STEP + 1)])
-    ko = np.array([j == 0 or -j in shared for j in range(_REST // STEP + 1)])
-    return np.flatnonzero(ok[left // STEP] & ko[(_REST - left) // STEP])
-
-
-def _sampled(starts: np.ndarray, reach: int, size: int) -> np.ndarray:
-    """Sampled positions whose ``size`` bytes lie within the windows that start
-    at ``starts`` (``reach`` is the last place in the body)."""
-    step = np.zeros(reach + LENGTH + 2, dtype=np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + LENGTH - size + 1, -1)
-    at = np.flatnonzero(np.cumsum(step) > 0)
-    return at[at % 3 != 0]
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of each block: the window starts that lie up to ``STEP`` bytes
+    apart, counted from the anchor.  ``core`` is a hash of the bytes that all
+    windows of a full cell hold, ``hull`` of all bytes of the cell's windows."""
+    for part in T.pieces(batches, "body", 1 << 16):
+        body = part.column("body").cast(pa.large_binary())
+        offsets = np.frombuffer(body.buffers()[1], dtype=np.int64)[body.offset:body.offset + len(body) + 1]
+        data = np.frombuffer(body.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
+        n, at = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "at"))
+        least = (at - n + 1) // STEP
+        many = at // STEP - least + 1
+        row = np.repeat(np.arange(len(n)), many)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(many) - many - least, many)
+        low, high = STEP * j, np.minimum(STEP * j + STEP - 1, _REST)
+        first, last = np.maximum(0, at[row] - high), np.minimum(n[row] - 1, at[row] - low)
+        base = (offsets - offsets[0])[row]
+        core = B.range_hash(data, 2)(base + at[row] - low, base + at[row] - high + LENGTH)
+        hull = B.range_hash(data, 3)(base + first, base + last + LENGTH)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("rid").take(pa.array(row)), pa.array(first.astype(np.int32)),
+             pa.array((last - first + 1).astype(np.int32)), part.column("count").take(pa.array(row)),
+             pa.array(T.combine([core, j.astype(np.uint64)], 1).view(np.int64)), pa.array(hull.view(np.int64))],
+            ["rid", "first", "n", "count", "core", "hull"])
+
+
+def _starts(cells: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts of a block's cells, in order, and whether each cell's hull stands only once."""
+    cells = sorted(cells, key=lambda c: c["first"])
+    return (np.concatenate([np.arange(c["first"], c["first"] + c["n"]) for c in cells]),
+            np.concatenate([np.full(c["n"], c["once"]) for c in cells]))
+
+
+def _sampled(starts: np.ndarray, size: int) -> np.ndarray:
+    """Sampled positions whose names the windows at ``starts`` are ordered by, at
+    the first level: their own and those at the distances of the next levels."""
+    need = np.zeros(size, dtype=bool)
+    for shift in range(3):
+        need[starts + shift] = True
+    need[::3] = False
+    for _, offsets in reversed(LEVELS):
+        at = np.flatnonzero(need)
+        for o in offsets[1:]:
+            need[at + o] = True
+    return np.flatnonzero(need)
 
 
 def _packed(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +125,8 @@ def _first_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for a in range(0, batch.num_rows, 2000):
             part, rows = batch.slice(a, 2000), []
-            for rid, body, starts in zip(*[part.column(c).to_pylist() for c in ("rid", "body", "starts")]):
-                pos = _sampled(np.array(starts), len(body), 24)
+            for rid, body, cells in zip(*[part.column(c).to_pylist() for c in ("rid", "body", "cells")]):
+                pos = _sampled(_starts(cells)[0], len(body))
                 data = np.frombuffer(body, dtype=np.uint8)
                 # Big-endian 8-byte characters, their order kept in signed numbers.
                 keys = [(np.ascontiguousarray(data[pos[:, None] + np.arange(8 * k, 8 * k + 8)]).view(">u8").ravel()
@@ -143,20 +155,22 @@ def _next_triples(offsets: tuple[int, ...]):
 
 
 def _merge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window's keys (shift, name, other two bytes), pos being its start."""
+    """Each window's keys (shift, name, other two bytes); pos is twice its start,
+    and one more in a cell whose hull stands once."""
     for batch in batches:
         for a in range(0, batch.num_rows, 2000):
             part, rows = batch.slice(a, 2000), []
-            for rid, body, starts, named in zip(part.column("rid").to_pylist(), part.column("body").to_pylist(),
-                                                part.column("starts").to_pylist(), part.column("named")):
+            for rid, body, cells, named in zip(part.column("rid").to_pylist(), part.column("body").to_pylist(),
+                                               part.column("cells").to_pylist(), part.column("named")):
                 data = np.frombuffer(body, dtype=np.uint8).astype(np.int64)
                 name = np.full(len(body) + 3, -1, dtype=np.int64)
                 name[np.asarray(named.values.field("pos"))] = np.asarray(named.values.field("name"))
-                start = np.array(starts)
+                start, once = _starts(cells)
                 for shift in range(3):
-                    p = start[name[start + shift] >= 0]
+                    there = name[start + shift] >= 0
+                    p = start[there]
                     around = [p + k for k in range(shift)] + [p + shift + COVERED + k for k in range(2 - shift)]
-                    rows.append((np.full(len(p), rid, dtype=np.int64), p.astype(np.int32),
+                    rows.append((np.full(len(p), rid, dtype=np.int64), (2 * p + once[there]).astype(np.int32),
                                  np.full(len(p), shift, dtype=np.int64), name[p + shift],
                                  data[around[0]] * 256 + data[around[1]]))
             yield from _packed(rows)
@@ -230,44 +244,39 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     listed = (some.filter("blocks > 1 and least = 1").select("place.*", "count").groupBy("doc_id", "text_hash")
               .agg(F.collect_list(F.struct("start", "n", "at", "count")).alias("found")))
-    # Rows that repeat an id and a text give the same places; one of them is enough.
+    # Rows that repeat an id and a text give the same bodies, whose blocks are counted as repeated already.
     same = source["doc_id"].eqNullSafe(listed["doc_id"]) & (source["text_hash"] == listed["text_hash"])
-    texts = (source.join(listed, same).select(source["doc_id"], source["text_hash"], "text", "found")
-             .dropDuplicates(["doc_id", "text_hash"]))
+    texts = source.join(listed, same).select(source["doc_id"], source["text_hash"], "text", "found")
     bodies = stage_table(texts.mapInArrow(
         _bodies, f"doc_id {kind}, text_hash bigint, start int, n int, at int, count bigint, body binary")
         .withColumn("rid", F.monotonically_increasing_id()), "suffix-bodies")
-    sides = bodies.select("rid", "at", "body").mapInArrow(_sides, "rid bigint, place int, key bigint")
-    twice = sides.groupBy("place", "key").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = (sides.join(twice, ["place", "key"]).groupBy("rid").agg(F.collect_set("place").alias("shared")))
-    kept = stage_table(bodies.join(shared, "rid", "left").mapInArrow(_kept_windows, S.StructType(
-        [*bodies.schema, S.StructField("starts", S.ArrayType(S.IntegerType()))])), "suffix-kept")
-
-    names = _sorted_names(kept.select("rid", "body", "starts").mapInArrow(_first_triples, _KEYS), "suffix-names")
+    cells = stage_table(bodies.select("rid", "n", "at", "count", "body").mapInArrow(
+        _cells, "rid bigint, first int, n int, count bigint, core bigint, hull bigint"), "suffix-cells")
+    hulls = cells.groupBy("core", "hull").agg(F.sum("count").alias("weight"), F.min("rid").alias("one"))
+    cores = hulls.groupBy("core").agg(F.count("*").alias("hulls"), F.min("weight").alias("least"))
+    open_core = (F.col("hulls") > 1) & (F.col("least") == 1)
+    known = hulls.join(cores, "core").filter(open_core | (F.col("weight") > 1))
+    status = (cells.join(known, ["core", "hull"])
+              .groupBy("rid").agg(F.collect_list(F.struct(
+                  "first", "n", (F.col("weight") == 1).alias("once"),
+                  (open_core & (F.col("rid") == F.col("one"))).alias("sorted"))).alias("cells")))
+    held = stage_table(bodies.join(status, "rid"), "suffix-held")
+    again = (held.filter("count = 1").select("doc_id", "text_hash", "start", F.explode("cells").alias("cell"))
+             .filter("not cell.once")
+             .select("doc_id", "text_hash", (F.col("start") + F.col("cell.first")).alias("start"), F.col("cell.n").alias("n")))
+    kept = (held.withColumn("cells", F.filter("cells", lambda c: c["sorted"])).filter("size(cells) > 0")
+            .select("rid", "doc_id", "text_hash", "start", "body", "cells"))
+
+    names = _sorted_names(kept.select("rid", "body", "cells").mapInArrow(_first_triples, _KEYS), "suffix-names")
     for _, offsets in LEVELS:
         names = _sorted_names(_by_block(names).mapInArrow(_next_triples(offsets), _KEYS), "suffix-names")
-    merged = (kept.filter("count = 1").select("rid").withColumn("own", F.lit(True)))
-    keys = (kept.select("rid", "body", "starts").join(_by_block(names), "rid")
-            .select("rid", "body", "starts", "named").mapInArrow(_merge_keys, _KEYS))
-    flagged = _sorted_names(keys, "suffix-repeated").select("rid", "pos").distinct()
-    single = (flagged.join(merged, "rid").drop("own").join(kept.select("rid", "doc_id", "text_hash", "start"), "rid")
+    keys = (kept.select("rid", "body", "cells").join(_by_block(names), "rid")
+            .select("rid", "body", "cells", "named").mapInArrow(_merge_keys, _KEYS))
+    flagged = (_sorted_names(keys, "suffix-repeated").filter("pos % 2 = 1")
+               .select("rid", F.expr("pos div 2").cast("int").alias("pos")).distinct())
+    single = (flagged.join(kept.select("rid", "doc_id", "text_hash", "start"), "rid")
               .select("doc_id", "text_hash", (F.col("start") + F.col("pos")).alias("start"), F.lit(1).alias("n")))
-    return whole.union(single)
-
-
-def _kept_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the window starts that the sides leave, if any."""
-    for batch in batches:
-        starts = [_windows(n, at, set(shared or ())).astype(np.int32) for n, at, shared in zip(
-            batch.column("n").to_pylist(), batch.column("at").to_pylist(), batch.column("shared").to_pylist())]
-        keep = pa.array([len(x) > 0 for x in starts], pa.bool_())
-        names = [n for n in batch.schema.names if n != "shared"]
-        # The join puts rid first; the table's own order is that of the bodies.
-        order = ["doc_id", "text_hash", "start", "n", "at", "count", "body", "rid"]
-        assert sorted(order) == sorted(names)
-        out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in order],
-                                          pa.array(starts, pa.list_(pa.int32()))], [*order, "starts"])
-        yield out.filter(keep)
+    return whole.union(again).union(single)
 
 
 REMOVED = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
