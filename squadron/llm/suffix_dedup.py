@@ -28,9 +28,11 @@ empty result; other columns are kept in ``row``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as S
 
@@ -213,6 +215,15 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEYS = "rid bigint, pos int, k0 bigint, k1 bigint, k2 bigint"
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _sorted_names(triples: DataFrame, label: str) -> DataFrame:
     """Names by a global sort of the triples; unique ones are left out."""
     spark = triples.sparkSession
@@ -233,16 +244,18 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter(F.octet_length("text") >= LENGTH).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = source.schema["doc_id"].dataType.simpleString()
     blocks = stage_table(source.select("doc_id", "text_hash", "text")
-                         .mapInArrow(B.blocks, B.BLOCKS.format(id=kind)), "suffix-blocks")
-    place = F.struct("doc_id", "text_hash", "start", "n", "at")
-    distinct = blocks.groupBy("anchor", "block").agg(F.count("*").alias("count"), F.min(place).alias("place"))
+                         .mapInArrow(B.blocks, B.BLOCKS.format(id=kind))
+                         .withColumn("bid", F.monotonically_increasing_id()), "suffix-blocks")
+    distinct = blocks.groupBy("anchor", "block").agg(F.count("*").alias("count"), F.min("bid").alias("one"))
     held = distinct.groupBy("anchor").agg(F.count("*").alias("blocks"), F.max("count").alias("most"),
                                           F.min("count").alias("least"))
-    some = stage_table(distinct.join(held.filter("blocks > 1 or most > 1"), "anchor"), "suffix-distinct")
-    whole = (blocks.join(some.filter("count > 1").select("anchor", "block"), ["anchor", "block"])
-             .select("doc_id", "text_hash", "start", "n"))
+    some = distinct.join(held.filter("blocks > 1 or most > 1"), "anchor")
+    places = stage_table(blocks.join(some, ["anchor", "block"]).withColumn("first", F.col("bid") == F.col("one"))
+                         .drop("anchor", "block", "bid", "one"), "suffix-places")
+    _drop(blocks)
+    whole = places.filter("count > 1").select("doc_id", "text_hash", "start", "n")
 
-    listed = (some.filter("blocks > 1 and least = 1").select("place.*", "count").groupBy("doc_id", "text_hash")
+    listed = (places.filter("first and blocks > 1 and least = 1").groupBy("doc_id", "text_hash")
               .agg(F.collect_list(F.struct("start", "n", "at", "count")).alias("found")))
     # Rows that repeat an id and a text give the same bodies, whose blocks are counted as repeated already.
     same = source["doc_id"].eqNullSafe(listed["doc_id"]) & (source["text_hash"] == listed["text_hash"])
@@ -261,6 +274,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                   "first", "n", (F.col("weight") == 1).alias("once"),
                   (open_core & (F.col("rid") == F.col("one"))).alias("sorted"))).alias("cells")))
     held = stage_table(bodies.join(status, "rid"), "suffix-held")
+    _drop(bodies, cells)
     again = (held.filter("count = 1").select("doc_id", "text_hash", "start", F.explode("cells").alias("cell"))
              .filter("not cell.once")
              .select("doc_id", "text_hash", (F.col("start") + F.col("cell.first")).alias("start"), F.col("cell.n").alias("n")))
@@ -269,10 +283,14 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     names = _sorted_names(kept.select("rid", "body", "cells").mapInArrow(_first_triples, _KEYS), "suffix-names")
     for _, offsets in LEVELS:
-        names = _sorted_names(_by_block(names).mapInArrow(_next_triples(offsets), _KEYS), "suffix-names")
+        longer = _sorted_names(_by_block(names).mapInArrow(_next_triples(offsets), _KEYS), "suffix-names")
+        _drop(names)
+        names = longer
     keys = (kept.select("rid", "body", "cells").join(_by_block(names), "rid")
             .select("rid", "body", "cells", "named").mapInArrow(_merge_keys, _KEYS))
-    flagged = (_sorted_names(keys, "suffix-repeated").filter("pos % 2 = 1")
+    repeated = _sorted_names(keys, "suffix-repeated")
+    _drop(names)
+    flagged = (repeated.filter("pos % 2 = 1")
                .select("rid", F.expr("pos div 2").cast("int").alias("pos")).distinct())
     single = (flagged.join(kept.select("rid", "doc_id", "text_hash", "start"), "rid")
               .select("doc_id", "text_hash", (F.col("start") + F.col("pos")).alias("start"), F.lit(1).alias("n")))
@@ -282,8 +300,11 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 REMOVED = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in T.pieces(batches, "text"):
+def _cut(text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The text is taken from the row, so that it is sent only once.
+    named = (pa.RecordBatch.from_arrays([*b.columns, pc.struct_field(b.column("row"), text_col).cast(pa.large_string())],
+                                        ["row", "runs", "text"]) for b in batches)
+    for part in T.pieces(named, "text"):
         data, offsets = T.utf8(part.column("text"))
         raw, n, spans, kept = data.tobytes(), [], [], []
         for r, runs in enumerate(part.column("runs").to_pylist()):
@@ -314,4 +335,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = rows.join(runs, F.col(f"row.{id_col}").eqNullSafe(runs["doc_id"])
                      & (F.xxhash64(text) == runs["text_hash"]), "left")
     schema = S.StructType([both.schema["row"], *S.StructType.fromDDL(REMOVED)])
-    return both.select("row", text.alias("text"), "runs").mapInArrow(_cut, schema)
+    return both.select("row", "runs").mapInArrow(partial(_cut, text_col), schema)
