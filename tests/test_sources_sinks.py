@@ -182,3 +182,13 @@ def test_schema_contract(spark):
     res = contract.struct_contract(typed, {"transfers": schemas.top_level_keys(schemas.TRANSFER_DOC)},
                                    "transfers").collect()
     assert {r.status for r in res} == {"present"}
+
+
+def test_stage_table_restores_the_session(spark):
+    from squadron import session
+
+    key = session._SHUFFLE_CLEANUP
+    before = spark.conf.get(key, None)
+    table = session.stage_table(spark.range(100).repartition(3, "id"), "restored")
+    assert spark.conf.get(key, None) == before
+    assert table.count() == 100 and table.selectExpr("sum(id)").first()[0] == 4950
