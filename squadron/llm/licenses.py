@@ -4,7 +4,8 @@ A text's lines are lower-cased, equivalent spellings made one, punctuation and
 white space made single spaces, and copyright and empty lines dropped.  The
 digest of what remains is looked up among the digests of the known licences,
 made in the same way.  Whole texts are looked up, and single lines too, which
-finds notices that stand in a longer text.
+finds notices that stand in a longer text.  A licence's title line belongs to
+its text, so ``license_texts`` has the texts with and without their titles.
 
 Defined results: null and empty texts, and those of copyright lines only, have
 no digest and no licence; equal texts with two licence ids report the smaller;
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from squadron.llm.license_texts import texts
+
 # Licence texts and notices (whole texts and single lines are both looked up).
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -25,6 +28,7 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    *texts(),
     ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted.
 
