@@ -3,9 +3,11 @@
 The fixed patterns find assignments, access keys and long hexadecimal runs.
 Two first-order Markov models over the characters of keys are trained on the
 whole corpus: one on the strings that the patterns labelled as secrets, one on
-all other runs of key characters (ordinary words and identifiers).  Any other
-run of at least ``MIN_RUN`` key characters with a letter and a digit is a secret
-where the log-likelihood ratio a character exceeds ``MIN_RATIO``.
+all other runs of key characters (ordinary words and identifiers).  Any run of
+at least ``MIN_RUN`` key characters outside the patterns' spans is a secret
+where the log-likelihood ratio a character exceeds ``MIN_RATIO``; where that of
+the whole run does not, so are the parts of at least ``MIN_RUN`` characters
+between separators (``+/_=-``) for which it does.  Nothing but the ratio decides.
 
 The training counts are sums over all documents, aggregated by Spark; what the
 driver holds is one count per model and pair of characters.
@@ -41,7 +43,7 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")  # greedy from the left: whole runs of [0-9a-f]
 _KEY = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-_DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z]")
+_SEPARATORS = _KEY.index(b"+")  # the codes from here on
 
 _SIZE = len(_KEY)
 _CODE = np.full(256, -1, dtype=np.int64)
@@ -105,6 +107,46 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
     return chance[1] - chance[0]
 
 
+def _likely(text: bytes, start: int, stop: int, ratio: np.ndarray) -> list[tuple[int, int]]:
+    """The secrets in key characters text[start:stop]: all of them, where their
+    mean ratio exceeds MIN_RATIO, or else the parts between separators (in one
+    or several pieces) that together exceed it most."""
+    n = stop - start
+    if n < MIN_RUN:
+        return []
+    code = _CODE[np.frombuffer(text, dtype=np.uint8, count=n, offset=start)]
+    excess = np.zeros(n)  # up to each character, over MIN_RATIO a transition
+    np.cumsum(ratio[code[:-1], code[1:]] - MIN_RATIO, out=excess[1:])
+    if excess[-1] > 0:
+        return [(start, stop)]
+    marks = np.flatnonzero(code >= _SEPARATORS)
+    if not len(marks):
+        return []
+    border = np.unique(np.concatenate(([0], marks, marks + 1, [n])))
+    opened = excess[np.minimum(border, n - 1)].tolist()
+    closed = excess[np.maximum(border - 1, 0)].tolist()
+    border = border.tolist()
+    # best[j]: most excess of separate parts up to border j; a part from i to j has closed[j] - opened[i].
+    best, begun = [0.0] * len(border), [-1] * len(border)
+    near, first, top = 0, -1, -np.inf
+    for j in range(1, len(border)):
+        while border[near] + MIN_RUN <= border[j]:
+            if best[near] - opened[near] > top:
+                first, top = near, best[near] - opened[near]
+            near += 1
+        best[j] = best[j - 1]
+        if top + closed[j] > best[j]:
+            best[j], begun[j] = top + closed[j], first
+    out, j = [], len(border) - 1
+    while j > 0:
+        if begun[j] >= 0:
+            out.append((start + border[begun[j]], start + border[j]))
+            j = begun[j]
+        else:
+            j -= 1
+    return out
+
+
 def find(text: bytes, ratio: np.ndarray | None) -> list[tuple[int, int, int]]:
     """(start, kind, stop) in bytes: the base spans, and the Markov spans outside them."""
     spans = [(a, kind, b) for a, kind, b, _ in base_spans(text)]
@@ -114,14 +156,14 @@ def find(text: bytes, ratio: np.ndarray | None) -> list[tuple[int, int, int]]:
     reach = np.maximum.accumulate([b for _, _, b in spans]) if spans else ()
     more = []
     for m in _RUN.finditer(text):
-        if not _DIGIT.search(m[0]) or not _LETTER.search(m[0]):
-            continue
-        before = bisect_right(starts, m.end() - 1)
-        if before and reach[before - 1] > m.start():
-            continue
-        code = _CODE[np.frombuffer(m[0], dtype=np.uint8)]
-        if ratio[code[:-1], code[1:]].sum() > MIN_RATIO * (len(code) - 1):
-            more.append((m.start(), 3, m.end()))
+        k, a = bisect_right(starts, m.start()), m.start()
+        if k:
+            a = max(a, int(reach[k - 1]))
+        while k < len(spans) and starts[k] < m.end():
+            more += [(x, 3, y) for x, y in _likely(text, a, starts[k], ratio)]
+            a = max(a, int(reach[k]))
+            k += 1
+        more += [(x, 3, y) for x, y in _likely(text, a, m.end(), ratio)]
     return sorted(spans + more)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import string
 from pathlib import Path
 
-from squadron.llm import licenses
+import numpy as np
+
+from squadron.llm import licenses, secrets
 
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are
@@ -57,3 +61,53 @@ copyright notice and this permission notice appear in all copies.
     texts += [("Apache-2.0", whole[:whole.index("   APPENDIX")]), (None, "MIT License\n\nno text of it follows")]
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs([(k, t) for k, (_, t) in enumerate(texts)])).collect()}
     assert [got[k] for k in range(len(texts))] == [i for i, _ in texts]
+
+
+def _keys(n, letters, size, seed):
+    r = random.Random(seed)
+    return ["".join(r.choices(letters, k=size)) for _ in range(n)]
+
+
+def test_every_run_is_scored(docs):
+    """Letters-only keys, keys after a path or a name, and keys beside a base span."""
+    labelled = [(k, f"the token = {x} stands here") for k, x in
+                enumerate(_keys(300, string.ascii_letters + string.digits, 40, 1))]
+    r = random.Random(5)
+    pairs = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    word = lambda: "".join(r.choices(pairs, k=r.randint(2, 4)))
+    words = [(1000 + k, " ".join(w for _ in range(400) for w in (word(), word().capitalize(), word().upper(),
+                                                                 f"/{word()}/{word()}_{word()}={r.randint(1, 2000)}")))
+             for k in range(20)]
+    ratio = secrets.train(docs(labelled + words))
+    path = "/" + "".join(word() + r.choice("/_") for _ in range(12))
+    assert secrets.find(path.encode(), ratio) == []
+    for key in _keys(20, string.ascii_letters, 24, 2) + _keys(20, string.ascii_letters + string.digits, 24, 3):
+        assert secrets.find(f"a {key} b".encode(), ratio) == [(2, 3, 26)]
+        for before, after in ((path, ""), ("_".join(word() for _ in range(8)) + "=", ""), (path, path)):
+            a = len(before)
+            text = (before + key + after).encode()
+            assert any(k == 3 and s <= a and a + 24 <= e for s, k, e in secrets.find(text, ratio)), text
+        base = "0123456789abcdef" * 2
+        for text, at in ((f"{base}_{key}", 33), (f"{key}-{base}", 0)):
+            found = secrets.find(text.encode(), ratio)
+            assert (text.index(base), 2, text.index(base) + 32) in found
+            assert any(k == 3 and s <= at and at + 24 <= e for s, k, e in found), text
+
+
+def test_no_likely_part_is_left():
+    """What is found between separators is likely, apart, and meets every likely part."""
+    r = random.Random(4)
+    ratio = np.random.default_rng(4).normal(0.2, 1.5, (len(secrets._KEY), len(secrets._KEY)))
+    some = 0
+    for _ in range(300):
+        text = "".join(r.choice("abc1/_" if r.random() < 0.5 else "abcdXY12") for _ in range(r.randint(16, 70))).encode()
+        code = [secrets._KEY.index(c) for c in text]
+        mean = lambda a, b: sum(ratio[x, y] for x, y in zip(code[a:b - 1], code[a + 1:b])) / (b - a - 1)
+        found = [(a, b) for a, _, b in secrets.find(text, ratio)]
+        marks = [k for k, c in enumerate(text) if c in b"+/_=-"]
+        edges = sorted({0, len(text), *marks, *(k + 1 for k in marks)})
+        likely = [(a, b) for a in edges for b in edges if b - a >= secrets.MIN_RUN and mean(a, b) > secrets.MIN_RATIO]
+        assert set(found) <= set(likely) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        assert all(any(a < y and x < b for x, y in found) for a, b in likely)
+        some += 0 < len(found) and found != [(0, len(text))]
+    assert some > 20
