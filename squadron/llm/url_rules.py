@@ -60,7 +60,7 @@ def tokens() -> Column:
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)),
                         lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    segments = F.transform(F.filter(F.split("path", "/"), lambda s: (s != "") & ~s.rlike("^[0-9]")),
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: (s != "") & ~s.rlike(r"^[0-9]+\z")),
                            lambda s: F.concat(F.lit("path:"), s))
     keys = F.transform(F.regexp_extract_all("query", F.lit(r"[?&]([^=&#]+)"), F.lit(1)),
                        lambda k: F.concat(F.lit("query:"), k))

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 
-from squadron.llm import licenses, secrets
+from squadron.llm import licenses, secrets, url_rules
 
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are
@@ -111,3 +111,16 @@ def test_no_likely_part_is_left():
         assert all(any(a < y and x < b for x, y in found) for a, b in likely)
         some += 0 < len(found) and found != [(0, len(text))]
     assert some > 20
+
+
+def test_segments_that_begin_with_a_digit_are_tokens(spark):
+    label = [(f"http://s{k}.org/18plus/{k}", "block") for k in range(30)] + \
+        [(f"http://t{k}.org/2024-news/{k}", "allow") for k in range(30)]
+    pages = spark.createDataFrame([(1, "http://b.org/18plus/7"), (2, "http://c.org/2024-news/8"), (3, "http://d.org/77")],
+                                  "page_id int, url string")
+    labelled = spark.createDataFrame(label, "url string, label string")
+    got = {r["page_id"]: (r["verdict"], r["because"]) for r in url_rules.judge(pages, labelled=labelled).select(
+        "row.page_id", "verdict", "because").collect()}
+    assert got == {1: ("block", "host:org path:18plus"), 2: ("allow", "host:org path:2024-news"), 3: ("allow", None)}
+    number = url_rules.with_parts(pages.filter("page_id = 3")).select(url_rules.tokens().alias("t")).first()["t"]
+    assert number == ["host:d.org", "host:org"]
