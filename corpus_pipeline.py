@@ -42,9 +42,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: the one with the smallest id, and among rows
+    of that id the text with the smallest hash.  Each row of a repeated id is
+    judged by its own text; rows equal in id and text are one document, of which
+    any one row stays.  Rows with a null id stay."""
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    text_hash = F.xxhash64(docs["text"].cast("string"))
+    key = F.when(docs["doc_id"].isNotNull(), F.struct(docs["doc_id"], text_hash.alias("text_hash")))
+    gone = (near_dup.near_duplicates(docs.select(key.alias("doc_id"), "text")).filter("not kept")
+            .select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.text_hash").alias("gone_hash")).distinct())
+    rest = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (text_hash == gone["gone_hash"]), "left_anti")
+    once = rest.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

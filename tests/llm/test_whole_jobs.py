@@ -7,7 +7,9 @@ import string
 from pathlib import Path
 
 import numpy as np
+from test_operators import edited, prose
 
+import corpus_pipeline
 from squadron.llm import licenses, secrets, url_rules
 
 BSD = """Redistribution and use in source and binary forms, with or without
@@ -124,3 +126,24 @@ def test_segments_that_begin_with_a_digit_are_tokens(spark):
     assert got == {1: ("block", "host:org path:18plus"), 2: ("allow", "host:org path:2024-news"), 3: ("allow", None)}
     number = url_rules.with_parts(pages.filter("page_id = 3")).select(url_rules.tokens().alias("t")).first()["t"]
     assert number == ["host:d.org", "host:org"]
+
+
+def test_near_dedup_stage_with_repeated_ids(spark, docs):
+    a, b, c = (prose(120, 800 + k) for k in range(3))
+    near_a = edited(a, 0.01, 1)
+    assert near_a != a
+    cases = [
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(5, a), (5, a), (5, a), (7, near_a)], [(5, a)]),
+        ([(5, near_a), (5, b), (3, a), (7, b)], [(3, a), (5, b)]),
+        ([(5, a), (5, b), (6, c), (6, c), (6, None), (6, None)], [(5, a), (5, b), (6, c), (6, None)]),
+        ([(None, a), (None, a), (1, ""), (1, ""), (2, a), (2, c)], [(None, a), (None, a), (1, ""), (2, a), (2, c)]),
+        ([(1, a), (2, near_a), (3, b)], [(1, a), (3, b)]),
+    ]
+    for rows, want in cases:
+        table = docs(rows)
+        out = corpus_pipeline.near_duplicates(spark, table, "")
+        assert out.columns == table.columns and out.dtypes == table.dtypes
+        assert sorted(map(tuple, out.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+    two = corpus_pipeline.near_duplicates(spark, docs([(5, a), (5, near_a), (6, b)]), "").select("doc_id").collect()
+    assert sorted(r[0] for r in two) == [5, 6]
