@@ -180,36 +180,24 @@ def _merge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key: (rid, pos, name) of those whose neighbour has the
-    same key.  Names grow with the key."""
-    base, number, held = TaskContext.get().partitionId() << 33, 0, None
-
-    def done(rows: tuple[np.ndarray, ...], number: int) -> tuple[pa.RecordBatch, int]:
-        rid, pos, *keys = rows
-        new = np.ones(len(rid), dtype=bool)
-        new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])
-        last = np.append(new[1:], True)
-        several = ~(new & last)
-        name = base + number + np.cumsum(new) - 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rid[several]), pa.array(pos[several]), pa.array(name[several])],
-            ["rid", "pos", "name"]), number + int(new.sum())
-
+    same key.  Names grow with the key.  Of a key that the next batch may go on
+    with, only a single row waits; from its second row on, rows go out at once."""
+    base, number, key, first = TaskContext.get().partitionId() << 33, -1, None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = tuple(c.to_numpy() for c in batch.columns)
-        if held is not None:
-            rows = tuple(np.concatenate(x) for x in zip(held, rows))
-        keys = rows[2:]
-        # The last key's rows wait: the next batch may go on with it.
-        same = (keys[0] == keys[0][-1]) & (keys[1] == keys[1][-1]) & (keys[2] == keys[2][-1])
-        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            out, number = done(tuple(x[:cut] for x in rows), number)
-            yield out
-        held = tuple(x[cut:] for x in rows)
-    if held is not None and len(held[0]):
-        yield done(held, number)[0]
+        rid, pos, *keys = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(rid), dtype=bool)
+        new[0] = key != tuple(int(k[0]) for k in keys)
+        new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])
+        several = ~(new & np.append(new[1:], True))
+        place = number + np.cumsum(new)
+        out = [rid[several], pos[several], base + place[several]]
+        if first is not None and not new[0]:
+            out = [np.concatenate((np.array([x], dtype=y.dtype), y)) for x, y in zip((*first, base + number), out)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["rid", "pos", "name"])
+        number, key = int(place[-1]), tuple(int(k[-1]) for k in keys)
+        first = (int(rid[-1]), int(pos[-1])) if new[-1] else None
 
 
 _KEYS = "rid bigint, pos int, k0 bigint, k1 bigint, k2 bigint"

@@ -7,10 +7,11 @@ import string
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from test_operators import edited, prose
 
 import corpus_pipeline
-from squadron.llm import licenses, secrets, url_rules
+from squadron.llm import licenses, secrets, suffix_dedup, url_rules
 
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are
@@ -147,3 +148,38 @@ def test_near_dedup_stage_with_repeated_ids(spark, docs):
         assert sorted(map(tuple, out.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
     two = corpus_pipeline.near_duplicates(spark, docs([(5, a), (5, near_a), (6, b)]), "").select("doc_id").collect()
     assert sorted(r[0] for r in two) == [5, 6]
+
+
+def test_names_hold_one_row_of_a_key(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TaskContext", type("Context", (), {
+        "get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)}))}))
+
+    def table(keys):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(len(keys)), pa.int64()), pa.array(range(len(keys)), pa.int32()),
+             *[pa.array([k[c] for k in keys], pa.int64()) for c in range(3)]], ["rid", "pos", "k0", "k1", "k2"])
+
+    def got(batches):
+        return [tuple(r.values()) for b in suffix_dedup._names(batches) for r in b.to_pylist()]
+
+    r = random.Random(6)
+    for trial in range(60):
+        keys = sorted((r.randint(0, 1), r.randint(0, 2), r.randint(0, 3)) for _ in range(r.randint(1, 30)))
+        order = sorted(set(keys))
+        want = [(k, k, (3 << 33) + order.index(x)) for k, x in enumerate(keys) if keys.count(x) > 1]
+        whole, batches, at = table(keys), [], 0
+        while at < len(keys):
+            n = r.randint(0, 4)
+            batches.append(whole.slice(at, n))
+            at += n
+        assert got(batches) == want
+    one, rows, waiting = table([(1, 2, 3)] * 4000), 0, []
+
+    def pulled():
+        for k in range(0, 4000, 10):
+            waiting.append(k - rows)
+            yield one.slice(k, 10)
+
+    for out in suffix_dedup._names(pulled()):
+        rows += out.num_rows
+    assert rows == 4000 and max(waiting) <= 1
