@@ -6,7 +6,8 @@ sort that league in one task.  ``position_rank`` and ``average_rank`` instead
 rank through small count tables:
 
 * count rows per (G, score, id-bucket) -- a partial (map-side) aggregate;
-* a running sum over that count table gives each bucket its offset;
+* a running sum over the distinct scores of G, then one over the buckets of a
+  (G, score), gives each bucket its offset;
 * a window over (G, score, id-bucket) numbers rows inside one bucket, whose
   size is bounded by ``bucket_size`` whatever the league size.
 
@@ -44,11 +45,16 @@ def position_rank(df: DataFrame, keys: Sequence[str], score: str, id_col: str,
     b = "__bucket"
     with_b = df.withColumn(b, F.floor(F.col(id_col) / F.lit(bucket_size)))
     counts = with_b.groupBy(*keys, score, b).agg(F.count(F.lit(1)).alias("__n"))
-    before = (Window.partitionBy(*keys)
-              .orderBy(F.col(score).desc(), F.col(b).asc())
+    # Two levels: over the distinct scores of a group, then over the buckets of a score.
+    higher = (Window.partitionBy(*keys).orderBy(F.col(score).desc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    above = (counts.groupBy(*keys, score).agg(F.sum("__n").alias("__n"))
+             .select(*keys, score, F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__above")))
+    before = (Window.partitionBy(*keys, score).orderBy(F.col(b).asc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*keys, score, b,
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    offsets = (counts.select(*keys, score, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+               .join(above, [*keys, score], "inner")
+               .select(*keys, score, b, (F.col("__above") + F.col("__before")).alias("__off")))
     inner = Window.partitionBy(*keys, score, b).orderBy(F.col(id_col).asc())
     ranked = (with_b.join(offsets, [*keys, score, b], "inner")
               .withColumn(out, (F.col("__off") + F.row_number().over(inner)).cast("int")))
