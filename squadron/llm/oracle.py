@@ -146,3 +146,52 @@ SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_rem
        coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, h))) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+# CRC-32 bit by bit: a byte is xored in, then eight steps (-1) shift it out.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten([[ord(x), -1, -1, -1, -1, -1, -1, -1, -1]
+  FOR x IN string_split({x}, '')])), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e)
+  ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+_FIELD = "coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x=c) for c in ("doc_id", "source", "lang", "n_chars", "{t}")) + ")"
+_UP = """SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM {t} WHERE n > 1 GROUP BY tree, level, i // 3, n"""
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_LEAF.format(t="text")} AS leaf,
+         CASE WHEN {_CRC.format(x="CAST(doc_id AS VARCHAR)")} % 2 = 0
+              THEN {_LEAF.format(t="replace(text, chr(10), '')")} ELSE {_LEAF.format(t="text")} END AS claimed
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY tree) AS n FROM d),
+a(tree, level, i, n, h) AS (SELECT tree, 0, i, n, leaf FROM p UNION ALL {_UP.format(t="a")}),
+s AS (SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n
+      FROM a WHERE n = 1),
+b(tree, level, i, n, h) AS (SELECT 0, 0, i, n, subroot FROM s UNION ALL {_UP.format(t="b")}),
+deep AS (SELECT tree, max(level) AS below FROM a GROUP BY tree),
+below AS (
+  SELECT x.doc_id, x.leaf, y.level,
+         coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i < x.i // CAST(3 ** y.level AS BIGINT)), '') AS l,
+         coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i > x.i // CAST(3 ** y.level AS BIGINT)), '') AS r
+  FROM p x JOIN a y ON x.tree = y.tree AND y.n > 1 AND y.i // 3 = x.i // CAST(3 ** y.level AS BIGINT) // 3
+  GROUP BY x.doc_id, x.leaf, y.level),
+over_ AS (
+  SELECT x.source AS tree, y.level,
+         coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i < x.i // CAST(3 ** y.level AS BIGINT)), '') AS l,
+         coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i > x.i // CAST(3 ** y.level AS BIGINT)), '') AS r
+  FROM s x JOIN b y ON y.n > 1 AND y.i // 3 = x.i // CAST(3 ** y.level AS BIGINT) // 3
+  GROUP BY x.source, y.level),
+path AS (
+  SELECT doc_id, leaf, level, l, r FROM below
+  UNION ALL SELECT p.doc_id, p.leaf, deep.below + o.level, o.l, o.r FROM p JOIN deep USING (tree) JOIN over_ o USING (tree)),
+proof AS (SELECT doc_id, leaf, list(l ORDER BY level) AS l, list(r ORDER BY level) AS r,
+                 sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256 FROM path GROUP BY doc_id, leaf),
+f(doc_id, leaf, level, h) AS (
+  SELECT doc_id, leaf, 0, claimed FROM p
+  UNION ALL SELECT f.doc_id, f.leaf, f.level + 1, sha256(proof.l[f.level + 1] || f.h || proof.r[f.level + 1])
+  FROM f JOIN proof USING (doc_id, leaf) WHERE f.level < len(proof.l)),
+e AS (SELECT doc_id, leaf, max_by(h, level) AS folded_root FROM f GROUP BY doc_id, leaf),
+root AS (SELECT h FROM b WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, root.h AS root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256,
+       e.folded_root, e.folded_root = root.h AS verified
+FROM p JOIN s ON s.source = p.tree CROSS JOIN root JOIN e USING (doc_id, leaf) LEFT JOIN proof USING (doc_id, leaf)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from squadron.llm import (decontaminate, licenses, line_dedup, near_dup, pieces, quality_knn, quality_rules,
+from squadron.llm import (decontaminate, licenses, line_dedup, merkle, near_dup, pieces, quality_knn, quality_rules,
                           secrets, suffix_dedup, url_rules)
 from squadron.llm.oracle import ORACLE
 
@@ -89,3 +89,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode(docs, back=True))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proofs = merkle.build(docs, claimed={"text": tampered}).proofs()
+    return (proofs.withColumn("folded_root", merkle.fold(F.col("claimed"), F.col("path")))
+            .select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                    merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
