@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from squadron.llm import (decontaminate, licenses, line_dedup, merkle, near_dup, pieces, quality_knn, quality_rules,
-                          secrets, suffix_dedup, url_rules)
+from squadron.llm import (decontaminate, licenses, line_dedup, merkle, near_dup, periodic_runs, pieces,
+                          quality_knn, quality_rules, secrets, suffix_dedup, url_rules)
 from squadron.llm.oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,28 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
                     merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
                     (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), F.slice(again, F.lit(1), n - a)), " "))
+
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), 0)
+    made = F.get(F.transform(F.array(words), planted), F.lit(0))  # the words are extracted once
+    found = periodic_runs.find_runs(docs.withColumn("text", F.when(h % 10 == 0, made).otherwise(F.col("text"))))
+    best = periodic_runs.strongest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]),
+                                                                 F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -85,6 +85,22 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACE_TABLE = table(SPACE_BYTES)
 
 
+_BLANK = bytes.maketrans(bytes(SPACE_BYTES), b" " * len(SPACE_BYTES))
+_BLANK_LOWER = bytes.maketrans(bytes(SPACE_BYTES) + bytes(range(65, 91)), b" " * len(SPACE_BYTES) + bytes(range(97, 123)))
+
+
+def word_blocks(raw: bytes, lower: bool = False, limit: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The white-space separated words of a text, in lists of about ``limit``
+    bytes, so the objects in memory do not grow with the text."""
+    text = raw.translate(_BLANK_LOWER if lower else _BLANK)
+    at = 0
+    while at < len(text):
+        cut = text.find(b" ", at + limit) if at + limit < len(text) else -1
+        cut = cut if cut >= 0 else len(text)
+        yield text[at:cut].split()
+        at = cut
+
+
 class Words:
     """Words of a slice: ``start``, ``stop`` (byte positions in ``data``),
     ``row`` (row of each word), ``first`` (first word of each row, and the end)."""
