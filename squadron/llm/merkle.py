@@ -37,7 +37,6 @@ from squadron.session import stage_table
 FAN = 3
 #: Levels of a block above its leaves: 6,561 leaves, 315 KB of digests.
 LEVELS = 8
-WIDTH = FAN ** LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _BLOCK = "tree string, block bigint, total bigint, root string, nodes binary"
@@ -125,27 +124,23 @@ def _placed(items: DataFrame, order: Sequence[str], name: str) -> DataFrame:
             .withColumn("place", F.col("before") + number - 1).drop("before", "range", "mark"))
 
 
-def _levels(total: int) -> int:
-    return LEVELS if total > WIDTH else height(total)
-
-
-def _fill(table: pa.Table) -> pa.Table:
+def _fill(table: pa.Table, most: int) -> pa.Table:
     """One block from its leaves (tree, block, place, total, digest)."""
     order = np.argsort(table.column("place").to_numpy())
     leaves = [bytes.fromhex(x) for x in table.column("digest").take(pa.array(order)).to_pylist()]
     total = table.column("total")[0].as_py()
-    nodes = store(leaves, _levels(total))
+    nodes = store(leaves, min(most, height(total)))
     return pa.table({"tree": table.column("tree")[:1], "block": table.column("block")[:1],
                      "total": pa.array([total]), "root": pa.array([nodes[:32].hex()]), "nodes": pa.array([nodes])})
 
 
-def _climb(items: pa.Table, block: pa.Table) -> pa.Table:
+def _climb(items: pa.Table, block: pa.Table, most: int) -> pa.Table:
     """The items of one block with their paths: inside the block, then above it."""
     total, at = block.column("total")[0].as_py(), block.column("block")[0].as_py()
     above = block.column("above")[0].as_py()
-    n = min(WIDTH, total - at * WIDTH)
-    slots = items.column("place").to_numpy() - at * WIDTH
-    inside = siblings(block.column("nodes")[0].as_py(), _levels(total), n, slots)
+    first = at * FAN ** most
+    inside = siblings(block.column("nodes")[0].as_py(), min(most, height(total)), min(FAN ** most, total - first),
+                      items.column("place").to_numpy() - first)
     path = pa.array([p + above for p in inside],
                     pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))
     for name in ("subroot", "top"):
@@ -160,43 +155,49 @@ class Trees:
     the columns it came with; a block has ``nodes`` in layout order."""
 
     tiers: list[tuple[DataFrame, DataFrame]]
+    levels: int
+
+    @property
+    def width(self) -> int:
+        return FAN ** self.levels
 
     def roots(self) -> DataFrame:
         """(tree, digest) of every tree."""
         out = None
         for _, blocks in self.tiers:
-            done = blocks.filter(F.col("total") <= WIDTH).select("tree", F.col("root").alias("digest"))
+            done = blocks.filter(F.col("total") <= self.width).select("tree", F.col("root").alias("digest"))
             out = done if out is None else out.union(done)
         return out
 
     def paths(self, crown: DataFrame) -> DataFrame:
         """The lowest items with ``subroot``, ``top`` and ``path``; crown gives
         (tree, subroot, top, above) of every tree."""
-        reached = None
+        reached, most = None, self.levels  # tasks get the number, not the trees
         for items, blocks in reversed(self.tiers):
-            whole = blocks.filter(F.col("total") <= WIDTH).join(crown, "tree")
+            whole = blocks.filter(F.col("total") <= self.width).join(crown, "tree")
             if reached is not None:
                 upper = reached.select("tree", F.col("place").alias("block"), "subroot", "top",
                                        F.col("path").alias("above"))
-                whole = whole.unionByName(blocks.filter(F.col("total") > WIDTH).join(upper, ["tree", "block"]))
+                whole = whole.unionByName(blocks.filter(F.col("total") > self.width).join(upper, ["tree", "block"]))
             schema = S.StructType([*items.schema, *S.StructType.fromDDL(f"subroot string, top string, path {_PATH}")])
             key = [F.col("tree"), F.col("block")]
-            reached = items.groupBy(*key).cogroup(whole.groupBy(*key)).applyInArrow(_climb, schema)
+            reached = items.groupBy(*key).cogroup(whole.groupBy(*key)).applyInArrow(
+                lambda i, b: _climb(i, b, most), schema)
         return reached
 
 
-def trees(items: DataFrame, order: Sequence[str], name: str) -> Trees:
+def trees(items: DataFrame, order: Sequence[str], name: str, levels: int) -> Trees:
     """Trees over items (tree, digest, and more), which ascend by ``order``."""
     level = _placed(items, order, name)
-    tiers = []
+    tiers, width = [], FAN ** levels
     while True:
-        level = stage_table(level.withColumn("block", F.floor(F.col("place") / WIDTH)), f"{name}-items")
-        blocks = stage_table(level.groupBy("tree", "block").applyInArrow(_fill, _BLOCK), f"{name}-blocks")
+        level = stage_table(level.withColumn("block", F.expr(f"place div {width}")), f"{name}-items")
+        blocks = stage_table(level.groupBy("tree", "block").applyInArrow(lambda t: _fill(t, levels), _BLOCK), f"{name}-blocks")
         tiers.append((level, blocks))
-        more = blocks.filter(F.col("total") > WIDTH)
+        more = blocks.filter(F.col("total") > width)
         if more.isEmpty():
-            return Trees(tiers)
-        level = more.select("tree", F.col("block").alias("place"), F.ceil(F.col("total") / WIDTH).alias("total"),
+            return Trees(tiers, levels)
+        level = more.select("tree", F.col("block").alias("place"), F.expr(f"(total + {width - 1}) div {width}").alias("total"),
                             F.col("root").alias("digest"))
 
 
@@ -218,7 +219,7 @@ class Manifest:
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source", fields: Sequence[str] = FIELDS,
-          claimed: dict[str, Column] | None = None) -> Manifest:
+          claimed: dict[str, Column] | None = None, levels: int = LEVELS) -> Manifest:
     """The manifest of a table.  ``claimed`` names fields and the values to be
     checked against it; their leaf is carried as ``claimed``."""
     now = [docs[c] for c in fields]
@@ -226,9 +227,9 @@ def build(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source", fi
     group = F.coalesce(F.concat(F.lit("="), docs[group_col].cast("string")), F.lit(""))  # null first, else bytewise
     leaves = docs.select(group.alias("tree"), docs[id_col].alias("id"), leaf(now).alias("digest"),
                          leaf(said).alias("claimed"))
-    groups = trees(leaves, ["id"], "merkle")
+    groups = trees(leaves, ["id"], "merkle", levels)
     crown = trees(groups.roots().select(F.lit("root").alias("tree"), F.col("tree").alias("group"), "digest"),
-                  ["group"], "merkle-crown")
+                  ["group"], "merkle-crown", levels)
     return Manifest(groups, crown)
 
 

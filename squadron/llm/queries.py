@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from squadron.llm import (decontaminate, licenses, line_dedup, merkle, near_dup, periodic_runs, pieces,
-                          quality_knn, quality_rules, secrets, suffix_dedup, url_rules)
+                          quality_knn, quality_rules, secrets, simhash, suffix_dedup, url_rules)
 from squadron.llm.oracle import ORACLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+import xxhash
+
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
@@ -127,3 +130,105 @@ def listed(url):
             if best is None or len(rule) > len(best[1]):
                 best = verdict, rule
     return host, path, best and best[1], best and best[0]
+
+
+def words(text):
+    return re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+
+
+def joined(nodes, links):
+    """The smallest node reachable from each."""
+    at = {n: n for n in nodes}
+
+    def root(n):
+        while at[n] != n:
+            n = at[n]
+        return n
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        at[y] = x
+    return {n: root(n) for n in nodes}
+
+
+def simhash(rows):
+    prints = []
+    for _, text in rows:
+        w = words(ascii_lower(text or ""))
+        hs = [xxhash.xxh64_intdigest(" ".join(w[k:k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    group = joined(range(len(rows)), links)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k]] = min(least.get(group[k], i), i)
+    return sorted(((i, f"{prints[k]:016x}", least.get(group[k])) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def runs(w):
+    n, out = len(w), []
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            a = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            length = i - a + q
+            if i > a and length >= max(24, 3 * q) and not any(
+                    all(w[k] == w[k + r] for k in range(a, a + length - r)) for r in range(1, q)):
+                out.append((a, length, q))
+            i += 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    gone = {k for a, n, q in found for k in range(a + q, a + n)}
+    return [x for k, x in enumerate(w) if k not in gone]
+
+
+def planted(doc_id, w):
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    g = h // 10
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def manifest(rows):
+    """(id, leaf, claimed leaf, subroot, root, proof, folded root) of rows
+    (doc_id, source, lang, n_chars, text); the claim lacks the text's newlines."""
+    def leaf(r):
+        text = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in r]
+        return sha("".join(text))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([sha("".join(levels[-1][k:k + 3])) for k in range(0, len(levels[-1]), 3)])
+        return levels
+
+    def beside(levels, i):
+        out = []
+        for level in levels[:-1]:
+            out.append(("".join(level[i - i % 3:i]), "".join(level[i + 1:i - i % 3 + 3])))
+            i //= 3
+        return out
+
+    groups = {}
+    for r in rows:
+        claim = r[:4] + (r[4] and r[4].replace("\n", ""),)
+        groups.setdefault(r[1], []).append((r[0], leaf(r), leaf(claim)))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: tree([x[1] for x in sorted(groups[s], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]) for s in order}
+    top = tree([trees[s][-1][0] for s in order])
+    out = []
+    for k, s in enumerate(order):
+        for i, (id_, own, claim) in enumerate(sorted(groups[s], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))):
+            path = beside(trees[s], i) + beside(top, k)
+            got = claim
+            for a, b in path:
+                got = sha(a + got + b)
+            out.append((id_, own, claim, trees[s][-1][0], top[-1][0], sha("".join(a + b for a, b in path)), got))
+    return sorted(out, key=str)

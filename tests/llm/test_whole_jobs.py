@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from test_operators import edited, prose
+from test_llm_operators import edited, prose
 
 import corpus_pipeline
 from squadron.llm import licenses, secrets, suffix_dedup, url_rules
