@@ -13,6 +13,9 @@ around such c, of every octave, overlapping by four fifths; only tiles whose
 block stands again at some distance of the octave are made (hashes of doubling
 width decide, so a tile too many is possible and one too few is not).
 
+Texts without tiles have no runs and are settled where they are read; only the
+others are written beside their tiles, and only they meet their runs by a join.
+
 A tile is solved by itself: the Z-function of the words from c gives the matches
 to the right for every period, that of the reversed words those to the left.
 Periods whose root (the q words from c) is itself a power are left out, as the
@@ -47,6 +50,7 @@ FIRST = 8
 TILE_BYTES = 4 << 20
 
 RUN = "struct<start:bigint,length:bigint,period:bigint>"
+_RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
 def octaves(longest: int) -> Iterator[tuple[int, int, int]]:
@@ -58,11 +62,11 @@ def octaves(longest: int) -> Iterator[tuple[int, int, int]]:
 
 
 def numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' words as numbers (equal words, equal numbers), one after the
-    other, and each text's first word (and the end)."""
-    seen: dict[bytes, int] = {}
+    """The texts' words as numbers, one text after the other, and each text's
+    first word (and the end).  Equal words of a text have equal numbers."""
     parts, first = [], [0]
     for text in column.cast(pa.binary()):
+        seen: dict[bytes, int] = {}
         n = first[-1]
         for words in T.word_blocks(text.as_py() or b""):
             parts.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
@@ -71,62 +75,86 @@ def numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(first)
 
 
-def centres(word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """For each octave (block, low, high) the centres c, multiples of the block,
-    whose block of words stands again low to high - 1 words later in its text."""
-    n = len(word)
+def centres(word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """For each octave (block, low, high) the centres c, multiples of the block
+    from the text's first word, whose block of words stands again low to high - 1
+    words later in the text, and the texts that they are in."""
     lengths = np.diff(first)
     # A mark of its own behind every text keeps blocks that cross texts apart.
     texts = np.arange(len(lengths))
-    spaced = np.empty(n + len(lengths), dtype=np.uint64)
-    place = np.arange(n) + np.repeat(texts, lengths)
-    spaced[place] = word.astype(np.uint64)
+    spaced = np.empty(len(word) + len(lengths), dtype=np.uint64)
+    spaced[np.arange(len(word)) + np.repeat(texts, lengths)] = word.astype(np.uint64)
     spaced[first[1:] + texts] = np.uint64(1 << 32) + texts.astype(np.uint64)
-    origin = np.full(len(spaced), -1, dtype=np.int64)
-    origin[place] = np.arange(n)
     name, wide = T.mix(spaced + np.uint64(1)), 1
     for block, low, high in octaves(int(lengths.max(initial=0))):
         while wide < block:
-            if len(name) <= wide:
-                return
             name = T.mix(name[:-wide] * np.uint64(0xA0761D6478BD642F) + name[wide:])
             wide *= 2
-        c = np.arange(0, len(name) - low, block)
+        number = np.where(lengths >= EXPONENT * low, np.maximum(0, (lengths - block - low) // block + 1), 0)
+        text = np.repeat(texts, number)
+        c = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)) * block
         found = np.zeros(len(c), dtype=bool)
-        step = max(1, (1 << 22) // (high - low))
-        padded = np.concatenate((name, np.zeros(high, dtype=np.uint64)))
+        padded = np.concatenate((name, np.zeros(high + block, dtype=np.uint64)))
         later = np.lib.stride_tricks.sliding_window_view(padded, high - low)
+        step = max(1, (1 << 20) // (high - low))
         for k in range(0, len(c), step):
-            at = c[k:k + step]
-            found[k:k + step] = (later[at[0] + low:at[-1] + low + 1:block] == name[at][:, None]).any(axis=1)
-        at = origin[c[found]]
-        yield block, low, high, at[at >= 0]
-
+            at = c[k:k + step] + text[k:k + step]
+            found[k:k + step] = (later[at + low] == name[at][:, None]).any(axis=1)
+        yield block, low, high, c[found], text[found]
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def batch(part, rows, fields, words):
-        offsets = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [part.column(k).take(pa.array(rows)) for k in ("key_a", "key_b")]
-            + [pa.array(x, pa.int64()) for x in zip(*fields)]
-            + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(words), pa.int32()))],
-            ["key_a", "key_b", "block", "low", "high", "start", "centre", "words"])
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Slices with their words, their tiles' centres, and which texts have any."""
     for part in T.pieces(batches, "text"):
         word, first = numbered(part.column("text"))
-        rows, fields, words, held = [], [], [], 0
-        for block, low, high, found in centres(word, first):
-            for c, row in zip(found.tolist(), (np.searchsorted(first, found, side="right") - 1).tolist()):
-                start, stop = max(int(first[row]), c - block), min(int(first[row + 1]), c + 2 * block + high)
-                rows.append(row)
-                fields.append((block, low, high, start - int(first[row]), c - start))
-                words.append(word[start:stop])
-                held += stop - start
-                if held * 4 > TILE_BYTES:
-                    yield batch(part, rows, fields, words)
-                    rows, fields, words, held = [], [], [], 0
-        if rows:
-            yield batch(part, rows, fields, words)
+        found = [f for f in centres(word, first) if len(f[3])]
+        open_ = np.zeros(part.num_rows, dtype=bool)
+        for *_, text in found:
+            open_[text] = True
+        yield part, word, first, found, open_
+
+
+_TILE = ("block", "low", "high", "start", "centre")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text has tiles, and its tiles."""
+    for part, word, first, found, open_ in _parts(batches):
+        if not found:
+            continue
+        rows = pa.array(np.flatnonzero(open_))
+        none = [pa.nulls(len(rows), pa.int64())] * len(_TILE)
+        yield pa.RecordBatch.from_arrays(
+            [part.column(k).take(rows) for k in ("key_a", "key_b", "row", "text")]
+            + none + [pa.nulls(len(rows), pa.list_(pa.int32()))], ["key_a", "key_b", "row", "text", *_TILE, "words"])
+        for block, low, high, centre, text in found:
+            start = np.maximum(first[text], centre - block)
+            stop = np.minimum(first[text + 1], centre + 2 * block + high)
+            step = max(1, TILE_BYTES // (4 * (3 * block + high)))
+            for k in range(0, len(centre), step):
+                a, b, r = start[k:k + step], stop[k:k + step], text[k:k + step]
+                n = b - a
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+                same = lambda x: pa.array(np.full(len(r), x, dtype=np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key_a").take(pa.array(r)), part.column("key_b").take(pa.array(r)),
+                     pa.nulls(len(r), part.column("row").type), pa.nulls(len(r), part.column("text").type),
+                     same(block), same(low), same(high), pa.array(a - first[r]), pa.array(centre[k:k + step] - a),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)),
+                                              pa.array(word[inside], pa.int32()))],
+                    ["key_a", "key_b", "row", "text", *_TILE, "words"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text has no tiles, and so no runs."""
+    for part, _, first, _, open_ in _parts(batches):
+        rows = np.flatnonzero(~open_)
+        texts = [b" ".join(w for block in T.word_blocks(t.as_py() or b"") for w in block)
+                 for t in part.column("text").take(pa.array(rows)).cast(pa.binary())]
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(rows) + 1, np.int32)), pa.array([], _RUN))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("row").take(pa.array(rows)), pa.array(np.diff(first)[rows]), none,
+             pa.array(texts, pa.binary()).cast(pa.string())], ["row", "n_words", "runs", "collapsed"])
 
 
 def z_function(s: list[int], most: int) -> list[int]:
@@ -174,7 +202,7 @@ def solve(words: list[int], centre: int, block: int, low: int, high: int) -> lis
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, out = [], []
-        values = [batch.column(k).to_numpy().tolist() for k in ("block", "low", "high", "start", "centre")]
+        values = [batch.column(k).to_numpy().tolist() for k in _TILE]
         words = batch.column("words")
         for i, (block, low, high, start, centre) in enumerate(zip(*values)):
             for q, a, b in solve(words[i].values.to_numpy().tolist(), centre, block, low, high):
@@ -210,9 +238,12 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"),
                         F.xxhash64(name, text).alias("key_a"), F.xxhash64(F.lit(1), name, text).alias("key_b"))
     key = ["key_a", "key_b"]
+    row = keyed.schema["row"].dataType
+    opened = stage_table(keyed.mapInArrow(_opened, S.StructType([
+        *S.StructType.fromDDL("key_a bigint, key_b bigint"), S.StructField("row", row), S.StructField("text", S.StringType()),
+        *S.StructType.fromDDL(", ".join(f"{k} bigint" for k in _TILE) + ", words array<int>")])), "runs-opened")
+    tiles = opened.filter("words is not null").select(*key, *_TILE, "words")
     keys = "key_a bigint, key_b bigint, "
-    tiles = keyed.select("text", *key).mapInArrow(
-        _tiles, keys + "block bigint, low bigint, high bigint, start bigint, centre bigint, words array<int>")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (tiles.repartition(parts).mapInArrow(_fragments, keys + "period bigint, start bigint, stop bigint")
              .distinct())
@@ -225,13 +256,14 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
              .filter(F.col("length") >= F.greatest(F.lit(MIN_WORDS), EXPONENT * F.col("period"))))
     runs = stage_table(whole.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "period", "length")))
                                                .alias("runs")), "runs")
-    joined = (keyed.join(runs, key, "left")
-              .select("row", "text", F.coalesce(F.transform("runs", lambda r: F.struct(
-                  r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))),
-                  F.array().cast(f"array<{RUN}>")).alias("runs")))
-    schema = S.StructType([joined.schema["row"], *S.StructType.fromDDL(f"n_words bigint, runs array<{RUN}>, "
-                                                                      "collapsed string")])
-    return joined.mapInArrow(_collapsed, schema)
+    listed = F.coalesce(F.transform("runs", lambda r: F.struct(
+        r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))),
+        F.array().cast(f"array<{RUN}>"))
+    joined = (opened.filter("words is null").select(*key, "row", "text").join(runs, key, "left")
+              .select("row", "text", listed.alias("runs")))
+    schema = S.StructType([S.StructField("row", row), *S.StructType.fromDDL(
+        f"n_words bigint, runs array<{RUN}>, collapsed string")])
+    return keyed.select("row", "text").mapInArrow(_settled, schema).union(joined.mapInArrow(_collapsed, schema))
 
 
 def strongest(runs: Column) -> Column:

@@ -95,20 +95,20 @@ def test_runs(docs):
     assert periodic_runs.find_runs(docs([])).collect() == []
 
 
-def test_tiles_do_not_depend_on_their_neighbours(monkeypatch):
-    """Small tile batches, and a text between others, give the same stretches."""
-    for seed in range(30):
-        words = repeated(1000 + seed)
-        ids = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        one = np.array([ids[w] for w in words], dtype=np.int32)
-        n = len(one)
-        both, first = np.concatenate((one, one, one)), np.array([0, n, 2 * n, 2 * n, 3 * n])
-        alone = {(c, b) for b, _, _, at in periodic_runs.centres(one, np.array([0, n])) for c in at.tolist()}
-        for block, low, high, at in periodic_runs.centres(both, first):
-            for c in at.tolist():
-                row = np.searchsorted(first, c, side="right") - 1
-                assert c + block <= first[row + 1]
-        assert all(c + b <= n for c, b in alone)
+def test_tiles_do_not_depend_on_the_texts_beside():
+    """A text is settled or not whatever it is read with."""
+    def tiles(texts):
+        ids = [[dict.fromkeys(t) and list(dict.fromkeys(t)).index(w) for w in t] for t in texts]
+        first = np.cumsum([0, *map(len, texts)])
+        out = [set() for _ in texts]
+        for block, _, _, at, text in periodic_runs.centres(np.array(sum(ids, []), dtype=np.int32), first):
+            for c, k in zip(at.tolist(), text.tolist()):
+                assert first[k] <= c and c + block <= first[k + 1]
+                out[k].add((block, int(c - first[k])))
+        return out
+
+    texts = [repeated(1000 + k) for k in range(30)] + [[], ["a"] * 9]
+    assert tiles(texts) == [tiles([t])[0] for t in texts]
 
 
 def test_op12_query(spark, tmp_path):
