@@ -8,7 +8,8 @@ about ``SKETCH * ln(SKETCH) / |set|`` rounds, and two sets agree on a
 coordinate with a probability near their similarity, with concentration.
 ``BANDS`` bands of ``ROWS`` coordinates give the candidates: a pair at
 similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
-Candidates are verified on the full shingle sets.
+Candidates are verified on the full sets of 64-bit shingle hashes, so two different
+shingles count as one only where their hashes collide.
 
 Equal sets are one class from the start (a partial aggregate, so thousands of
 copies cost one row).  Within a bucket of a band every class is compared with

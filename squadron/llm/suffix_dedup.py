@@ -95,20 +95,39 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["rid", "first", "n", "count", "core", "hull"])
 
 
-def _starts(cells: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts of a block's cells, in order, and whether each cell's hull stands only once."""
-    cells = sorted(cells, key=lambda c: c["first"])
-    return (np.concatenate([np.arange(c["first"], c["first"] + c["n"]) for c in cells]),
-            np.concatenate([np.full(c["n"], c["once"]) for c in cells]))
+#: Blocks that are worked on together.
+_TOGETHER = 1000
 
 
-def _sampled(starts: np.ndarray, size: int) -> np.ndarray:
-    """Sampled positions whose names the windows at ``starts`` are ordered by, at
-    the first level: their own and those at the distances of the next levels."""
-    need = np.zeros(size, dtype=bool)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, _TOGETHER):
+            yield batch.slice(a, _TOGETHER)
+
+
+def _flat(lists: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """A list column's entries as arrays: their rows, then the fields."""
+    row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    entries = lists.flatten()
+    return row, *[np.asarray(entries.field(f).to_numpy(zero_copy_only=False)) for f in fields]
+
+
+def _starts(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks' window starts: their rows, the starts, and whether the cell's
+    hull stands only once."""
+    row, first, n, once = _flat(cells, "first", "n", "once")
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(row, n), np.repeat(first, n) + within, np.repeat(once, n)
+
+
+def _sampled(at: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Sampled places whose names the windows that begin at places ``at`` are
+    ordered by, at the first level: their own and those at the distances of the
+    next levels.  ``base``: where each block begins, and the end."""
+    need = np.zeros(base[-1], dtype=bool)
     for shift in range(3):
-        need[starts + shift] = True
-    need[::3] = False
+        need[at + shift] = True
+    need[(np.arange(base[-1]) - np.repeat(base[:-1], np.diff(base))) % 3 == 0] = False
     for _, offsets in reversed(LEVELS):
         at = np.flatnonzero(need)
         for o in offsets[1:]:
@@ -116,66 +135,60 @@ def _sampled(starts: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(need)
 
 
-def _packed(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        names = ["rid", "pos", "k0", "k1", "k2"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(c)) for c in zip(*rows)], names)
+def _packed(rid: np.ndarray, pos: np.ndarray, *keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rid), pa.array(pos.astype(np.int32)), *map(pa.array, keys)], ["rid", "pos", "k0", "k1", "k2"])
 
 
 def _first_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part, rows = batch.slice(a, 2000), []
-            for rid, body, cells in zip(*[part.column(c).to_pylist() for c in ("rid", "body", "cells")]):
-                pos = _sampled(_starts(cells)[0], len(body))
-                data = np.frombuffer(body, dtype=np.uint8)
-                # Big-endian 8-byte characters, their order kept in signed numbers.
-                keys = [(np.ascontiguousarray(data[pos[:, None] + np.arange(8 * k, 8 * k + 8)]).view(">u8").ravel()
-                         .astype(np.uint64) ^ _SIGN).view(np.int64) for k in range(3)]
-                rows.append((np.full(len(pos), rid, dtype=np.int64), pos.astype(np.int32), *keys))
-            yield from _packed(rows)
+    for part in _slices(batches):
+        data, base = T.utf8(part.column("body"))
+        row, start, _ = _starts(part.column("cells"))
+        at = _sampled(base[row] + start, base)
+        row = np.searchsorted(base, at, side="right") - 1
+        # Big-endian 8-byte characters, their order kept in signed numbers.
+        keys = [(np.ascontiguousarray(data[at[:, None] + np.arange(8 * k, 8 * k + 8)]).view(">u8").ravel()
+                 .astype(np.uint64) ^ _SIGN).view(np.int64) for k in range(3)]
+        yield _packed(part.column("rid").to_numpy()[row], at - base[row], *keys)
 
 
 def _next_triples(offsets: tuple[int, ...]):
     """Triples of the names at the distances, where all three exist."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part, rows = batch.slice(a, 2000), []
-                for rid, named in zip(part.column("rid").to_pylist(), part.column("named")):
-                    pos = np.asarray(named.values.field("pos"))
-                    name = np.full(int(pos.max()) + offsets[-1] + 1, -1, dtype=np.int64)
-                    name[pos] = np.asarray(named.values.field("name"))
-                    pos = np.sort(pos)
-                    keys = [name[pos + o] for o in offsets]
-                    ok = (keys[0] >= 0) & (keys[1] >= 0) & (keys[2] >= 0)
-                    rows.append((np.full(int(ok.sum()), rid, dtype=np.int64), pos[ok].astype(np.int32),
-                                 *[k[ok] for k in keys]))
-                yield from _packed(rows)
+        for part in _slices(batches):
+            row, pos, value = _flat(part.column("named"), "pos", "name")
+            if not len(row):
+                continue
+            last = np.zeros(part.num_rows, dtype=np.int64)
+            np.maximum.at(last, row, pos)
+            base = np.concatenate(([0], np.cumsum(last + offsets[-1] + 1)))
+            name = np.full(base[-1], -1, dtype=np.int64)
+            at = base[row] + pos
+            name[at] = value
+            keys = [name[at + o] for o in offsets]
+            ok = (keys[0] >= 0) & (keys[1] >= 0) & (keys[2] >= 0)
+            yield _packed(part.column("rid").to_numpy()[row[ok]], pos[ok], *[k[ok] for k in keys])
     return run
 
 
 def _merge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window's keys (shift, name, other two bytes); pos is twice its start,
     and one more in a cell whose hull stands once."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part, rows = batch.slice(a, 2000), []
-            for rid, body, cells, named in zip(part.column("rid").to_pylist(), part.column("body").to_pylist(),
-                                               part.column("cells").to_pylist(), part.column("named")):
-                data = np.frombuffer(body, dtype=np.uint8).astype(np.int64)
-                name = np.full(len(body) + 3, -1, dtype=np.int64)
-                name[np.asarray(named.values.field("pos"))] = np.asarray(named.values.field("name"))
-                start, once = _starts(cells)
-                for shift in range(3):
-                    there = name[start + shift] >= 0
-                    p = start[there]
-                    around = [p + k for k in range(shift)] + [p + shift + COVERED + k for k in range(2 - shift)]
-                    rows.append((np.full(len(p), rid, dtype=np.int64), (2 * p + once[there]).astype(np.int32),
-                                 np.full(len(p), shift, dtype=np.int64), name[p + shift],
-                                 data[around[0]] * 256 + data[around[1]]))
-            yield from _packed(rows)
+    for part in _slices(batches):
+        data, base = T.utf8(part.column("body"))
+        rid = part.column("rid").to_numpy()
+        spread = base + 3 * np.arange(len(base))  # a block's names, and room for three more
+        name = np.full(spread[-1], -1, dtype=np.int64)
+        row, pos, value = _flat(part.column("named"), "pos", "name")
+        name[spread[row] + pos] = value
+        row, start, once = _starts(part.column("cells"))
+        for shift in range(3):
+            there = name[spread[row] + start + shift] >= 0
+            r, p = row[there], start[there]
+            around = [base[r] + p + k for k in range(shift)] \
+                + [base[r] + p + shift + COVERED + k for k in range(2 - shift)]
+            yield _packed(rid[r], 2 * p + once[there], np.full(len(p), shift, dtype=np.int64),
+                          name[spread[r] + p + shift], data[around[0]].astype(np.int64) * 256 + data[around[1]])
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

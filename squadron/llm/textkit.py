@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE_BYTES = 1 << 20
 
@@ -38,8 +39,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column (null: empty) and the row offsets in them."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes of a string or binary column (null: empty) and the row offsets in them."""
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
+    column = pc.fill_null(column, b"" if pa.types.is_large_binary(column.type) else "")
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -101,6 +103,10 @@ def word_blocks(raw: bytes, lower: bool = False, limit: int = PIECE_BYTES) -> It
         at = cut
 
 
+#: Longer words are hashed one by one.
+_LONG = 64
+
+
 class Words:
     """Words of a slice: ``start``, ``stop`` (byte positions in ``data``),
     ``row`` (row of each word), ``first`` (first word of each row, and the end)."""
@@ -120,12 +126,21 @@ class Words:
         self.row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word's normalised bytes."""
-        forward, back = powers(len(self.norm) + 1)
-        total = np.zeros(len(self.norm) + 1, dtype=np.uint64)
-        np.cumsum((self.norm.astype(np.uint64) + _U(1)) * forward[:-1], out=total[1:])
-        return mix((total[self.stop] - total[self.start]) * back[self.start]
-                   + (self.stop - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        """A 64-bit hash of every word's normalised bytes: eight bytes at a time
+        are mixed in, for all words together; of long words xxHash is taken."""
+        size = self.stop - self.start
+        out = mix(size.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(1))
+        padded = np.concatenate((self.norm, np.zeros(8, dtype=np.uint8)))
+        eights = np.ndarray(len(self.norm) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        longest = min(int(size.max(initial=0)), _LONG)
+        for k in range(0, longest, 8):
+            live = np.flatnonzero((size > k) & (size <= _LONG))
+            left = np.minimum(8, size[live] - k).astype(np.uint64)
+            piece = eights[self.start[live] + k] & (~_U(0) >> (_U(64) - _U(8) * left))
+            out[live] = mix(out[live] * _U(0xA0761D6478BD642F) + piece)
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.norm[self.start[i]:self.stop[i]].tobytes())
+        return out
 
 
 def combine(columns: list[np.ndarray], seed: int) -> np.ndarray:

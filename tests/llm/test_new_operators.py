@@ -165,3 +165,11 @@ def test_manifest_of_few_rows(spark):
         got = merkle.build(spark.createDataFrame(data, MERKLE)).proofs().withColumn(
             "folded", merkle.fold(F.col("claimed"), F.col("path")))
         assert all(r.folded == r.root for r in got.collect()) and got.count() == len(data)
+
+
+def test_different_long_words_are_not_linked(docs):
+    """Thue-Morse words of a and b, and their complements, have equal polynomial hashes modulo 2^64."""
+    from squadron.llm import near_dup
+    turn = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    data = [(1, turn), (2, turn.translate(str.maketrans("ab", "ba"))), (3, turn), (4, "ab" * 32), (5, "ab" * 33)]
+    assert rows(near_dup.near_duplicates(docs(data))) == brute.near(data)
