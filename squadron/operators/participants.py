@@ -1,4 +1,4 @@
-"""Participant (season) operators: F8, R2, A19, A23, J11, S14, U3, U4."""
+"""Participant (season) operators: F8, R2, A19, A23 (summary), J11, S14, U3, U4."""
 
 from __future__ import annotations
 
@@ -149,114 +149,3 @@ def common_players(ws: DataFrame, pick: DataFrame, top: int = 3) -> DataFrame:
     lead = top_k(ws.select(*G, "entry_id", "total_points"), G,
                  [F.col("total_points").desc(), F.col("entry_id")], top).drop("k")
     return common_to(lead, pick, G)
-
-
-SEASON_SCHEMA = [("entry_id", "bigint"), ("section", "string"), ("k", "int"), ("gameweek", "int"),
-                 ("player_id", "bigint"), ("label", "string"), ("value", "bigint"),
-                 ("value2", "bigint"), ("detail", "array<bigint>"), ("detail2", "array<bigint>"),
-                 ("average", "double")]
-
-
-def _season_long(df: DataFrame, section: str, **cols) -> DataFrame:
-    """Project one season part onto the long schema; ``cols`` values are SQL
-    expressions over the part's columns (one ``selectExpr``)."""
-    exprs = []
-    for name, typ in SEASON_SCHEMA:
-        if name == "section":
-            exprs.append(f"'{section}' AS section")
-        elif name in cols:
-            exprs.append(f"CAST({cols[name]} AS {typ}) AS {name}")
-        elif name == "entry_id":
-            exprs.append(f"CAST(entry_id AS {typ}) AS entry_id")
-        else:
-            exprs.append(f"CAST(NULL AS {typ}) AS {name}")
-    return df.selectExpr(*exprs)
-
-
-def season_wrap_report(entry: DataFrame, pick: DataFrame, score: DataFrame, transfer: DataFrame,
-                       auto_sub: DataFrame, members: DataFrame, last_week) -> DataFrame:
-    """A23 in full (inferred from saved season reports): the league report's
-    parts re-keyed by entry, with the week as the row.  One tidy row per
-    item; every group is one entry's season (at most 38 weeks), so windows
-    and lists here are bounded by the season length."""
-    from functools import reduce
-
-    from squadron.operators.bench import auto_sub_points
-    from squadron.operators.transfers import participant_transfer_weeks
-
-    E = ["entry_id"]
-    e = entries_span(entry, upto=last_week).select(
-        "entry_id", F.col("gw").alias("gameweek"), "active_chip", "total_points", "points_on_bench")
-    weeks = participant_transfer_weeks(transfer, score, members, last_week)
-    w = weeks.join(e, ["entry_id", "gameweek"], "left")
-    pk = pick.where(F.col("gw") <= last_week)
-    parts = []
-
-    caps = pk.where(F.col("is_captain")).groupBy("entry_id", "player_id").agg(F.count(F.lit(1)).alias("n"))
-    parts.append(_season_long(caps, "captain", player_id="player_id", value="n"))
-
-    roles = pk.groupBy("entry_id", "gw").agg(
-        F.max(F.when(F.col("is_captain"), F.col("player_id"))).alias("cap"),
-        F.max(F.when(F.col("is_vice_captain"), F.col("player_id"))).alias("vice"))
-    mins = score.select(F.col("player_id").alias("cap"), F.col("gameweek").alias("gw"), "minutes")
-    pts = score.select(F.col("player_id").alias("vice"), F.col("gameweek").alias("gw"),
-                       (F.col("total_points") * 2).alias("p"))
-    pv = (roles.where(F.col("cap").isNotNull() & F.col("vice").isNotNull())
-          .join(mins, ["cap", "gw"], "left").where(F.coalesce("minutes", F.lit(0)) == 0)
-          .join(pts, ["vice", "gw"], "left")
-          .groupBy("entry_id", "vice").agg(F.count(F.lit(1)).alias("n"),
-                                           F.sum(F.coalesce("p", F.lit(0))).alias("p")))
-    parts.append(_season_long(pv, "promoted_vice", player_id="vice", value="p", value2="n"))
-
-    chips = e.where(F.col("active_chip").isNotNull()).select("entry_id", "active_chip").distinct()
-    parts.append(_season_long(chips, "used_chips", label="active_chip"))
-
-    st = e.groupBy(*E).agg(F.percentile("total_points", 0.25).alias("q1"),
-                           F.percentile("total_points", 0.75).alias("q3"),
-                           F.max("total_points").alias("mx"), F.avg("total_points").alias("avg"))
-    ej = e.join(st, E)
-    parts.append(_season_long(ej.where(F.col("total_points") == F.col("mx")), "exceptional",
-                              gameweek="gameweek", value="total_points"))
-    low = F.col("total_points") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    parts.append(_season_long(ej.where(low), "abysmal", gameweek="gameweek", value="total_points"))
-    parts.append(_season_long(st, "season_average", average="avg"))
-
-    for col in ("element_out", "element_in"):
-        c = w.groupBy("entry_id", col).agg(F.count(F.lit(1)).alias("n"))
-        for least in (False, True):
-            order = [F.col("n").asc() if least else F.col("n").desc(), F.col(col).asc()]
-            name = ("least_" if least else "most_") + ("transferred_out" if col == "element_out" else "transferred_in")
-            parts.append(_season_long(top_k(c, E, order, 3), name, k="k", detail=col, value="n"))
-
-    nc = w.where(F.col("active_chip").isNull() & (F.col("transfers") > 0))
-    nc = nc.join(nc.groupBy(*E).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 2), E, "left_semi")
-    for best in (True, False):
-        order = [F.col("delta").desc() if best else F.col("delta").asc(), F.col("gameweek").asc()]
-        parts.append(_season_long(top_k(nc, E, order, 3 if best else 2),
-                                  "best_transfer_in" if best else "worst_transfer_in", k="k",
-                                  gameweek="gameweek", detail="element_in", detail2="element_out",
-                                  value="delta"))
-
-    top_bench = top_k(e.where(F.col("points_on_bench").isNotNull()), E,
-                      [F.col("points_on_bench").desc(), F.col("gameweek").asc()], 3)
-    bench_rows = pk.where(F.col("multiplier") == 0).select(
-        "entry_id", F.col("gw").alias("gameweek"), "position", "player_id")
-    tb = (top_bench.join(bench_rows, ["entry_id", "gameweek"], "left")
-          .groupBy("entry_id", "gameweek", "k", "points_on_bench")
-          .agg(F.array_sort(F.collect_list(F.when(F.col("player_id").isNotNull(),
-                                                  F.struct("position", "player_id")))).alias("__b"))
-          .withColumn("players", F.transform("__b", lambda s: s["player_id"])))
-    parts.append(_season_long(tb, "most_points_on_bench", k="k", gameweek="gameweek",
-                              detail="players", value="points_on_bench"))
-
-    subs = auto_sub_points(auto_sub.where(F.col("gw") <= last_week), score)
-    lucky = top_k(subs, E, [F.col("auto_sub_in_points").desc(), F.col("gameweek").asc()], 3)
-    parts.append(_season_long(lucky, "lucky_week", k="k", gameweek="gameweek", detail="auto_sub_in",
-                              detail2="auto_sub_out", value="auto_sub_in_points"))
-
-    ext = e.groupBy(*E).agg(
-        F.min(F.struct((-F.col("total_points")).alias("v"), F.col("gameweek").alias("g"))).alias("hi"),
-        F.min(F.struct(F.col("total_points").alias("v"), F.col("gameweek").alias("g"))).alias("lo"))
-    parts.append(_season_long(ext, "highest_point", gameweek="hi.g", value="-hi.v"))
-    parts.append(_season_long(ext, "lowest_point", gameweek="lo.g", value="lo.v"))
-    return reduce(DataFrame.unionByName, parts)

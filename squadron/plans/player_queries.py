@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from squadron.operators import lookups, participants, players, stats
+from squadron.operators import lookups, participants, players, season, stats
 from squadron.oracle_views import with_views
 from squadron.plans.oracle_common import WS_CTES, WS_VIEWS
 from squadron.plans.registry import register
@@ -377,7 +377,7 @@ def q_season_extreme_weeks(spark, sf_dir):
 
 # ---- A23 season wrap, all sections ----------------------------------------
 def _season_sql(section: str, body: str, **cols) -> str:
-    from squadron.operators.participants import SEASON_SCHEMA
+    from squadron.operators.season import SEASON_SCHEMA
     from squadron.plans.report_queries import DUCK_TYPES
     sel = []
     for name, typ in SEASON_SCHEMA:
@@ -465,8 +465,7 @@ def _season_report_sql():
 def q_season_wrap_report(spark, sf_dir):
     from squadron.plans.transfer_queries import members_of
     t = tables(spark, sf_dir)
-    return participants.season_wrap_report(t.entry, t.pick, t.score, t.transfer, t.auto_sub,
-                                           members_of(t), current_week(t))
+    return season.season_wrap_report(t.entry, t.pick, t.score, t.transfer, t.auto_sub, members_of(t), current_week(t))
 
 
 @register("most_owned", with_views(
