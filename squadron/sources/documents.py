@@ -35,13 +35,18 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, partitions: dict
 def gameweek_scores(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``<path>/gameweek=<n>/*.json`` live documents -> one row
     per (player, gameweek) with every stat; text decimals cast at ingest (F14)."""
-    doc = _read(spark, path, schemas.GAMEWEEK_DOC, {"gameweek": T.IntegerType()}, multi_line)
-    e = doc.select("gameweek", F.explode("elements").alias("e"))
+    return score_rows(_read(spark, path, schemas.GAMEWEEK_DOC, {"gameweek": T.IntegerType()}, multi_line))
+
+
+def score_rows(doc: DataFrame, *keep: str) -> DataFrame:
+    """The players' rows of live documents (gameweek, elements); the document's
+    ``keep`` columns stay beside them."""
+    e = doc.select("gameweek", *keep, F.explode("elements").alias("e"))
     cols = [F.col("e.id").alias("player_id"), "gameweek"]
     cols += [F.col(f"e.stats.{c}").alias(c) for c in schemas.STAT_INT]
     cols += [F.col(f"e.stats.{c}").cast(DEC).alias(c) for c in schemas.STAT_DECIMAL_TEXT]
     cols.append(F.col("e.stats.in_dreamteam").alias("in_dreamteam"))
-    return e.select(*cols)
+    return e.select(*cols, *keep)
 
 
 def gameweek_explain(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

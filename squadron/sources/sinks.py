@@ -43,6 +43,15 @@ def refreshed(old: DataFrame, new: DataFrame, key: str = "gameweek") -> DataFram
     return kept.unionByName(new.select(*old.columns))
 
 
+def newest_rows(rows: DataFrame, key, version) -> DataFrame:
+    """K3 with versions: one row per ``key``, the one with the greatest
+    ``version`` columns, in whatever order the rows came.  A partial aggregate."""
+    key, version = list(key), list(version)
+    rest = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("__r"))
+    return best.select(*[F.col(c) if c in key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
+
+
 def write_json(df: DataFrame, path: str, column: str | None = None) -> None:
     """K5: reports as JSON -- either a column already holding JSON text
     (one document per line) or every row serialised by Spark."""

@@ -1,15 +1,22 @@
 """K3 as a stream: landed gameweek documents refresh the score table.
 
 The reference polls the API and re-runs the gameweek refresh in a loop.
-Here a file-source stream watches the landing folder; each micro-batch is
-flattened (S1), reduced to the newest document of each (player, gameweek),
-merged with the stored rows of its gameweeks and written with the same
-idempotent dynamic-partition overwrite as the batch refresh, through
-``foreachBatch``.  A gameweek may so land over several batches, and a document
-may land twice in one.  With
-``trigger(availableNow=True)`` it processes what has landed and stops; the
-checkpoint location makes restarts exactly-once per file.  No watermarks or
-state: the reference has no late-data rules.
+Here a file-source stream watches the landing folder.  Each micro-batch is
+flattened (S1) and appended to a log beside the table, every row with its
+version: when its document was changed, then the document's path.  The batch's
+gameweeks are then published: of the log's rows the newest of each (player,
+gameweek), across all batches, replace the table's partitions.
+
+* An older document that lands later changes nothing, as versions are compared
+  with those of all earlier batches.
+* Only the log is ever read again, and it is only appended to; a crash at any
+  point leaves it whole.  The replayed batch appends rows that equal those there
+  and publishes its gameweeks anew, also if the crash came while the table's
+  partitions were being replaced.
+
+With ``trigger(availableNow=True)`` the stream processes what has landed and
+stops; the checkpoint location makes restarts exactly-once per file.  No
+watermarks or state: the reference has no late-data rules.
 """
 
 from __future__ import annotations
@@ -18,49 +25,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squadron import schemas
-from squadron.sources.documents import DEC
+from squadron.functions.lists import MAX_GW, valid_gameweek
 from squadron.session import stage_table
-from squadron.sources.sinks import refresh_gameweeks
+from squadron.sources.documents import score_rows
+from squadron.sources.sinks import append, newest_rows, refresh_gameweeks
 
 GW_FROM_PATH = r"gameweek=(\d+)"
+KEY = ("player_id", "gameweek")
+VERSION = ("changed", "file_path")
+
+
+def log_path(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}_log"
+
+
+def record(rows: DataFrame, table_path: str) -> list[int]:
+    """Append rows with their versions to the table's log; returns their
+    gameweeks (38 at most)."""
+    rows = stage_table(newest_rows(rows, KEY, VERSION).where(valid_gameweek("gameweek")), "refresh-rows")
+    append(rows, log_path(table_path), partition_by="gameweek")
+    return sorted(r.gameweek for r in rows.select("gameweek").distinct().limit(MAX_GW).collect())
 
 
-def flatten_scores(doc: DataFrame) -> DataFrame:
-    """S1 on a stream or batch of raw documents carrying ``file_path`` (and, for
-    ``newest``, ``changed``); both are kept."""
-    source = [c for c in ("changed", "file_path") if c in doc.columns]
-    e = doc.select(*source, F.regexp_extract("file_path", GW_FROM_PATH, 1).cast("int").alias("gameweek"),
-                   F.explode("elements").alias("e"))
-    cols = [F.col("e.id").alias("player_id"), "gameweek"]
-    cols += [F.col(f"e.stats.{c}").alias(c) for c in schemas.STAT_INT]
-    cols += [F.col(f"e.stats.{c}").cast(DEC).alias(c) for c in schemas.STAT_DECIMAL_TEXT]
-    cols.append(F.col("e.stats.in_dreamteam").alias("in_dreamteam"))
-    return e.select(*cols, *source)
-
-
-def newest(rows: DataFrame) -> DataFrame:
-    """One row per (player, gameweek): of the document changed last, then of the
-    largest path.  A partial aggregate."""
-    cols = [c for c in rows.columns if c not in ("changed", "file_path")]
-    best = rows.groupBy("player_id", "gameweek").agg(
-        F.max_by(F.struct(*cols), F.struct("changed", "file_path")).alias("r"))
-    return best.select("r.*")
-
-
-def merge_gameweeks(rows: DataFrame, table_path: str) -> None:
-    """Write rows over the stored ones with their key; other stored rows of
-    the same gameweeks stay.  What is read from the table is written to the
-    shared folder first, as the overwrite replaces the files it comes from."""
-    spark = rows.sparkSession
-    rows = stage_table(rows, "refresh-rows")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        stored = spark.read.schema(rows.schema).parquet(table_path)
-        weeks = rows.select("gameweek").distinct()
-        kept = (stored.join(weeks, "gameweek", "left_semi")
-                .join(rows.select("player_id", "gameweek"), ["player_id", "gameweek"], "left_anti"))
-        rows = stage_table(rows.unionByName(kept.select(*rows.columns)), "refresh-merged")
-    refresh_gameweeks(rows, table_path)
+def publish(spark: SparkSession, table_path: str, weeks: list[int]) -> None:
+    """Replace the gameweeks' partitions by the log's newest rows; the other
+    partitions of the log are not read, nor those of the table touched."""
+    if weeks:
+        rows = spark.read.parquet(log_path(table_path)).where(F.col("gameweek").isin(weeks))
+        refresh_gameweeks(newest_rows(rows, KEY, VERSION).drop(*VERSION), table_path)
 
 
 def start_gameweek_refresh(spark: SparkSession, landing: str, table_path: str,
@@ -69,10 +61,11 @@ def start_gameweek_refresh(spark: SparkSession, landing: str, table_path: str,
     raw = (spark.readStream.schema(schemas.GAMEWEEK_DOC).option("multiLine", multi_line)
            .option("recursiveFileLookup", "true").json(landing)
            .select("*", F.col("_metadata.file_path").alias("file_path"),
-                   F.col("_metadata.file_modification_time").alias("changed")))
+                   F.col("_metadata.file_modification_time").alias("changed"))
+           .withColumn("gameweek", F.regexp_extract("file_path", GW_FROM_PATH, 1).try_cast("int")))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        merge_gameweeks(newest(flatten_scores(batch)), table_path)
+        publish(batch.sparkSession, table_path, record(score_rows(batch, *VERSION), table_path))
 
     w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")

@@ -4,6 +4,7 @@ stream and the schema contract (C1) on small synthetic documents."""
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from squadron.operators import contract
@@ -172,6 +173,55 @@ def test_refresh_stream_keeps_newest_row_of_each_player(spark, tmp_path):
     assert run() == [(1, 1, 9), (2, 1, 7)]
 
 
+def _refresh(spark, tmp_path):
+    landing, table = str(tmp_path / "landing"), str(tmp_path / "table")
+
+    def run():
+        start_gameweek_refresh(spark, landing, table, str(tmp_path / "ckpt")).awaitTermination(120)
+        return sorted((r.player_id, r.gameweek, r.total_points) for r in spark.read.parquet(table).collect())
+
+    def land(name, rows, changed, week=1):
+        _live(landing, week, rows, name=name)
+        os.utime(os.path.join(landing, f"gameweek={week}", name), (changed, changed))
+
+    return land, run, table
+
+
+def test_an_older_document_that_lands_later_changes_nothing(spark, tmp_path):
+    land, run, _ = _refresh(spark, tmp_path)
+    land("new.json", [(1, 9), (2, 4)], 1_700_000_500)
+    assert run() == [(1, 1, 9), (2, 1, 4)]
+    # Late, and changed earlier: only the player it alone knows is added.
+    land("old.json", [(1, 5), (3, 2)], 1_700_000_100)
+    assert run() == [(1, 1, 9), (2, 1, 4), (3, 1, 2)]
+    land("newest.json", [(1, 10)], 1_700_000_900)
+    land("week2.json", [(1, 1)], 1_700_000_100, week=2)
+    assert run() == [(1, 1, 10), (1, 2, 1), (2, 1, 4), (3, 1, 2)]
+
+
+def test_a_crash_while_partitions_are_replaced_loses_nothing(spark, tmp_path, monkeypatch):
+    import shutil
+
+    from squadron.streaming import refresh
+
+    land, run, table = _refresh(spark, tmp_path)
+    land("a.json", [(1, 5), (2, 7)], 1_700_000_100)
+    assert run() == [(1, 1, 5), (2, 1, 7)]
+    land("b.json", [(1, 6)], 1_700_000_200)
+
+    def crash(df, path):
+        shutil.rmtree(os.path.join(path, "gameweek=1"))  # the old partition is gone, the new one not there
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(refresh, "refresh_gameweeks", crash)
+        with pytest.raises(Exception):
+            run()
+    assert not os.path.exists(os.path.join(table, "gameweek=1"))
+    # The restarted stream replays the batch; player 2 comes from the log.
+    assert run() == [(1, 1, 6), (2, 1, 7)]
+
+
 def test_schema_contract(spark):
     docs = spark.createDataFrame([('{"k": 1}',), ('{"k": 2, "x": 1}',)], "props string")
     obs = contract.key_counts(docs, "props", "events.props")
