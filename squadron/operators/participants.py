@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squadron.functions.lists import check_gameweeks, first_argmax, season_half
-from squadron.operators.picks import G, weekly_squads
+from squadron.functions.lists import check_gameweeks, season_half
+from squadron.operators.picks import G
 from squadron.operators.ranking import position_rank, top_k
 
 
@@ -22,27 +22,65 @@ def entries_span(entry: DataFrame, weeks=None, upto=None) -> DataFrame:
     return entry.where(F.col("gw") <= upto)
 
 
+#: Roles of a squad whose player is reported as a whole.
+ROLES = ("captain", "vice_captain", "highest_scoring_player")
+
+
+def player_payloads(pick: DataFrame, score: DataFrame, player: DataFrame) -> DataFrame:
+    """Every pick with ``payload``: the player's id, ``info`` (of the week's half
+    of the season, J7) and ``score`` (all of that week's statistics); parts that
+    are not known are null."""
+    info = [c for c in player.columns if c not in ("player_id", "half")]
+    stats = [c for c in score.columns if c not in ("player_id", "gameweek")]
+    who = player.select("player_id", "half", F.struct("half", *info).alias("info"))
+    week = score.select("player_id", F.col("gameweek").alias("gw"), F.struct(*stats).alias("score"))
+    return (pick.withColumn("half", season_half("gw"))
+            .join(who, ["player_id", "half"], "left").join(week, ["player_id", "gw"], "left")
+            .withColumn("payload", F.struct("player_id", "info", "score")))
+
+
 def participant_report(entry: DataFrame, pick: DataFrame, score: DataFrame,
-                       player: DataFrame, upto=None) -> DataFrame:
-    """R2: per entry and week 1..upto: squad, points breakdown, the top
-    scorer (W4), captain x2 and vice (J3), and the names of captain, vice
-    and top scorer (J7 by season half)."""
-    sq = weekly_squads(pick, score, with_lists=True).where(F.col("n_players") > 0)
-    e = entries_span(entry, upto=upto).select("entry_id", "gw", "total_points", "active_chip")
-    r = e.join(sq, ["entry_id", "gw"], "inner")
-    r = (r.withColumn("highest_scoring_player",
-                      F.element_at("players", first_argmax("points_breakdown").cast("int")))
-         .withColumn("highest_scoring_player_points", F.array_max("points_breakdown"))
-         .withColumn("half", season_half("gw")))
-    names = player.select("player_id", "half", "player_name")
-    for role in ("captain", "vice_captain", "highest_scoring_player"):
-        r = r.join(names.withColumnsRenamed({"player_id": role, "player_name": f"{role}_name"}),
-                   [role, "half"], "left")
-    return r.select("entry_id", F.col("gw").alias("gameweek"), "total_points", "active_chip",
-                    "players", "points_breakdown", "highest_scoring_player",
-                    "highest_scoring_player_points", "captain", "captain_points", "vice_captain",
-                    "vice_captain_points", "captain_name", "vice_captain_name",
-                    "highest_scoring_player_name")
+                       player: DataFrame, auto_sub: DataFrame, upto=None) -> DataFrame:
+    """R2: per entry and week 1..upto the entry's chip, points, bench points and
+    transfer cost; squad, bench and automatic substitutions; the points
+    breakdown; and captain (points x2, J3), vice and top scorer (W4), each as a
+    whole player: info by season half and that week's score.
+
+    The scores and the player table meet the picks in one join each; an
+    aggregate over the squad picks the three players' structs."""
+    p = player_payloads(pick, score, player)
+    points = F.coalesce(F.col("payload.score.total_points"), F.lit(0))
+    starter = F.col("multiplier") > 0
+    placed = F.struct(F.col("position"), F.col("player_id"), points.alias("points"))
+
+    def listed(cond):
+        return F.array_sort(F.collect_list(F.when(cond, placed)))
+
+    def only(cond, value):
+        return F.max_by(F.when(cond, value), F.when(cond, F.col("player_id")))
+
+    squads = p.groupBy("entry_id", "gw").agg(
+        listed(starter).alias("s"), listed(F.col("multiplier") == 0).alias("b"),
+        only(F.col("is_captain"), F.col("payload")).alias("captain"),
+        only(F.col("is_vice_captain"), F.col("payload")).alias("vice_captain"),
+        F.min_by(F.when(starter, F.col("payload")), F.when(starter, F.struct(-points, F.col("position"))))
+        .alias("highest_scoring_player")).where(F.size("s") > 0)
+    is_in = F.col("direction") == "in"
+    subs = auto_sub.groupBy("entry_id", "gw").agg(
+        F.array_sort(F.collect_list(F.when(is_in, F.col("player_id")))).alias("auto_sub_in"),
+        F.array_sort(F.collect_list(F.when(~is_in, F.col("player_id")))).alias("auto_sub_out"))
+    none = F.array().cast("array<bigint>")
+    got = lambda role: F.coalesce(F.col(f"{role}.score.total_points"), F.lit(0))
+    return (entries_span(entry, upto=upto).join(squads, ["entry_id", "gw"]).join(subs, ["entry_id", "gw"], "left")
+            .select("entry_id", F.col("gw").alias("gameweek"), "active_chip", "total_points", "points_on_bench",
+                    "event_transfers_cost", F.transform("s", lambda x: x["player_id"]).alias("players"),
+                    F.transform("b", lambda x: x["player_id"]).alias("bench"),
+                    F.coalesce("auto_sub_in", none).alias("auto_sub_in"),
+                    F.coalesce("auto_sub_out", none).alias("auto_sub_out"),
+                    F.transform("s", lambda x: x["points"]).alias("points_breakdown"),
+                    *ROLES, (got("captain") * 2).cast("int").alias("captain_points"),
+                    got("vice_captain").cast("int").alias("vice_captain_points"),
+                    F.array_max(F.transform("s", lambda x: x["points"])).alias("highest_scoring_player_points")))
 
 
 def player_frequency(pick: DataFrame) -> DataFrame:

@@ -235,6 +235,10 @@ R2 = ("r2", """SELECT entry_id, gw,
   FROM sqp GROUP BY entry_id, gw HAVING count(*) FILTER (WHERE multiplier > 0) > 0""")
 
 
+REPORT_COLS = ["entry_id", "gameweek", "total_points", "active_chip", "players", "points_breakdown",
+               "highest_scoring_player_points", "captain_points", "vice_captain_points"]
+
+
 @register("participant_report", with_views(
     f"""SELECT r.entry_id, r.gw AS gameweek, e.total_points, e.active_chip, r.players, r.points_breakdown,
                r.highest_scoring_player, r.highest_scoring_player_points, r.captain, r.captain_points,
@@ -248,7 +252,51 @@ R2 = ("r2", """SELECT entry_id, gw,
     "entry", "pick", "score", "player", extra=(SQP, R2)), "R2 W4 J3 J7 F8", list_cols=('players', 'points_breakdown'))
 def q_participant_report(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return participants.participant_report(t.entry, t.pick, t.score, t.player, upto=current_week(t))
+    r = participants.participant_report(t.entry, t.pick, t.score, t.player, t.auto_sub, upto=current_week(t))
+    return r.select(*REPORT_COLS, *[F.col(f"{role}.player_id").alias(role) for role in participants.ROLES],
+                    *[F.col(f"{role}.info.player_name").alias(f"{role}_name") for role in participants.ROLES])
+
+
+INFO_COLS = ["player_name", "position", "team", "half"]
+STAT_COLS = ["total_points", "minutes", "goals_scored", "assists", "in_dreamteam"]
+
+
+def _payload_sql():
+    sel, joins = [], []
+    for i, role in enumerate(participants.ROLES):
+        sel += [f"r.{role} AS {role}_id", *[f"p{i}.{c} AS {role}_{c}" for c in INFO_COLS],
+                *[f"s{i}.{c} AS {role}_score_{c}" for c in STAT_COLS],
+                *[f"CAST(s{i}.{c} AS DOUBLE) AS {role}_score_{c}" for c in DEC_COLS]]
+        joins.append(f"""LEFT JOIN player p{i} ON p{i}.player_id = r.{role} AND p{i}.half = {HALF.format(g='r.gw')}
+                         LEFT JOIN score s{i} ON s{i}.player_id = r.{role} AND s{i}.gameweek = r.gw""")
+    none = "CAST([] AS BIGINT[])"
+    return with_views(f"""SELECT r.entry_id, r.gw AS gameweek, e.active_chip, e.total_points, e.points_on_bench,
+            e.event_transfers_cost, r.players, coalesce(b.bench, {none}) AS bench,
+            coalesce(a.ins, {none}) AS auto_sub_in, coalesce(a.outs, {none}) AS auto_sub_out, r.points_breakdown,
+            r.captain_points, r.vice_captain_points, r.highest_scoring_player_points, {', '.join(sel)}
+        FROM entry e JOIN r2 r ON r.entry_id = e.entry_id AND r.gw = e.gw
+        LEFT JOIN (SELECT entry_id, gw, list(player_id ORDER BY position) AS bench FROM pick WHERE multiplier = 0
+                   GROUP BY entry_id, gw) b ON b.entry_id = e.entry_id AND b.gw = e.gw
+        LEFT JOIN (SELECT entry_id, gw, coalesce(list(player_id ORDER BY player_id) FILTER (WHERE direction = 'in'), {none}) AS ins,
+                          coalesce(list(player_id ORDER BY player_id) FILTER (WHERE direction = 'out'), {none}) AS outs
+                   FROM auto_sub GROUP BY entry_id, gw) a ON a.entry_id = e.entry_id AND a.gw = e.gw
+        {' '.join(joins)} WHERE e.gw <= (SELECT max(gw) FROM entry)""",
+                      "entry", "pick", "score", "player", "auto_sub", extra=(SQP, R2))
+
+
+@register("participant_report_payloads", _payload_sql(), "R2",
+          list_cols=("players", "bench", "auto_sub_in", "auto_sub_out", "points_breakdown"))
+def q_participant_report_payloads(spark, sf_dir):
+    """R2 whole, the three players' structs flattened."""
+    t = tables(spark, sf_dir)
+    r = participants.participant_report(t.entry, t.pick, t.score, t.player, t.auto_sub, upto=current_week(t))
+    flat = []
+    for role in participants.ROLES:
+        flat += [F.col(f"{role}.player_id").alias(f"{role}_id"),
+                 *[F.col(f"{role}.info.{c}").alias(f"{role}_{c}") for c in INFO_COLS],
+                 *[F.col(f"{role}.score.{c}").alias(f"{role}_score_{c}") for c in STAT_COLS],
+                 *[F.col(f"{role}.score.{c}").cast("double").alias(f"{role}_score_{c}") for c in DEC_COLS]]
+    return r.select(*[c for c in r.columns if c not in participants.ROLES], *flat)
 
 
 @register("player_frequency", with_views(

@@ -67,3 +67,39 @@ R1_PARTS = [
     extra=(*J1_CTES, ST, OUT, ASP)), "R1", list_cols=('detail', 'detail2'))
 def q_league_weekly_report(spark, sf_dir):
     return reports.league_weekly_report(tables(spark, sf_dir))
+
+
+VICE_BODY = """SELECT v.league_id, v.gameweek, v.vice_captain, v.count, coalesce(s.total_points * 2, 0) AS points
+       FROM (SELECT w.league_id, w.gameweek, w.vice_captain, count(*) AS count
+             FROM ws w LEFT JOIN score c ON c.player_id = w.captain AND c.gameweek = w.gameweek
+             WHERE coalesce(c.minutes, 0) = 0 AND w.vice_captain IS NOT NULL GROUP BY ALL) v
+       LEFT JOIN score s ON s.player_id = v.vice_captain AND s.gameweek = v.gameweek"""
+
+
+def _documents_sql():
+    parts = [*R1_PARTS, _long_sql("promoted_vice", VICE_BODY, player_id="vice_captain", value="count", value2="points")]
+    def cases(of):
+        return "CASE section " + " ".join(f"WHEN '{n}' THEN {of(n)}" for n in reports.DOCUMENT) + " END"
+
+    first = cases(lambda n: f"{'-' if reports.DOCUMENT[n][1][0] != '-' else ''}{reports.DOCUMENT[n][1].lstrip('-')}")
+    item = cases(lambda n: "CAST(to_json({" + ", ".join(f"'{f}': {c}" for f, c in reports.DOCUMENT[n][0])
+                 + "}) AS VARCHAR)")
+    sections = ", ".join(f"({i}, '{n}')" for i, n in enumerate(reports.DOCUMENT))
+    rows = "\nUNION ALL\n".join(parts)
+    return with_views(f"""SELECT g.league_id, g.gameweek, CAST(v.place AS INTEGER) AS place, v.section,
+            coalesce(p.page, 0) AS page, CAST(coalesce(p.n, 0) AS INTEGER) AS n_items,
+            '[' || coalesce(p.items, '') || ']' AS items
+        FROM (SELECT league_id, gameweek FROM rep WHERE section = 'league_name') g
+        CROSS JOIN (VALUES {sections}) v(place, section)
+        LEFT JOIN (SELECT league_id, gameweek, section, CAST((nth - 1) // {reports.PAGE_ITEMS} AS INTEGER) AS page,
+                          count(*) AS n, string_agg(item, ',' ORDER BY nth) AS items
+                   FROM (SELECT *, {item} AS item, row_number() OVER (PARTITION BY league_id, gameweek, section
+                           ORDER BY coalesce({first}, 0) DESC, coalesce(player_id, ascii(label), 0)) AS nth FROM rep)
+                   GROUP BY ALL) p
+          ON p.league_id = g.league_id AND p.gameweek = g.gameweek AND p.section = v.section""",
+                      *J1_VIEWS, "standings", "auto_sub", extra=(*J1_CTES, ST, OUT, ASP, ("rep", rows)))
+
+
+@register("league_report_documents", _documents_sql(), "R1 K5 A22")
+def q_league_report_documents(spark, sf_dir):
+    return reports.league_report_documents(tables(spark, sf_dir))

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squadron.operators import bench, captains, stats, transfers
 from squadron.operators.picks import G, weekly_scores
-from squadron.operators.ranking import rank_movers
+from squadron.operators.ranking import position_rank, rank_movers
 from squadron.session import stage_table
 
 LONG_SCHEMA = [("league_id", "int"), ("gameweek", "int"), ("section", "string"), ("k", "int"),
@@ -93,14 +93,78 @@ def league_weekly_report(t, population: str = "transferred", materialize: bool =
     return reduce(DataFrame.unionByName, parts)
 
 
-def report_documents(report: DataFrame) -> DataFrame:
-    """One JSON document per (league, week) in the reference's nested shape:
-    each section is a list of items ordered by ``k`` (then ids).  A
-    group's document holds its report items only (top-k lists, captain and
-    benched counts), not its entries."""
-    item = F.struct(
-        F.col("k"), F.col("entry_id"), F.col("player_id"), F.col("team_name"), F.col("label"),
-        F.col("value"), F.col("value2"), F.col("detail"), F.col("detail2"), F.col("average"))
-    per = report.groupBy(*G, "section").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    doc = per.groupBy(*G).agg(F.map_from_entries(F.collect_list(F.struct("section", "items"))).alias("sections"))
-    return doc.select(*G, F.to_json(F.struct(*G, "sections")).alias("json"))
+#: Sections of a document in the reference's order.  Per section: the item's
+#: fields (name, column), and whether larger or smaller values come first.  Items
+#: are ordered by that column, then player, then first letter of the label.
+DOCUMENT = {
+    "captain": ([("player", "player_id"), ("count", "value")], "-value"),
+    "chips": ([("chip", "label"), ("count", "value")], "-value"),
+    "promoted_vice": ([("player", "player_id"), ("count", "value"), ("points", "value2")], "-value"),
+    "exceptional": ([("team_name", "team_name"), ("score", "value")], "-value"),
+    "abysmal": ([("team_name", "team_name"), ("score", "value")], "value"),
+    "league_average": ([("average", "average")], "k"),
+    "rise": ([("participant_name", "team_name"), ("current_rank", "value"), ("prev_rank", "value2")], "k"),
+    "fall": ([("participant_name", "team_name"), ("current_rank", "value"), ("prev_rank", "value2")], "k"),
+    "most_transferred_out": ([("player", "player_id"), ("out", "value")], "k"),
+    "most_transferred_in": ([("player", "player_id"), ("in", "value")], "k"),
+    "best_transfer_in": ([("entry_id", "entry_id"), ("team_name", "team_name"), ("player_in", "player_id"),
+                          ("player_out", "value2"), ("points_delta", "value")], "k"),
+    "worst_transfer_in": ([("entry_id", "entry_id"), ("team_name", "team_name"), ("player_in", "player_id"),
+                           ("player_out", "value2"), ("points_delta", "value")], "k"),
+    "most_points_on_bench": ([("team_name", "team_name"), ("players", "detail"), ("point_on_bench", "value")], "k"),
+    "jammy_points": ([("team_name", "team_name"), ("sub_in", "detail"), ("sub_out", "detail2"), ("points", "value")], "k"),
+    "most_benched": ([("player", "player_id"), ("count", "value"), ("points", "value2")], "-value2"),
+    "league_name": ([("name", "label")], "k"),
+}
+
+#: Items of one page of a section.
+PAGE_ITEMS = 50
+
+
+def _by_section(of) -> Column:
+    """``of(name)`` of the row's section."""
+    out = None
+    for name in DOCUMENT:
+        out = F.when(F.col("section") == name, of(name)) if out is None else out.when(F.col("section") == name, of(name))
+    return out
+
+
+def promoted_vice_part(ws: DataFrame, score: DataFrame) -> DataFrame:
+    """A22 in the report's long form."""
+    return _long(captains.promoted_vice(ws, score), "promoted_vice", player_id="vice_captain", value="count",
+                 value2="points")
+
+
+def report_pages(report: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """K5 / R1 as documents: for every (league, week) and section, in the
+    reference's order, pages of at most ``page_items`` items as a JSON list.  An
+    empty section has one page, ``[]``.
+
+    Items are numbered without sorting a section in one task, so captains or
+    benched players may be as many as there are players; a page is a bounded
+    group, and a document is the pages of its (league, week) in order."""
+    names = list(DOCUMENT)
+    first = _by_section(lambda n: F.col(DOCUMENT[n][1].lstrip("-")) * (1 if DOCUMENT[n][1][0] == "-" else -1))
+    item = _by_section(lambda n: F.to_json(F.struct(*[F.col(c).alias(f) for f, c in DOCUMENT[n][0]]),
+                                           {"ignoreNullFields": "false"}))
+    items = report.select(
+        *G, "section", F.coalesce(first, F.lit(0)).cast("bigint").alias("first"),
+        F.coalesce("player_id", F.ascii("label").cast("bigint"), F.lit(0)).alias("then"), item.alias("item"))
+    placed = position_rank(items, [*G, "section"], "first", "then", out="place", stage=True)
+    pages = (placed.withColumn("page", F.floor((F.col("place") - 1) / page_items).cast("int"))
+             .groupBy(*G, "section", "page")
+             .agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("l"))
+             .select(*G, "section", "page", F.transform("l", lambda x: x["item"]).alias("l")))
+    skeleton = report.where("section = 'league_name'").select(*G, F.posexplode(
+        F.array(*[F.lit(n) for n in names])).alias("place", "section"))
+    return (skeleton.join(pages, [*G, "section"], "left")
+            .select(*G, "place", "section", F.coalesce("page", F.lit(0)).alias("page"),
+                    F.coalesce(F.size("l"), F.lit(0)).alias("n_items"),
+                    F.concat(F.lit("["), F.coalesce(F.array_join("l", ","), F.lit("")), F.lit("]")).alias("items")))
+
+
+def league_report_documents(t, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """The report's documents for all leagues and weeks, promoted vices included."""
+    ws = weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=False, points=False)
+    whole = league_weekly_report(t).unionByName(promoted_vice_part(ws, t.score))
+    return report_pages(stage_table(whole, "report-items"), page_items)

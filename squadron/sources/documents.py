@@ -127,7 +127,11 @@ def entry_rows(spark: SparkSession, path: str, multi_line: bool = True,
     transfer cost, starters / bench as CSV in pick order, captain, vice and
     auto-subs as CSV.  Lists come from the document's own array, so no
     shuffle is needed."""
-    d = _picks_docs(spark, path, multi_line, entry_in_doc)
+    return entry_rows_of(_picks_docs(spark, path, multi_line, entry_in_doc))
+
+
+def entry_rows_of(d: DataFrame) -> DataFrame:
+    """``entry_rows`` of picks documents that are read already."""
     srt = F.array_sort(F.col("picks"), lambda a, b: a["position"] - b["position"])
     starters = F.transform(F.filter(srt, lambda p: p["multiplier"] != 0), lambda p: p["element"])
     bench = F.transform(F.filter(srt, lambda p: p["multiplier"] == 0), lambda p: p["element"])
@@ -165,14 +169,19 @@ def auto_subs(spark: SparkSession, path: str, multi_line: bool = True,
 
 
 def transfers(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Transfers lists (one JSON array per file when ``multi_line``) ->
-    the ``transfer`` domain table; ``transfer_id`` is a hash of the row, as
-    the source carries no id."""
-    # a top-level JSON array in a multi-line file is read as one row per element
-    rows = spark.read.schema(schemas.TRANSFER_DOC).option("multiLine", multi_line).json(path)
-    return rows.select(
-        F.xxhash64("entry", "event", "time", "element_in", "element_out").alias("transfer_id"),
-        "entry", "event", "time", "element_in", "element_out", "element_in_cost", "element_out_cost")
+    """Transfers lists (one JSON array per file, or per line without
+    ``multi_line``) -> the ``transfer`` domain table.
+
+    The source carries no id but lists newest first, so ``transfer_id`` counts
+    from the end of its list: of two transfers at the same time the one listed
+    later is the earlier (W5), and lists sorted by (time, id) descending keep
+    the document's order (A10).  Ids are unique within a document."""
+    rows = (spark.read.text(path, wholetext=multi_line)
+            .select(F.from_json("value", T.ArrayType(schemas.TRANSFER_DOC)).alias("l"))
+            .select(F.size("l").alias("n"), F.posexplode("l").alias("at", "t")))
+    return rows.select((F.col("n") - 1 - F.col("at")).cast("bigint").alias("transfer_id"),
+                       *[f"t.{c}" for c in ("entry", "event", "time", "element_in", "element_out",
+                                            "element_in_cost", "element_out_cost")])
 
 
 def league_participants(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -192,6 +201,59 @@ def league_participants(spark: SparkSession, path: str, multi_line: bool = True)
     return flat.groupBy("league_id", "entry").agg(latest.alias("x")).select("league_id", "entry", "x.*")
 
 
+def league_page_gaps(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S7, completeness: (league_id, page, problem) for every page that a
+    league's landed pages show to be lacking.  ``missing``: a page below the
+    last one landed; ``unfinished``: the page behind the last one landed, where
+    that one says that there is a next."""
+    doc = _read(spark, path, schemas.LEAGUE_DOC, {"league_id": T.LongType()}, multi_line)
+    # A page may have landed several times; its last word on a next page is unknown, so any yes counts.
+    pages = (doc.select("league_id", F.col("standings.page").alias("page"), F.col("standings.has_next").alias("has_next"))
+             .where("page is not null").groupBy("league_id", "page").agg(F.bool_or("has_next").alias("has_next")))
+    by = Window.partitionBy("league_id").orderBy("page")
+    seen = pages.select("league_id", "page", "has_next", F.coalesce(F.lag("page").over(by), F.lit(0)).alias("before"),
+                        F.lead("page").over(by).isNull().alias("last"))
+    gap = F.when(F.col("page") - F.col("before") > 1, F.sequence(F.col("before") + 1, F.col("page") - 1))
+    missing = seen.select("league_id", F.explode(gap).alias("page"), F.lit("missing").alias("problem"))
+    unfinished = seen.where(F.col("last") & F.col("has_next")).select(
+        "league_id", (F.col("page") + 1).alias("page"), F.lit("unfinished").alias("problem"))
+    return missing.union(unfinished)
+
+
+def checked_picks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Every picks document that has landed, with its text, its file
+    and ``reason``: why it cannot be used, or null.
+
+    ``empty``: no text; ``malformed``: no JSON object, or cut short; ``error``:
+    an object without picks, such as the API's error message; ``no squad``: an
+    empty list of picks (Q6); ``wrong type``: a field that the schema cannot
+    hold.  A document with a reason never becomes a row of nulls."""
+    body = T.StructType([*schemas.PICKS_DOC.fields, T.StructField("entry_id", T.LongType()),
+                         T.StructField("_corrupt", T.StringType())])
+    text = F.trim(F.col("value"))
+    keys = F.json_object_keys(text)
+    reason = (F.when(text == "", "empty").when(keys.isNull(), "malformed")
+              .when(~F.array_contains(keys, "picks"), "error").when(F.col("d._corrupt").isNotNull(), "wrong type")
+              .when(F.coalesce(F.size("d.picks"), F.lit(0)) < 1, "no squad"))
+    raw = spark.read.text(path, wholetext=multi_line).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = raw.withColumn("d", F.from_json("value", body, {"columnNameOfCorruptRecord": "_corrupt"}))
+    key = lambda name: F.nullif(F.regexp_extract("file", name + r"=(\d+)", 1), F.lit("")).cast("bigint")
+    return parsed.select(F.coalesce("d.entry_id", key("entry_id")).alias("entry_id"), key("gw").cast("int").alias("gw"),
+                         "file", "value", F.col("d").dropFields("_corrupt", "entry_id").alias("doc"), reason.alias("reason"))
+
+
+def quarantine(checked: DataFrame, path: str, requested: DataFrame | None = None) -> DataFrame:
+    """Append the documents that cannot be used, with file, text and reason, to
+    the quarantine table, and those ``requested`` (entry_id, gw) that never
+    landed as ``absent``; returns the usable ones."""
+    bad = checked.where("reason is not null").select("entry_id", "gw", "file", F.col("value").alias("text"), "reason")
+    if requested is not None:
+        lacking = requested.select("entry_id", "gw").join(checked.select("entry_id", "gw"), ["entry_id", "gw"], "left_anti")
+        bad = bad.unionByName(lacking.withColumn("reason", F.lit("absent")), allowMissingColumns=True)
+    append(bad, path, partition_by="reason")
+    return checked.where("reason is null").select("entry_id", "gw", "doc.*")
+
+
 def participant_history(spark: SparkSession, path: str, multi_line: bool = True,
                         entry_in_doc: bool = False) -> DataFrame:
     """``<path>/entry_id=<e>/*.json`` history documents -> weekly rows;

@@ -79,20 +79,36 @@ def test_position_rank_matches_row_number(spark, rows, bucket):
     assert got == want
 
 
-def test_report_documents_one_per_group(spark, sf_small):
+def test_report_pages_keep_empty_sections_and_cut_long_ones(spark):
     import json
 
-    from squadron.plans.reports import report_documents
-    t = tables(spark, sf_small)
-    r = league_weekly_report(t)
-    docs = report_documents(r)
-    rows = docs.collect()
-    assert len(rows) == r.select("league_id", "gameweek").distinct().count()
-    d = json.loads(rows[0].json)
-    assert {"league_id", "gameweek", "sections"} <= set(d)
-    assert "league_name" in d["sections"] and "captain" in d["sections"]
-    ks = [i.get("k") for i in d["sections"].get("rise", [])]
-    assert ks == sorted(ks)
+    from squadron.plans import reports
+    names = [n for n, _ in reports.LONG_SCHEMA]
+    kinds = ", ".join(f"{n} {t}" for n, t in reports.LONG_SCHEMA)
+
+    def row(section, **cols):
+        return tuple({"league_id": 1, "gameweek": 2, "section": section, **cols}.get(n) for n in names)
+
+    data = [row("league_name", label="L"), row("league_average", average=3.5),
+            row("rise", k=2, team_name="b", value=4, value2=9), row("rise", k=1, team_name='say "a"', value=1, value2=8),
+            row("abysmal", team_name="x", value=-3), row("abysmal", team_name="y", value=-9),
+            row("chips", label="wildcard", value=2), row("chips", label="freehit", value=2),
+            row("jammy_points", k=1, team_name="t", detail=[3, 4], detail2=[], value=6)]
+    data += [row("captain", player_id=p, value=v) for p, v in ((5, 1), (9, 7), (2, 7), (11, 3), (1, 1))]
+    data += [row("most_benched", player_id=p, value=1, value2=v) for p, v in ((5, 0), (9, 12))]
+    got = reports.report_pages(spark.createDataFrame(data, kinds), page_items=2).collect()
+    pages = {(r.section, r.page): json.loads(r["items"]) for r in got}
+    assert [s for s, _ in sorted({(r.section, r.place) for r in got}, key=lambda x: x[1])] == list(reports.DOCUMENT)
+    assert pages["fall", 0] == [] and pages["promoted_vice", 0] == []
+    # By count, ties by player; two to a page.
+    assert [[i["player"] for i in pages["captain", k]] for k in (0, 1, 2)] == [[2, 9], [11, 1], [5]]
+    assert [i["player"] for i in pages["most_benched", 0]] == [9, 5]
+    assert [i["participant_name"] for i in pages["rise", 0]] == ['say "a"', "b"]
+    assert [i["score"] for i in pages["abysmal", 0]] == [-9, -3]
+    assert [i["chip"] for i in pages["chips", 0]] == ["freehit", "wildcard"]
+    assert pages["jammy_points", 0] == [{"team_name": "t", "sub_in": [3, 4], "sub_out": [], "points": 6}]
+    assert pages["league_average", 0] == [{"average": 3.5}] and pages["league_name", 0] == [{"name": "L"}]
+    assert all(r.n_items == len(pages[r.section, r.page]) for r in got)
 
 
 def test_nested_player_payload(spark, sf_small):
