@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from squadron import schemas
 from squadron.operators import contract
 from squadron.oracle_views import with_views
 from squadron.plans.registry import register
@@ -172,3 +173,106 @@ def q_src_player_info(spark, sf_dir):
         landing.land_bootstrap(t.player, half, path)
         halves.append(documents.player_info(spark, path, half, multi_line=False))
     return halves[0].unionByName(halves[1]).select("player_id", "half", "player_name", "position", "team")
+
+
+# Keys that the landed picks documents hold: those of fields that are not null.
+_PICKS_SEEN = """
+  SELECT 'active_chip' AS field, count(active_chip) AS docs FROM d
+  UNION ALL SELECT 'automatic_subs', count(*) FILTER (WHERE n_sub > 0) FROM d
+  UNION ALL SELECT 'automatic_subs[].element_in', count(*) FILTER (WHERE n_in > 0) FROM d
+  UNION ALL SELECT 'automatic_subs[].element_out', count(*) FILTER (WHERE n_sub > n_in) FROM d
+  UNION ALL SELECT f, (SELECT count(*) FROM d) FROM (VALUES ('entry_id'), ('entry_history'), ('entry_history.event'),
+    ('entry_history.points'), ('entry_history.points_on_bench'), ('entry_history.event_transfers_cost'), ('picks'),
+    ('picks[].element'), ('picks[].position'), ('picks[].multiplier'), ('picks[].is_captain'),
+    ('picks[].is_vice_captain')) v(f)"""
+_PICKS_EXPECTED = ", ".join(f"('{p}')" for p in contract.expected_paths(schemas.PICKS_DOC))
+
+
+@register("document_contract", with_views(
+    f"""SELECT 'picks' AS source, coalesce(o.field, e.field) AS field, coalesce(o.docs, 0) AS docs,
+               CASE WHEN e.field IS NULL THEN 'unexpected' WHEN coalesce(o.docs, 0) > 0 THEN 'present'
+                    ELSE 'missing' END AS status
+        FROM (SELECT * FROM ({_PICKS_SEEN}) WHERE docs > 0) o
+        FULL OUTER JOIN (SELECT * FROM (VALUES {_PICKS_EXPECTED}) v(field)) e ON o.field = e.field""",
+    "entry", "pick", "auto_sub", extra=(("d", """SELECT e.active_chip, coalesce(a.n_sub, 0) AS n_sub, coalesce(a.n_in, 0) AS n_in
+        FROM entry e SEMI JOIN pick p ON p.entry_id = e.entry_id AND p.gw = e.gw
+        LEFT JOIN (SELECT entry_id, gw, count(*) AS n_sub, count(*) FILTER (WHERE direction = 'in') AS n_in
+                   FROM auto_sub GROUP BY entry_id, gw) a ON a.entry_id = e.entry_id AND a.gw = e.gw"""),)), "C1")
+def q_document_contract(spark, sf_dir):
+    """Key paths of whole picks documents: the request's entry id is unexpected,
+    fields that the landing leaves out are missing."""
+    from squadron.sources import landing
+    t = tables(spark, sf_dir)
+    path = _landed(t, "picks", landing.land_picks_docs, t.pick, t.entry, t.auto_sub)
+    seen = contract.key_paths(spark.read.text(path), "value", "picks")
+    return contract.schema_contract(seen, {"picks": contract.expected_paths(schemas.PICKS_DOC)})
+
+
+@register("league_page_gaps", with_views(
+    """SELECT league_id, page, problem FROM (
+         SELECT CAST(p.league_id AS BIGINT) AS league_id, p.page, max(q.page) AS last,
+                CASE WHEN p.page < max(q.page) THEN 'missing' ELSE 'unfinished' END AS problem,
+                p.page < max(q.page) OR p.page = max(q.page) + 1 AS shown
+         FROM pages p JOIN pages q ON q.league_id = p.league_id AND q.landed
+         WHERE NOT p.landed GROUP BY p.league_id, p.page) WHERE shown""", "standings", "entry", extra=(("pages", """
+       SELECT league_id, page, (page * 7 + league_id) % 3 <> 0 AS landed FROM (
+         SELECT DISTINCT league_id, CAST((rank - 1) // 50 + 1 AS INTEGER) AS page FROM standings
+         WHERE gw = (SELECT max(gw) FROM entry))"""),)), "S7")
+def q_league_page_gaps(spark, sf_dir):
+    """Standings pages of which a third never landed, so that leagues lack pages
+    in the middle and at the end."""
+    from squadron.plans.transfer_queries import current_week
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = landing.landing_path(spark, "leagues")
+    landing.land_league_pages(t.standings, t.league, current_week(t), path,
+                              landed=(F.col("page") * 7 + F.col("league_id")) % 3 != 0)
+    return documents.league_page_gaps(spark, path, multi_line=False)
+
+
+_YEAR_ORDER = "date_trunc('year', time) DESC, transfer_id DESC"
+
+
+@register("src_transfers_order", with_views(
+    f"""SELECT entry AS entry_id, event AS gameweek, list(element_in ORDER BY {_YEAR_ORDER}) AS element_in,
+               list(element_out ORDER BY {_YEAR_ORDER}) AS element_out,
+               arg_min(element_in, (date_trunc('year', time), transfer_id)) AS first_in,
+               arg_min(element_out, (date_trunc('year', time), transfer_id)) AS first_out
+        FROM transfer GROUP BY entry, event""", "transfer"), "S6 W5 A10", list_cols=("element_in", "element_out"))
+def q_src_transfers_order(spark, sf_dir):
+    """Transfers whose times are equal within a year: the order in the document
+    decides, through A10's lists and W5's earliest."""
+    from squadron.operators import transfers
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = _landed(t, "transfers", landing.land_transfer_docs, t.transfer.withColumn("time", F.date_trunc("year", "time")))
+    read = documents.transfers(spark, path, multi_line=False)
+    one = transfers.single_transfers(read).select("entry_id", "gameweek", F.col("element_in")[0].alias("first_in"),
+                                                  F.col("element_out")[0].alias("first_out"))
+    return transfers.collected_transfers(read).join(one, ["entry_id", "gameweek"])
+
+
+@register("src_picks_quarantine", with_views(
+    """SELECT entry_id, gw, reason, count(*) AS docs FROM (
+         SELECT e.entry_id, e.gw, CASE WHEN e.entry_id % 11 = 0 THEN 'malformed' WHEN e.entry_id % 11 = 1 THEN 'error'
+                  WHEN e.entry_id % 11 = 2 THEN 'absent' END AS reason
+         FROM entry e SEMI JOIN pick p ON p.entry_id = e.entry_id AND p.gw = e.gw)
+       WHERE reason IS NOT NULL GROUP BY ALL""", "entry", "pick"), "S5 Q6")
+def q_src_picks_quarantine(spark, sf_dir):
+    """Picks documents of which some are cut short, some are error messages and
+    some never landed, as the quarantine table names them."""
+    from squadron.sources import documents, landing
+    t = tables(spark, sf_dir)
+    path = _landed(t, "picks", landing.land_picks_docs, t.pick, t.entry, t.auto_sub)
+    kind = F.get_json_object("value", "$.entry_id").cast("bigint") % 11
+    damaged = F.when(kind == 0, F.expr("left(value, length(value) - 9)")).when(
+        kind == 1, F.concat(F.lit('{"detail": "Not found.", "entry_id": '), F.get_json_object("value", "$.entry_id"), F.lit("}"))) \
+        .otherwise(F.col("value"))
+    raw = spark.read.text(path).select("gw", "value", kind.alias("kind"))
+    bad = landing.landing_path(spark, "picks-damaged")
+    raw.where("kind <> 2").select("gw", damaged.alias("value")).write.partitionBy("gw").text(bad)
+    table = landing.landing_path(spark, "quarantine")
+    requested = t.entry.select("entry_id", "gw").join(t.pick.select("entry_id", "gw").distinct(), ["entry_id", "gw"])
+    documents.quarantine(documents.checked_picks(spark, bad, multi_line=False), table, requested)
+    return (spark.read.parquet(table).groupBy("entry_id", F.col("gw").cast("int").alias("gw"), "reason")
+            .agg(F.count(F.lit(1)).alias("docs")))

@@ -12,13 +12,14 @@ returns it); ``False`` reads JSON Lines (one document per line).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from squadron import schemas
 from squadron.functions.dims import bounded_broadcast
 from squadron.functions.lists import ids_csv, tenths
+from squadron.sources.sinks import append
 
 DEC = "decimal(8,2)"
 
@@ -227,10 +228,11 @@ def checked_picks(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     ``empty``: no text; ``malformed``: no JSON object, or cut short; ``error``:
     an object without picks, such as the API's error message; ``no squad``: an
     empty list of picks (Q6); ``wrong type``: a field that the schema cannot
-    hold.  A document with a reason never becomes a row of nulls."""
+    hold.  A document with a reason never becomes a row of nulls.  The entry is
+    that of the document, else of the folder, else what a damaged text still names."""
     body = T.StructType([*schemas.PICKS_DOC.fields, T.StructField("entry_id", T.LongType()),
                          T.StructField("_corrupt", T.StringType())])
-    text = F.trim(F.col("value"))
+    text = F.trim(F.col("value"), F.lit(" \t\r\n"))
     keys = F.json_object_keys(text)
     reason = (F.when(text == "", "empty").when(keys.isNull(), "malformed")
               .when(~F.array_contains(keys, "picks"), "error").when(F.col("d._corrupt").isNotNull(), "wrong type")
@@ -238,7 +240,8 @@ def checked_picks(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     raw = spark.read.text(path, wholetext=multi_line).select("value", F.col("_metadata.file_path").alias("file"))
     parsed = raw.withColumn("d", F.from_json("value", body, {"columnNameOfCorruptRecord": "_corrupt"}))
     key = lambda name: F.nullif(F.regexp_extract("file", name + r"=(\d+)", 1), F.lit("")).cast("bigint")
-    return parsed.select(F.coalesce("d.entry_id", key("entry_id")).alias("entry_id"), key("gw").cast("int").alias("gw"),
+    named = F.nullif(F.regexp_extract("value", r'"entry_id"\s*:\s*(\d+)', 1), F.lit("")).try_cast("bigint")
+    return parsed.select(F.coalesce("d.entry_id", key("entry_id"), named).alias("entry_id"), key("gw").cast("int").alias("gw"),
                          "file", "value", F.col("d").dropFields("_corrupt", "entry_id").alias("doc"), reason.alias("reason"))
 
 

@@ -75,9 +75,10 @@ def land_transfer_docs(transfer: DataFrame, path: str) -> None:
 
 
 def land_league_pages(standings: DataFrame, league: DataFrame, week, path: str,
-                      page_size: int = PAGE_SIZE) -> None:
+                      page_size: int = PAGE_SIZE, landed=None) -> None:
     """One week's standings -> ``league_id=<l>/`` pages of ``page_size``
-    entries in rank order, with the league name and ``has_next``."""
+    entries in rank order, with the league name and ``has_next``.  ``landed``
+    (a condition on league_id and page) leaves pages out, as failed requests do."""
     names = league.select("league_id", "league_name").distinct()
     s = standings.where(F.col("gw") == week).withColumn(
         "page", (F.floor((F.col("rank") - 1) / page_size) + 1).cast("int"))
@@ -87,6 +88,8 @@ def land_league_pages(standings: DataFrame, league: DataFrame, week, path: str,
                    "entry", "entry_name")
     pages = (s.groupBy("league_id", "page").agg(F.collect_list(row).alias("results"))
              .join(last, "league_id").join(names, "league_id"))
+    if landed is not None:
+        pages = pages.where(landed)
     pages.select(
         "league_id",
         F.struct(F.col("league_id").cast("long").alias("id"), F.col("league_name").alias("name")).alias("league"),

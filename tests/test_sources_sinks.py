@@ -228,10 +228,94 @@ def test_schema_contract(spark):
     res = {r.field: (r.docs, r.status) for r in
            contract.schema_contract(obs, {"events.props": ["k", "y"]}).collect()}
     assert res == {"k": (2, "present"), "x": (1, "unexpected"), "y": (0, "missing")}
-    typed = spark.createDataFrame([], schemas.TRANSFER_DOC)
-    res = contract.struct_contract(typed, {"transfers": schemas.top_level_keys(schemas.TRANSFER_DOC)},
-                                   "transfers").collect()
-    assert {r.status for r in res} == {"present"}
+
+
+def test_contract_sees_keys_at_any_depth(spark):
+    doc = {"elements": [{"id": 1, "stats": {"minutes": 90, "new_stat": 1}, "explain": []},
+                        {"id": 2, "stats": {"minutes": 0}, "explain": [{"fixture": 7, "stats": [{"identifier": "x"}]}]}],
+           "extra": None}
+    docs = spark.createDataFrame([(json.dumps(doc),), ('{"elements": []}',), ("no json",), (None,)], "body string")
+    seen = contract.key_paths(docs, "body", "gameweek")
+    got = {r.field: (r.docs, r.status) for r in contract.schema_contract(
+        seen, {"gameweek": contract.expected_paths(schemas.DOCUMENTS["gameweek"])}).collect()}
+    assert got["elements"] == (2, "present") and got["elements[].stats.minutes"] == (1, "present")
+    assert got["elements[].explain[].stats[].identifier"] == (1, "present")
+    assert got["elements[].stats.new_stat"] == (1, "unexpected") and got["extra"] == (1, "unexpected")
+    assert got["elements[].stats.saves"] == (0, "missing") and got["elements[].explain[].stats[].value"] == (0, "missing")
+
+
+@pytest.mark.parametrize("source", sorted(schemas.DOCUMENTS))
+def test_contract_of_every_source(spark, source):
+    """A document made from the schema has all its keys; one key less is missing."""
+    kind = schemas.DOCUMENTS[source]
+
+    def example(t):
+        if hasattr(t, "elementType"):
+            return [example(t.elementType)]
+        return {f.name: example(f.dataType) for f in t.fields} if hasattr(t, "fields") else 1
+
+    expected = contract.expected_paths(kind)
+    whole, less = example(kind), example(kind)
+    dropped = next(iter(less[0] if isinstance(less, list) else less))
+    (less[0] if isinstance(less, list) else less).pop(dropped)
+    for doc, lacking in ((whole, set()), (less, {p for p in expected if p.removeprefix("[].").split(".")[0].removesuffix("[]") == dropped})):
+        docs = spark.createDataFrame([(json.dumps(doc),)], "body string")
+        rows = contract.schema_contract(contract.key_paths(docs, "body", source, depth=7), {source: expected}).collect()
+        assert {r.field for r in rows if r.status == "missing"} == lacking
+        assert not [r for r in rows if r.status == "unexpected"]
+
+
+def test_page_gaps(spark, tmp_path):
+    root = str(tmp_path / "leagues")
+
+    def page(league, n, more):
+        _write(f"{root}/league_id={league}/page={n}.json", {"league": {"id": league, "name": "L"}, "standings": {
+            "has_next": more, "page": n, "results": []}})
+
+    page(1, 1, True), page(1, 2, False)  # whole
+    page(2, 2, True), page(2, 5, True)  # 1, 3 and 4 lack, and 5 says that there is a next
+    page(3, 1, True)
+    got = sorted(map(tuple, documents.league_page_gaps(spark, root).collect()))
+    assert got == [(2, 1, "missing"), (2, 3, "missing"), (2, 4, "missing"), (2, 6, "unfinished"), (3, 2, "unfinished")]
+
+
+def test_damaged_picks_are_quarantined_with_their_reason(spark, tmp_path):
+    root = str(tmp_path / "picks")
+    good = {"active_chip": None, "automatic_subs": [], "entry_history": {"event": 1, "points": 50}, "picks": [
+        {"element": 7, "position": 1, "multiplier": 2, "is_captain": True, "is_vice_captain": False}]}
+    whole = json.dumps(good)
+    texts = {1: whole, 2: whole[:-12], 3: "", 4: '{"detail": "Not found."}', 5: whole.replace("[{", "[], \"x\": [{"),
+             6: "<html>503</html>", 7: whole.replace('"position": 1', '"position": "first"'), 8: "  \n"}
+    for entry, text in texts.items():
+        os.makedirs(f"{root}/entry_id={entry}/gw=3")
+        with open(f"{root}/entry_id={entry}/gw=3/picks.json", "w") as f:
+            f.write(text)
+    checked = documents.checked_picks(spark, root)
+    reasons = {r.entry_id: r.reason for r in checked.collect()}
+    empty = {3} & set(reasons)  # Spark may list a file without bytes, or not
+    assert {k: v for k, v in reasons.items() if k not in empty} == {
+        1: None, 2: "malformed", 4: "error", 5: "no squad", 6: "malformed", 7: "wrong type", 8: "empty"}
+    requested = spark.createDataFrame([(e, 3) for e in range(1, 10)], "entry_id bigint, gw int")
+    table = str(tmp_path / "quarantine")
+    usable = documents.quarantine(checked, table, requested)
+    rows = documents.entry_rows_of(usable).collect()
+    assert [(r.entry_id, r.gw, r.total_points, r.captain) for r in rows] == [(1, 3, 50, 7)]
+    bad = {r.entry_id: (r.reason, r.text) for r in spark.read.parquet(table).collect()}
+    assert set(bad) == {2, 3, 4, 5, 6, 7, 8, 9} and bad[9] == ("absent", None) and bad[4][1] == texts[4]
+
+
+def test_equal_times_are_resolved_by_the_place_in_the_list(spark, tmp_path):
+    from squadron.operators import transfers
+
+    at = "2024-09-01T10:00:00Z"
+    rows = [(30, 40, at), (31, 41, at), (32, 42, "2024-08-30T10:00:00Z"), (33, 43, "2024-08-30T10:00:00Z")]
+    _write(str(tmp_path / "t" / "9.json"), [
+        {"element_in": i, "element_out": o, "entry": 9, "event": 4, "time": t} for i, o, t in rows])
+    t = documents.transfers(spark, str(tmp_path / "t"))
+    listed = transfers.collected_transfers(t).first()
+    assert listed.element_in == [30, 31, 32, 33] and listed.element_out == [40, 41, 42, 43]
+    first = transfers.single_transfers(t).first()
+    assert (first.element_in, first.element_out) == ([33], [43])  # newest first: the last listed is the earliest
 
 
 def test_stage_table_restores_the_session(spark):
