@@ -147,14 +147,16 @@ def most_transferred(j1: DataFrame, direction: str = "out", k: int = 3,
 
 
 def transfer_leaders(j1: DataFrame, participants: DataFrame, best: bool = True,
-                     k: int | None = None) -> DataFrame:
+                     k: int | None = None, more_than: int = 2) -> DataFrame:
     """T3 (best, 3 rows) / T4 (worst, 2 rows -- the reference loop stops one
     short): chip-free transfer rows by delta, only where a (league, week) has
-    more than two chip-free rows.  Ties by entry id.  ``k=1`` gives the
-    single best / worst transfer (T9)."""
+    more than ``more_than`` chip-free rows.  Ties by entry id.  ``k=1`` and
+    ``more_than=0`` give the single best / worst transfer (T9), which needs one
+    row only."""
     nc = j1.where(F.col("active_chip").isNull() & F.col("has_transfer"))
-    n = nc.groupBy(*G).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 2)
-    nc = nc.join(n, G, "left_semi")
+    if more_than:
+        n = nc.groupBy(*G).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > more_than)
+        nc = nc.join(n, G, "left_semi")
     order = [F.col("delta").desc() if best else F.col("delta").asc(), F.col("entry_id").asc()]
     names = participants.select("league_id", F.col("entry").alias("entry_id"),
                                 F.col("entry_name").alias("team_name"))

@@ -91,12 +91,13 @@ def q_src_gameweek_scores(spark, sf_dir):
 
 
 @register("src_gameweek_explain", with_views(
-    """SELECT player_id, gameweek, total_points, minutes AS value, CAST(NULL AS INTEGER) AS fixture
-       FROM score""", "score"), "S2")
+    """SELECT player_id, gameweek, total_points, minutes AS value,
+              CAST(gameweek * 100 + player_id % 10 AS INTEGER) AS fixture FROM score""", "score"), "S2")
 def q_src_gameweek_explain(spark, sf_dir):
     from squadron.sources import documents, landing
     t = tables(spark, sf_dir)
-    path = _landed(t, "gameweek", landing.land_gameweek_docs, t.score)
+    played = t.score.withColumn("fixture", F.col("gameweek") * 100 + F.col("player_id") % 10)
+    path = _landed(t, "gameweek", landing.land_gameweek_docs, played)
     return documents.gameweek_explain(spark, path, multi_line=False)
 
 
@@ -276,3 +277,31 @@ def q_src_picks_quarantine(spark, sf_dir):
     documents.quarantine(documents.checked_picks(spark, bad, multi_line=False), table, requested)
     return (spark.read.parquet(table).groupBy("entry_id", F.col("gw").cast("int").alias("gw"), "reason")
             .agg(F.count(F.lit(1)).alias("docs")))
+
+
+_BUCKET_KEYS = {"entry": ("entry_id", "gw"), "pick": ("entry_id", "gw"), "transfer": ("entry", "event")}
+
+
+@register("entry_store_weeks", with_views(
+    """SELECT e.entry_id, e.gw, e.total_points, p.n_players, p.captain, p.vice_captain, coalesce(t.n, 0) AS transfers,
+              t.first_in
+       FROM entry e
+       JOIN (SELECT entry_id, gw, CAST(count(*) FILTER (WHERE multiplier > 0) AS INTEGER) AS n_players,
+                    max(player_id) FILTER (WHERE is_captain) AS captain,
+                    max(player_id) FILTER (WHERE is_vice_captain) AS vice_captain
+             FROM pick GROUP BY entry_id, gw) p ON p.entry_id = e.entry_id AND p.gw = e.gw
+       LEFT JOIN (SELECT entry, event, count(*) AS n, arg_min(element_in, (time, transfer_id)) AS first_in
+                  FROM transfer GROUP BY entry, event) t ON t.entry = e.entry_id AND t.event = e.gw""",
+    "entry", "pick", "transfer"), "K4 K6 J1 J10")
+def q_entry_store_weeks(spark, sf_dir):
+    """An entry's week beside its squad and its transfers, from tables bucketed
+    by (entry, week): squads and transfers are gathered and joined where they are."""
+    from squadron.operators import picks, transfers
+    t = tables(spark, sf_dir)
+    e, p, moved = (t.entry_store(name, key) for name, key in _BUCKET_KEYS.items())
+    squads = picks.squad_roles(p)
+    made = (moved.groupBy(F.col("entry").alias("entry_id"), F.col("event").alias("gw"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min_by("element_in", F.struct("time", "transfer_id")).alias("first_in")))
+    return (e.join(squads.hint("merge"), ["entry_id", "gw"]).join(made.hint("merge"), ["entry_id", "gw"], "left")
+            .select("entry_id", "gw", "total_points", "n_players", "captain", "vice_captain",
+                    F.coalesce("n", F.lit(0)).alias("transfers"), "first_in"))

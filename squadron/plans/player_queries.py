@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from squadron.functions.lists import csv_ids, list_size, list_sum, valid_gameweek
 from squadron.operators import lookups, participants, players, season, stats
 from squadron.oracle_views import with_views
 from squadron.plans.oracle_common import WS_CTES, WS_VIEWS
@@ -99,10 +100,19 @@ def q_points_by_gameweek(spark, sf_dir):
     f"SELECT {SCORE_SQL_COLS} FROM score WHERE gameweek = (SELECT max(gameweek) FROM score)", "score"),
     "S10 R5")
 def q_gameweek_stats(spark, sf_dir):
-    s = tables(spark, sf_dir).score
+    s = tables(spark, sf_dir).score_store
     return players.player_week_score(s, gameweek=s.select(F.max("gameweek")).scalar()).select(*score_cols())
 
 
+@register("points_of_current_week", with_views(
+    "SELECT player_id, gameweek, total_points FROM score WHERE gameweek = (SELECT max(gw) FROM entry)",
+    "score", "entry"), "S9 F10")
+def q_points_of_current_week(spark, sf_dir):
+    """S9 for the current week: one partition of the score store is read."""
+    t = tables(spark, sf_dir)
+    return players.points_by_gameweek(t.score_store, gameweek=current_week(t))
+
+
 @register("season_stats", with_views(
     f"SELECT {SCORE_SQL_COLS} FROM score ORDER BY gameweek DESC, player_id", "score"), "S11 R5")
 def q_season_stats(spark, sf_dir):
@@ -160,6 +170,23 @@ def q_valid(spark, sf_dir):
                                    t.score.select("gameweek"), t.fixture.select("gameweek"))
 
 
+@register("requested_gameweeks", with_views(
+    """SELECT entry_id, string_agg(w, ',' ORDER BY n) AS weeks, CAST(count(*) FILTER (WHERE w <> '') AS INTEGER) AS n_weeks,
+              CAST(sum(coalesce(TRY_CAST(w AS BIGINT), 0)) AS BIGINT) AS week_sum,
+              bool_and(coalesce(TRY_CAST(w AS BIGINT), 1) BETWEEN 1 AND 38) AS valid
+       FROM (SELECT entry_id, gw AS n, CASE WHEN gw % 7 = 0 THEN '' ELSE CAST(gw * 2 - 9 AS VARCHAR) END AS w FROM entry)
+       GROUP BY entry_id""", "entry"), "F6 H1 H3 H4")
+def q_requested_gameweeks(spark, sf_dir):
+    """Requested weeks as the comma-separated text in which they come: blanks
+    dropped, counted and summed, valid only where every week is one of 1..38."""
+    w = F.when(F.col("gw") % 7 == 0, "").otherwise((F.col("gw") * 2 - 9).cast("string"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gw", w.alias("w")))), lambda x: x["w"]), ",")
+    asked = tables(spark, sf_dir).entry.groupBy("entry_id").agg(text.alias("weeks"))
+    ids = csv_ids("weeks")
+    return asked.select("entry_id", "weeks", list_size(ids).alias("n_weeks"), list_sum(ids).alias("week_sum"),
+                        F.forall(ids, valid_gameweek).alias("valid"))
+
+
 @register("gameweek_row_counts", with_views(
     "SELECT gameweek, count(*) AS rows FROM score GROUP BY gameweek", "score"), "A13")
 def q_row_counts(spark, sf_dir):
@@ -529,11 +556,17 @@ def q_most_owned(spark, sf_dir):
 
 @register("src_participant_history", with_views(
     f"""SELECT entry_id, gameweek, points, CAST(total_points AS INTEGER) AS total_points, rank, overall_rank,
-               points_on_bench FROM ({PH_BODY})""", "standings", "entry"), "S14 H11")
+               points_on_bench, CAST(rank % 50 AS DOUBLE) / 10 AS bank, CAST(1000 + overall_rank % 77 AS DOUBLE) / 10 AS value,
+               CAST(event_transfers_cost // 4 AS INTEGER) AS event_transfers
+        FROM ({PH_BODY})""", "standings", "entry"), "S14 H11")
 def q_src_participant_history(spark, sf_dir):
     from squadron.sources import documents, landing
     t = tables(spark, sf_dir)
     path = landing.landing_path(spark, "history")
-    landing.land_history_docs(participants.participant_history(t.standings, t.entry), path)
+    money = {"bank": F.col("rank") % 50, "value": 1000 + F.col("overall_rank") % 77,
+             "event_transfers": F.expr("event_transfers_cost div 4")}
+    landing.land_history_docs(participants.participant_history(t.standings, t.entry).withColumns(
+        {c: v.cast("int") for c, v in money.items()}), path)
     return documents.participant_history(spark, path, multi_line=False, entry_in_doc=True).select(
-        "entry_id", "gameweek", "points", "total_points", "rank", "overall_rank", "points_on_bench")
+        "entry_id", "gameweek", "points", "total_points", "rank", "overall_rank", "points_on_bench",
+        F.col("bank").cast("double").alias("bank"), F.col("value").cast("double").alias("value"), "event_transfers")

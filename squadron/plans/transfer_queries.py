@@ -141,15 +141,15 @@ def q_least(spark, sf_dir):
     return a.unionByName(b)
 
 
-def _leader_body(best):
+def _leader_body(best, k=None, more_than=2):
     order = "delta DESC, entry_id" if best else "delta ASC, entry_id"
-    k = 3 if best else 2
+    k = k or (3 if best else 2)
     return f"""SELECT x.league_id, x.gameweek, CAST(x.k AS INTEGER) AS k, x.entry_id, m.entry_name AS team_name,
               x.element_in[1] AS player_in, x.element_out[1] AS player_out, x.delta AS points_delta
        FROM (SELECT j.*, row_number() OVER (PARTITION BY league_id, gameweek ORDER BY {order}) AS k
              FROM j1 j WHERE active_chip IS NULL AND has_transfer
                AND (SELECT count(*) FROM j1 c WHERE c.league_id = j.league_id AND c.gameweek = j.gameweek
-                    AND c.active_chip IS NULL AND c.has_transfer) > 2) x
+                    AND c.active_chip IS NULL AND c.has_transfer) > {more_than}) x
        LEFT JOIN league m ON m.league_id = x.league_id AND m.entry = x.entry_id
        WHERE x.k <= {k}"""
 
@@ -170,6 +170,17 @@ def q_worst(spark, sf_dir):
     return transfers.transfer_leaders(j1_of(t), t.league, best=False)
 
 
+@register("single_best_and_worst_transfer", with_views(
+    f"""SELECT 'best' AS kind, * FROM ({_leader_body(True, 1, 0)})
+        UNION ALL SELECT 'worst' AS kind, * FROM ({_leader_body(False, 1, 0)})""", *J1_VIEWS, extra=J1_CTES), "T9")
+def q_single_best_and_worst(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    j1 = j1_of(t)
+    parts = [transfers.transfer_leaders(j1, t.league, best, k=1, more_than=0).select(F.lit(kind).alias("kind"), "*")
+             for kind, best in (("best", True), ("worst", False))]
+    return parts[0].unionByName(parts[1])
+
+
 @register("transfer_participation", with_views(
     """SELECT m.league_id, p.gameweek, count(*) AS transferred, count(CASE WHEN p.n > 1 THEN 1 END) AS multiple
        FROM (SELECT entry AS entry_id, event AS gameweek, count(*) AS n FROM transfer GROUP BY ALL) p

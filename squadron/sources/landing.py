@@ -37,7 +37,8 @@ def land_gameweek_docs(score: DataFrame, path: str, chunk: int = PLAYERS_PER_DOC
     for c in schemas.STAT_DECIMAL_TEXT:
         stats.append((F.col(c).cast("string") if c in score.columns else F.lit(None).cast("string")).alias(c))
     stats.append(F.col("in_dreamteam").alias("in_dreamteam"))
-    explain = F.array(F.struct(F.lit(None).cast("int").alias("fixture"), F.array(F.struct(
+    fixture = F.col("fixture") if "fixture" in score.columns else F.lit(None)
+    explain = F.array(F.struct(fixture.cast("int").alias("fixture"), F.array(F.struct(
         F.lit("minutes").alias("identifier"), F.lit(None).cast("int").alias("points"),
         F.col("minutes").alias("value"))).alias("stats")))
     el = score.select("gameweek", F.floor(F.col("player_id") / chunk).alias("__chunk"),
@@ -155,6 +156,7 @@ def land_history_docs(history: DataFrame, path: str) -> None:
     keeping the request's entry id in the document."""
     row = F.struct(F.col("gameweek").alias("event"), "points",
                    F.col("total_points").cast("int").alias("total_points"), "rank",
-                   "overall_rank", "event_transfers_cost", "points_on_bench")
+                   "overall_rank", "event_transfers_cost", "points_on_bench",
+                   *[c for c in ("bank", "value", "event_transfers") if c in history.columns])
     docs = history.groupBy("entry_id").agg(F.collect_list(row).alias("current"))
     docs.write.json(path)

@@ -6,6 +6,8 @@ the driver.  The reference's chunked inserts become ``maxRecordsPerFile``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,19 @@ def refreshed(old: DataFrame, new: DataFrame, key: str = "gameweek") -> DataFram
     return kept.unionByName(new.select(*old.columns))
 
 
+def bucketed(df: DataFrame, path: str, by, buckets: int) -> DataFrame:
+    """K4 / K6: write ``df`` as a table at ``path`` that is bucketed and sorted by
+    ``by``; returns the table.  Joins and aggregates on these columns find their
+    rows together, so they need no exchange on its side.  ``buckets`` must be the
+    same for tables that meet."""
+    by = list(by)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # One task per bucket writes one file per bucket.
+    (df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).format("parquet")
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def newest_rows(rows: DataFrame, key, version) -> DataFrame:
     """K3 with versions: one row per ``key``, the one with the greatest
     ``version`` columns, in whatever order the rows came.  A partial aggregate."""

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squadron.functions.dims import bounded_broadcast
+from squadron.sources.landing import landing_path
+from squadron.sources.sinks import bucketed, refresh_gameweeks
 
 # ---- fixed values -------------------------------------------------------
 BASE_DATE = "1995-01-01"
@@ -49,6 +51,9 @@ DOMAIN_VIEWS = ("league", "pick0", "entry", "transfer", "player", "fixture", "te
 def days(c: Column) -> Column:
     return F.datediff(c.cast("date"), F.lit(BASE_DATE).cast("date"))
 
+# buckets of the entry tables that meet by (entry, week)
+ENTRY_BUCKETS = 16
+
 
 @dataclass
 class TestTables:
@@ -311,6 +316,25 @@ class TestTables:
             F.concat(F.lit("TEAM_"), F.col("id").cast("string")).alias("name")))
 
 
+    @property
+    def score_store(self) -> DataFrame:
+        """``score`` as the refresh keeps it: one partition per gameweek, so a
+        week's rows are read without the others (S9, S10)."""
+        def build():
+            path = f"{self.store}/score_store"
+            if not _exists(self.spark, f"{path}/_SUCCESS"):
+                refresh_gameweeks(self.score.hint("rebalance", "gameweek"), path)
+            return self.spark.read.parquet(path)
+        return self._view("score_store", build) if self.materialize else self.score
+
+    def entry_store(self, name: str, key: tuple[str, str]) -> DataFrame:
+        """A table of entry weeks, bucketed and sorted by (entry, week)."""
+        def build():
+            return bucketed(getattr(self, name), f"{landing_path(self.spark, 'entry-store')}/{name}", key,
+                            ENTRY_BUCKETS)
+        return self._view(f"bucketed_{name}", build)
+
+
 _SHARED: dict = {}
 _SHARED_LOCK = threading.Lock()
 

@@ -74,3 +74,27 @@ def test_variants_return_rows(spark, sf_small):
         assert not E.queries()[key](spark, sf_small).isEmpty(), key
     status = {r.status for r in E.queries()["gameweek_status_midseason"](spark, sf_small).collect()}
     assert status == {"summary", "current", "not yet played"}
+
+
+def test_current_week_reads_one_partition(spark, sf_small, tmp_path):
+    for key in ("points_of_current_week", "gameweek_stats"):
+        filters = plan_text(E.queries()[key](spark, sf_small)).split("PartitionFilters: ")[1].split("]")[0]
+        assert "gameweek" in filters and "Subquery" in filters, key
+    # The files of the other weeks are no parquet: reading any of them would fail.
+    from squadron.sources.sinks import refresh_gameweeks
+    rows = spark.range(100).select(F.col("id").alias("player_id"), (F.col("id") % 5 + 1).cast("int").alias("gameweek"),
+                                   F.lit(3).alias("total_points"))
+    refresh_gameweeks(rows, str(tmp_path / "store"))
+    for f in (tmp_path / "store").rglob("*.parquet"):
+        if "gameweek=4" not in str(f):
+            f.write_bytes(b"x" * 64)
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    current = spark.range(5).select((F.max("id")).cast("int")).scalar()
+    store = spark.read.schema(rows.schema).parquet(str(tmp_path / "store"))
+    assert points_by_gameweek(store, gameweek=current).count() == 20
+
+
+def test_bucketed_entry_tables_meet_without_an_exchange(spark, sf_small):
+    df = E.queries()["entry_store_weeks"](spark, sf_small)
+    p = plan_text(df)
+    assert "Exchange" not in p and p.count("SortMergeJoin") == 2 and "Bucketed: true" in p
