@@ -3,7 +3,12 @@
 The fixed patterns find assignments, access keys and long hexadecimal runs.
 Two first-order Markov models over the characters of keys are trained on the
 whole corpus: one on the strings that the patterns labelled as secrets, one on
-all other runs of key characters (ordinary words and identifiers).  Any run of
+all other runs of key characters (ordinary words) and on identifiers spelt from
+these words: joined in capitals, by capital letters, by separators, followed by
+digits, and rules of one separator.  A transition that a model has seen too
+rarely backs off to that of the two characters' classes (capitals, small
+letters, digits, separators) and to any character, with fixed weights, so that
+what is merely rare in this corpus is no secret.  Any run of
 at least ``MIN_RUN`` key characters outside the patterns' spans is a secret
 where the log-likelihood ratio a character exceeds ``MIN_RATIO``; where that of
 the whole run does not, so are the parts of at least ``MIN_RUN`` characters
@@ -33,6 +38,11 @@ from squadron.llm.rows import annotate
 MIN_RUN = 16
 MIN_RATIO = 0.5
 MIN_LABELLED = 20  # transitions of labelled secrets, below which nothing is learnt
+#: Weights of a model's own transitions against its class transitions, and of any character at all.
+OWN_ORDINARY, ANY_ORDINARY = 0.9, 0.01
+OWN_SECRET, ANY_SECRET = 0.3, 0.5
+#: Identifier words that a digit follows or precedes, and the share of two digits in a row.
+DIGIT_SHARE, DIGITS_SHARE = 0.05, 0.1
 KINDS = ("assign", "access", "hex", "markov")
 
 # The base patterns, their words and least lengths, and the characters of keys.
@@ -46,8 +56,13 @@ _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _SEPARATORS = _KEY.index(b"+")  # the codes from here on
 
 _SIZE = len(_KEY)
-_CODE = np.full(256, -1, dtype=np.int64)
+_OUTSIDE = _SIZE  # the code of all other characters
+_CODE = np.full(256, _OUTSIDE, dtype=np.int64)
 _CODE[np.frombuffer(_KEY, dtype=np.uint8)] = np.arange(_SIZE)
+_CAPITALS, _SMALL, _DIGITS = np.arange(26), np.arange(26, 52), np.arange(52, 62)
+_MARKS = np.arange(_SEPARATORS, _SIZE)
+#: Characters x classes.
+_CLASS = np.eye(4)[np.repeat(np.arange(4), [len(c) for c in (_CAPITALS, _SMALL, _DIGITS, _MARKS)])]
 _HEX_CLASS = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 
 SPANS = "spans array<struct<start: bigint, kind: int, stop: bigint>>"
@@ -67,7 +82,8 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Transitions (model, cell, n): model 1 is that of the labelled secrets."""
+    """Transitions (model, cell, n): model 1 is that of the labelled secrets.
+    Model 0 also counts where runs of key characters begin and end."""
     for part in T.pieces(batches, "text"):
         data, offsets = T.utf8(part.column("text"))
         raw = data.tobytes()
@@ -78,33 +94,74 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 labelled[a + stop] -= 1
         labelled = np.cumsum(labelled)[:-1] > 0
         code = _CODE[data]
-        joined = (code[:-1] >= 0) & (code[1:] >= 0)
+        inside = code != _OUTSIDE
+        joined = inside[:-1] | inside[1:]
         edge = offsets[1:-1] - 1
         joined[edge[(edge >= 0) & (edge < len(joined))]] = False
-        cell = code[:-1] * _SIZE + code[1:]
+        cell = code[:-1] * (_SIZE + 1) + code[1:]
         both, neither = labelled[:-1] & labelled[1:], ~labelled[:-1] & ~labelled[1:]
         for model, mask in ((0, joined & neither), (1, joined & both)):
-            n = np.bincount(cell[mask], minlength=_SIZE * _SIZE)
+            n = np.bincount(cell[mask], minlength=(_SIZE + 1) ** 2)
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(used), model, dtype=np.int32)), pa.array(used.astype(np.int32)),
                  pa.array(n[used].astype(np.int64))], ["model", "cell", "n"])
 
 
+def spelt(seen: np.ndarray) -> np.ndarray:
+    """Transitions of identifiers made of the words in ``seen`` (transitions
+    with the outside last): small letters stand for words in snake, camel and
+    lower case, so they count three times; what may follow a word counts alike."""
+    inner = sum(seen[np.ix_(a, b)] for a in (_CAPITALS, _SMALL) for b in (_CAPITALS, _SMALL))
+    first = seen[_OUTSIDE, _CAPITALS] + seen[_OUTSIDE, _SMALL]
+    last = seen[_CAPITALS, _OUTSIDE] + seen[_SMALL, _OUTSIDE]
+    words, marks, digits = first.sum(), len(_MARKS), len(_DIGITS)
+    out = np.zeros((_SIZE, _SIZE))
+    out[np.ix_(_SMALL, _SMALL)] = 3 * inner
+    out[np.ix_(_CAPITALS, _CAPITALS)] = inner
+    out[np.ix_(_CAPITALS, _SMALL)] = first[:, None] * inner / np.maximum(inner.sum(axis=1, keepdims=True), 1)
+    out[np.ix_(_SMALL, _CAPITALS)] = np.outer(last, first / max(words, 1))
+    for letters in (_CAPITALS, _SMALL):
+        out[np.ix_(letters, _MARKS)] = last[:, None] / marks
+        out[np.ix_(_MARKS, letters)] = first / marks
+        out[np.ix_(letters, _DIGITS)] = last[:, None] * DIGIT_SHARE / digits
+        out[np.ix_(_DIGITS, letters)] = first * DIGIT_SHARE / digits
+    out[_MARKS, _MARKS] = 2 * words / marks  # rules: a separator repeated
+    out[np.ix_(_DIGITS, _MARKS)] = words * DIGIT_SHARE / (digits * marks)
+    out[np.ix_(_MARKS, _DIGITS)] = words * DIGIT_SHARE / (digits * marks)
+    out[np.ix_(_DIGITS, _DIGITS)] = words * DIGITS_SHARE / digits ** 2
+    return out
+
+
+def chances(count: np.ndarray, own: float, any_: float) -> np.ndarray:
+    """Transition probabilities: a row's own counts (weight ``own``), backed off
+    to its class's transitions, equal within a class, and to any character
+    (weight ``any_`` of the whole); a row without counts has no part of its own."""
+    total = count.sum(axis=1, keepdims=True)
+    between = _CLASS.T @ count @ _CLASS + 1e-9
+    by_class = _CLASS @ (between / between.sum(axis=1, keepdims=True)) @ (_CLASS / _CLASS.sum(axis=0)).T
+    mixed = np.where(total > 0, own * count / np.maximum(total, 1e-9) + (1 - own) * by_class, by_class)
+    return (1 - any_) * mixed + any_ / _SIZE
+
+
+def log_ratio(count: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of every transition from the counts of both models."""
+    ordinary, secret = count[0], count[1, :_SIZE, :_SIZE]
+    return (np.log(chances(secret, OWN_SECRET, ANY_SECRET))
+            - np.log(chances(ordinary[:_SIZE, :_SIZE] + spelt(ordinary), OWN_ORDINARY, ANY_ORDINARY)))
+
+
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray | None:
     """The log-likelihood ratio of every transition, from all documents; None
     where too little is labelled."""
     rows = (docs.select(F.col(text_col).cast("string").alias("text"))
             .mapInArrow(_counts, "model int, cell int, n bigint")
-            .groupBy("model", "cell").agg(F.sum("n").alias("n")).collect())  # 2 x 67 x 67 rows at most
-    count = np.ones((2, _SIZE * _SIZE))
+            .groupBy("model", "cell").agg(F.sum("n").alias("n")).collect())  # 2 x 68 x 68 rows at most
+    count = np.zeros((2, (_SIZE + 1) ** 2))
     for r in rows:
         count[r["model"], r["cell"]] += r["n"]
-    if count[1].sum() - _SIZE * _SIZE < MIN_LABELLED:
-        return None
-    count = count.reshape(2, _SIZE, _SIZE)
-    chance = np.log(count / count.sum(axis=2, keepdims=True))
-    return chance[1] - chance[0]
+    count = count.reshape(2, _SIZE + 1, _SIZE + 1)
+    return log_ratio(count) if count[1, :_SIZE, :_SIZE].sum() >= MIN_LABELLED else None
 
 
 def _likely(text: bytes, start: int, stop: int, ratio: np.ndarray) -> list[tuple[int, int]]:
