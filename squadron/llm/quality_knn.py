@@ -7,14 +7,19 @@ reduced to ``LATENT`` directions; the labelled vectors are broadcast (at most
 ``SAMPLE`` x ``LATENT`` floats).  Every document's vector is compared with all
 of them by blocked cosine products, and the ``NEIGHBOURS`` most similar vote,
 weighted by similarity and by how many labelled rows a sampled row stands for.
+Similarities are compared to ``PLACES`` decimals; where more are equal than
+may vote, those with the smallest ids (as text) do.  Vectors are rounded, too,
+and products are made in double precision, so a score does not depend on the
+texts that a task happens to compare at once.
 
 The only bounded step is the labelled sample: ``SAMPLE`` rows at most, half of
 each label where there are enough, chosen by a hash of the id.
 
 Defined results: a null text is scored as an empty one; without labelled rows
 every score is 0.5; with one label only, the score is that label; null labels
-and labelled ids without a document teach nothing; repeated rows score alike;
-other columns are kept.
+and labelled ids without a document teach nothing; a labelled id with several
+texts teaches the smallest of them (null first); repeated rows score alike; a
+null id is not held out; other columns are kept.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from squadron.llm.rows import annotate
 SAMPLE = 4000
 LATENT = 48
 NEIGHBOURS = 25
+PLACES = 5
 SHARPNESS = 4.0
 THRESHOLD = 0.3
 BINS = 1024
@@ -100,9 +106,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row, ascending; the first among equals."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, [-k]]
+    above, equal = near > least, near == least
+    left = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | equal & (np.cumsum(equal, axis=1) <= left))[1].reshape(len(near), k)
+
+
 @dataclass
 class Model:
-    """Term weights, projection, and the labelled latent vectors."""
+    """Term weights, projection, and the labelled latent vectors by id."""
 
     idf: np.ndarray
     basis: np.ndarray
@@ -122,21 +136,21 @@ class Model:
         return model
 
     def _terms(self, raw: np.ndarray) -> np.ndarray:
+        raw = raw.astype(np.float64)
         return np.concatenate((_unit(raw[:, :BINS] * self.idf), _unit(raw[:, BINS:]) * SHAPE_WEIGHT), axis=1)
 
     def latent(self, raw: np.ndarray) -> np.ndarray:
-        return _unit(self._terms(raw) @ self.basis).astype(np.float32)
+        return np.round(_unit(self._terms(raw) @ self.basis), PLACES + 1)
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         out = np.full(len(raw), 0.5)
         if not len(self.vectors):
             return out
         k = min(NEIGHBOURS, len(self.vectors))
-        own = self.latent(raw)
-        for a in range(0, len(own), BLOCK):
-            near = own[a:a + BLOCK] @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
+        for a in range(0, len(raw), BLOCK):
+            near = np.round(self.latent(raw[a:a + BLOCK]) @ self.vectors.T, PLACES)
+            top = nearest(near, k)
+            vote = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6) ** SHARPNESS
             vote *= self.weights[top]
             out[a:a + BLOCK] = (vote * self.labels[top]).sum(axis=1) / vote.sum(axis=1)
         return np.clip(out, 0, 1)
@@ -165,11 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             kind = pa.list_(pa.float32())
             ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.ListArray.from_arrays(ends, pa.array(x.ravel())).cast(kind)], ["label", "x"])
+                [part.column("id"), part.column("label"), pa.ListArray.from_arrays(ends, pa.array(x.ravel())).cast(kind)],
+                ["id", "label", "x"])
 
     # chosen is bounded by `sample`, hence the broadcast; so are the rows collected.
-    rows = (text.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text")
-            .mapInArrow(raw, "label int, x array<float>").toArrow())
+    rows = (text.join(F.broadcast(chosen), "id").groupBy(F.col("id").cast("string").alias("id"), "label")
+            .agg(F.min("text").alias("text"), F.bool_or(F.col("text").isNull()).alias("none"))
+            .select("id", "label", F.when(~F.col("none"), F.col("text")).alias("text"))
+            .mapInArrow(raw, "id string, label int, x array<float>").toArrow().sort_by("id"))
     if not rows.num_rows:
         return None
     x = np.stack([np.asarray(v.values) for v in rows.column("x")]).astype(np.float32)
@@ -180,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def held_out(id_col: str):
     """Rows that teach nothing: crc32 of the id's text modulo 5 is 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
