@@ -8,7 +8,9 @@ words and to code points of the original.
 
 The automaton is built in each worker from the window strings, whose total
 size is checked: beyond ``AUTOMATON_BYTES`` the windows are dealt by hash over
-several automata, and the same rows pass through one after the other.
+several automata, and the same rows pass through one after the other.  The
+windows are a stage table; the driver holds and sends those of one automaton at
+a time, whose rows are written before the next one's are read.
 
 Defined results: null texts and items have no words; a null item id is
 reported as the string ``null`` by the query; an empty benchmark hits nothing; repeated
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from squadron.llm import textkit as T
 from squadron.llm.rows import annotate
+from squadron.session import stage_table
 
 WINDOW = 10
 #: Window text in one automaton; about 60 bytes of memory a byte.
@@ -50,19 +53,19 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary())], ["item", "win"])
 
 
-def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple]]:
+def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple]]:
     """(window, its item ids) in groups of at most AUTOMATON_BYTES each (a
-    little more, as a hash deals them).  The benchmark is read by the tasks;
-    its distinct windows are what the driver holds and sends out."""
-    rows = (benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
-                             F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(_item_windows, "item string, win binary")
-            .groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    little more, as a hash deals them), one after the other."""
+    rows = stage_table(
+        benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
+                         F.col(text_col).cast("string").alias("text"))
+        .mapInArrow(_item_windows, "item string, win binary")
+        .groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items")), "leak-windows")
     size = rows.agg(F.sum(F.length("win"))).first()[0] or 0
     groups = -(-size // AUTOMATON_BYTES)
-    return [[(bytes(r["win"]), tuple(r["items"]))
-             for r in rows.filter(F.pmod(F.xxhash64("win"), F.lit(groups)) == g).toLocalIterator()]
-            for g in range(groups)]
+    for g in range(groups):
+        found = rows.filter(F.pmod(F.xxhash64("win"), F.lit(groups)) == g)
+        yield [(bytes(r["win"]), tuple(r["items"])) for r in found.toLocalIterator()]
 
 
 _built: dict[str, object] = {}
@@ -129,35 +132,39 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                    item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Columns ``row`` (the input row), n_words, n_hit, items (ids as sorted
     strings) and spans (hit runs of words, code points, stop exclusive)."""
-    spark = docs.sparkSession
-    groups = windows(benchmark, item_col, item_text_col) or [[]]
-    sent = [spark.sparkContext.broadcast(g) for g in groups]
+    context, groups = docs.sparkSession.sparkContext, windows(benchmark, item_col, item_text_col)
 
-    def work(held):
-        key = uuid.uuid4().hex
+    def work(group):
+        held, key = context.broadcast(group), uuid.uuid4().hex
 
         def start():
             machine = _automaton(key, held.value) if held.value else None
             return lambda column: scan(machine, column)
-        return start
-
-    out = annotate(docs, text_col, SPANS, work(sent[0]))
-    for held in sent[1:]:
-        out = _merged(out, text_col, work(held))
+        return held, start
+
+    group = next(groups, [])
+    held, start = work(group)
+    out = annotate(docs, text_col, SPANS, start)
+    for group in groups:
+        out = stage_table(out, "leak-hits")  # read from here on, so that the last group may go
+        held.unpersist()
+        held, start = work(group)
+        out = _merged(out, text_col, start)
     return out
 
 
 def _merged(found: DataFrame, text_col: str, work) -> DataFrame:
     """Another automaton over the same rows, its hits joined to those before."""
-    flat = found.select("row.*", F.struct("n_words", "n_hit", "items", "spans").alias("__before"))
-    more = annotate(flat, text_col, SPANS, work)
-    before = F.col("row.__before")
+    beside = found.select("row", F.struct("n_words", "n_hit", "items", "spans").alias("before"),
+                          F.col("row").getField(text_col).cast("string").alias("text"))
+    more = annotate(beside, "text", SPANS, work)
+    before = F.col("row.before")
     both = F.array_sort(F.concat(before["spans"], F.col("spans")))
     return more.select(
-        F.col("row").dropFields("__before").alias("row"), "n_words",
+        F.col("row.row").alias("row"), "n_words",
         F.array_sort(F.array_union(before["items"], F.col("items"))).alias("items"),
-        _union_runs(both).alias("spans"), F.col(f"row.{text_col}").alias("__text")).select(
-        "row", "n_words", _words_in("__text", "spans").alias("n_hit"), "items", "spans")
+        _union_runs(both).alias("spans"), F.col("row.text").alias("text")).select(
+        "row", "n_words", _words_in("text", "spans").alias("n_hit"), "items", "spans")
 
 
 def _union_runs(spans):
