@@ -18,6 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from squadron.llm.license_texts import texts
+from squadron.session import stage_table
+
+#: Bytes of digests and licence ids up to which every task gets the whole table.
+SENT_BYTES = 8 << 20
 
 # Licence texts and notices (whole texts and single lines are both looked up).
 KNOWN = [
@@ -86,23 +90,34 @@ def known_digests(licenses: DataFrame) -> DataFrame:
             .filter("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id")))
 
 
+def sent(known: DataFrame) -> DataFrame:
+    """The digest table, with the broadcast hint where its bytes allow it."""
+    known = stage_table(known, "license-digests")
+    size = known.agg(F.sum(F.length("digest") + F.length("license_id"))).first()[0] or 0
+    return F.broadcast(known) if size <= SENT_BYTES else known
+
+
 def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """doc_id, digest, license_id (of the whole text), n_notices (lines that are
     a known text) and notices (their distinct licence ids, sorted array)."""
     if licenses is None:
         licenses = docs.sparkSession.createDataFrame(KNOWN, "license_id string, text string")
-    known = known_digests(licenses)
+    known = sent(known_digests(licenses))
     rows = (docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
-            .select("doc_id", "lines", digest(F.col("lines")).alias("digest")))
-    hits = (rows.select("doc_id", "digest", F.posexplode("lines").alias("line", "one"))
-            .select("doc_id", F.col("digest").alias("text_digest"), "line", F.sha2("one", 256).alias("digest"))
-            .join(known, "digest")
-            # Rows that repeat an id and a text have the same line numbers, so each counts its own.
-            .groupBy("doc_id", "text_digest")
-            .agg(F.count_distinct("line").alias("n_notices"),
+            .select("doc_id", "lines", digest(F.col("lines")).alias("text_digest")))
+    lines = F.coalesce(F.transform("lines", lambda s: F.sha2(s, 256)), F.array().cast("array<string>"))
+    # Place 0 is the whole text, so each row stays whatever is found in it.
+    found = stage_table(
+        rows.select("doc_id", "text_digest",
+                    F.posexplode(F.concat(F.array("text_digest"), lines)).alias("place", "digest"))
+        .join(known, "digest", "left").filter("place = 0 or license_id is not null")
+        .select("doc_id", "text_digest", "place", "license_id"), "license-hits")
+    # Rows that repeat an id and a text have the same line numbers, so each counts its own.
+    hits = (found.filter("place > 0").groupBy("doc_id", "text_digest")
+            .agg(F.count_distinct("place").alias("n_notices"),
                  F.sort_array(F.collect_set("license_id")).alias("notices")))
-    whole = rows.select("doc_id", "digest").join(known, "digest", "left")
+    whole = found.filter("place = 0").select("doc_id", F.col("text_digest").alias("digest"), "license_id")
     return (whole.join(hits, whole["doc_id"].eqNullSafe(hits["doc_id"]) & (whole["digest"] == hits["text_digest"]),
                        "left")
             .select(whole["doc_id"], "digest", "license_id", F.coalesce("n_notices", F.lit(0)).alias("n_notices"),
