@@ -17,7 +17,9 @@ the bucket's leader first, the class that shares most buckets with others; only
 buckets that still hold classes of different components are looked at again,
 small ones pair by pair, the others by prefix and positional filtering (rarest
 shingles first), which is exact.  So a large group of near copies costs a star,
-not all its pairs.
+not all its pairs.  What is gathered for each bucket is written before it meets
+the bucket's members: Spark then sends it by its measured size, or splits a
+crowded bucket over tasks (it splits no join whose other side is an aggregate).
 
 Defined results: a null or wordless text has an empty set and is linked with
 nothing; a null id is linked with nothing and kept; rows that repeat an id are
@@ -163,14 +165,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           "near-classes")
     spread = stage_table(classes.select("node", "n_shingles", F.explode("bands").alias("band")), "near-bands")
 
-    sizes = spread.groupBy("band").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    sizes = stage_table(spread.groupBy("band").agg(F.count("*").alias("crowd")).filter("crowd > 1"), "near-sizes")
     member = stage_table(spread.join(sizes, "band"), "near-members")
     central = stage_table(member.groupBy("node").agg(F.sum("crowd").alias("central")), "near-central")
     sets = stage_table(source.join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
         _sets, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, members array<bigint>"), "near-sets")
 
     ranked = member.join(central, "node")
-    leader = ranked.groupBy("band").agg(F.max(F.struct("central", "node", "n_shingles")).alias("leader"))
+    leader = stage_table(ranked.groupBy("band").agg(F.max(F.struct("central", "node", "n_shingles")).alias("leader")),
+                         "near-leaders")
     pairs = (member.join(leader, "band").filter("node <> leader.node")
              .select(F.col("node").alias("a"), F.col("n_shingles").alias("n"),
                      F.col("leader.node").alias("b"), F.col("leader.n_shingles").alias("m"))
@@ -180,8 +183,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     grouped = (member.join(joined, "node", "left")
                .select("node", "n_shingles", "band", "crowd", F.coalesce("component", "node").alias("group")))
-    open_ = grouped.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
-    rest = stage_table(grouped.join(open_.select("band"), "band", "left_semi"), "near-rest")
+    open_ = stage_table(grouped.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+                        .filter("low < high").select("band"), "near-open")
+    rest = stage_table(grouped.join(open_, "band", "left_semi"), "near-rest")
     few = rest.filter(F.col("crowd") <= BUCKET_PAIRS).withColumn("place", F.lit(0))
     pairs = _across(few, "band").union(_across(_prefixes(rest.filter(F.col("crowd") > BUCKET_PAIRS), sets), "token"))
     found = stage_table(_verified(stage_table(pairs.distinct(), "near-pairs"), sets), "near-links")
