@@ -25,7 +25,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 @_query
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(_read(spark, sf_dir, "pages").select("page_id", "url")).select(
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, labelled=url_rules.labelled_by(pages)).select(
         "row.page_id", "host", "path", "rule", "verdict")
 
 

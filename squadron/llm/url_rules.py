@@ -5,7 +5,10 @@ where the URL's path starts with the rule's; the longest entry wins.  URLs that
 no entry fits are judged by association rules.  A URL is a basket of tokens
 (host, its parent domains, path segments that are no numbers, query keys);
 FP-growth over labelled baskets finds token combinations, of which those whose
-rule ``tokens -> label`` has the support and confidence are kept.  They are
+rule ``tokens -> label`` has the support and confidence are kept, where the
+URLs that bear the rule out were labelled for ``MIN_CAUSES`` different causes:
+what only one cause teaches (one list entry, one host) says nothing of URLs
+that it does not reach.  They are
 matched by an inverted index: each rule is filed under its rarest token, a
 URL's tokens look their rules up, and a rule holds where all its tokens are
 there.  The rule of highest confidence decides, then the larger support, the
@@ -13,8 +16,8 @@ longer rule, and its text.
 
 All work is DataFrame and ML functions.  Defined results: a null URL or one
 without ``://`` has an empty host and path, fits nothing and is allowed;
-without labelled URLs nothing is mined; repeated rows are judged alike; other
-columns are kept in ``row``.
+without labelled URLs nothing is mined; a null label or cause teaches nothing;
+repeated rows are judged alike; other columns are kept in ``row``.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
          ("block", "net/es/"), ("block", "net/fr/")]
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.95
+MIN_CAUSES = 2
 DEFAULT = "allow"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,10 +71,27 @@ def tokens() -> Column:
     return F.array_distinct(F.concat(F.when(F.col("host") != "", hosts).otherwise(F.array()), segments, keys))
 
 
+def labelled_by(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str = "url") -> DataFrame:
+    """The URLs that a rule list decides: url, label (the verdict), cause (the rule)."""
+    return (with_parts(pages, url_col)
+            .select("url", listed(rules, "verdict").alias("label"), listed(rules, "rule").alias("cause"))
+            .filter("label is not null"))
+
+
+def _baskets(labelled: DataFrame) -> DataFrame:
+    """tokens, label, cause of rows with url, label and, if given, cause (else the host is the cause)."""
+    cause = F.col("row.cause").cast("string") if "cause" in labelled.columns else F.col("host")
+    return (with_parts(labelled).select(tokens().alias("tokens"), F.col("row.label").cast("string").alias("label"),
+                                        cause.alias("cause"))
+            .filter("label is not null and cause is not null"))
+
+
 def mine(labelled: DataFrame) -> DataFrame:
-    """Rules (antecedent, verdict, confidence, support, filed) from rows with
-    ``tokens`` and ``label``; ``filed`` is the antecedent's rarest token."""
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    """Rules (antecedent, verdict, confidence, support, filed, causes) from rows
+    with ``tokens``, ``label`` and ``cause``; ``filed`` is the antecedent's rarest
+    token.  The rows are written once, as FP-growth reads them several times."""
+    taught = stage_table(labelled.select("tokens", "label", "cause"), "url-baskets")
+    baskets = taught.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)
     found = (model.associationRules.filter(F.col("consequent")[0].startswith("label:"))
              .filter(~F.exists("antecedent", lambda t: t.startswith("label:")))
@@ -81,7 +102,12 @@ def mine(labelled: DataFrame) -> DataFrame:
     filed = (found.withColumn("token", F.explode("antecedent")).join(count, "token")
              .groupBy("antecedent", "verdict", "confidence", "support")
              .agg(F.min(F.struct("freq", "token"))["token"].alias("filed")))
-    return stage_table(filed, "url-index")
+    filed = stage_table(filed, "url-filed")
+    causes = (taught.select("tokens", "label", "cause", F.explode("tokens").alias("filed")).join(filed, "filed")
+              .filter((F.col("label") == F.col("verdict")) & (F.size(F.array_except("antecedent", "tokens")) == 0))
+              .groupBy("antecedent", "verdict").agg(F.count_distinct("cause").alias("causes"))
+              .filter(F.col("causes") >= MIN_CAUSES))
+    return stage_table(filed.join(causes, ["antecedent", "verdict"]), "url-index")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -98,16 +124,12 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] = RULES,
           labelled: DataFrame | None = None) -> DataFrame:
     """row, host, path, rule, verdict, because, confidence.  ``labelled`` has
-    url and label (allow or block); by default the URLs that the list decides
-    are the labelled ones."""
+    url, label (allow or block) and, if known, cause (why it has the label; else
+    its host); by default the URLs that the list decides (``labelled_by``)."""
     parts = with_parts(pages, url_col)
     known = (parts.select("row", "url", "host", "path", listed(rules, "rule").alias("rule"),
                           listed(rules, "verdict").alias("listed"), tokens().alias("tokens")))
-    if labelled is None:
-        taught = known.filter("listed is not null").select("tokens", F.col("listed").alias("label"))
-    else:
-        taught = with_parts(labelled).select(tokens().alias("tokens"), F.col("row.label").alias("label")) \
-            .filter("label is not null")
+    taught = _baskets(labelled_by(pages, rules, url_col) if labelled is None else labelled)
     open_urls = known.filter("rule is null").select("url", "tokens")
     mined = matched(open_urls, mine(taught))
     return (known.join(mined, "url", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import brute
@@ -169,6 +170,48 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0)).collect() == []
 
 
+def test_url_rules_mined_by_counting_itemsets(spark):
+    """The mined rules against all token combinations of the baskets, counted one by one."""
+    r = random.Random(11)
+    rows = []
+    for k in range(120):
+        have = sorted(t for t in "abcdef" if r.random() < 0.45)
+        label = "block" if {"a", "b"} <= set(have) or ("c" in have and r.random() < 0.97) else "allow"
+        rows.append((have, label, f"cause{0 if 'd' in have else r.randrange(3)}"))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string, cause string")
+    want = {}
+    for size in range(1, 7):
+        for combination in itertools.combinations("abcdef", size):
+            holding = [(v, c) for t, v, c in rows if set(combination) <= set(t)]
+            for verdict in ("allow", "block"):
+                borne = [c for v, c in holding if v == verdict]
+                if (len(borne) >= url_rules.MIN_SUPPORT * len(rows) and borne
+                        and len(borne) / len(holding) >= url_rules.MIN_CONFIDENCE
+                        and len(set(borne)) >= url_rules.MIN_CAUSES):
+                    want[combination, verdict] = (len(borne) / len(holding), len(borne) / len(rows), len(set(borne)))
+    count = {t: sum(t in have for have, _, _ in rows) for t in "abcdef"}
+    got = url_rules.mine(labelled).collect()
+    assert len(want) > 5 and any("d" in t for t, _ in want) is False
+    assert {(tuple(g["antecedent"]), g["verdict"]): (g["confidence"], g["support"], g["causes"]) for g in got} \
+        == {k: pytest.approx(v) for k, v in want.items()}
+    assert all(g["filed"] == min(g["antecedent"], key=lambda t: (count[t], t)) for g in got)
+
+
+def test_url_rules_of_one_cause_are_left_out(spark):
+    urls = [f"http://h{k % 7}.example.com/en/{k}" for k in range(40)]
+    urls += [f"http://h{k % 7}.net/{('es', 'fr')[k % 2]}/x" for k in range(40)]
+    urls += [f"http://www.example.com/en/{k}" for k in range(3)] + [f"http://h{k}.org/de/{k}" for k in range(5)]
+    urls += ["http://elsewhere.org/en/1", "http://elsewhere.net/de/1"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id int, url string")
+    got = {r["url"]: r for r in url_rules.judge(pages).select("row.url", "rule", "verdict", "because").collect()}
+    assert got["http://elsewhere.org/en/1"]["verdict"] == "allow"  # only example.com/en/ blocks English pages
+    assert got["http://elsewhere.net/de/1"]["verdict"] == "block"  # net/es/ and net/fr/ both block that domain
+    assert "host:net" in got["http://elsewhere.net/de/1"]["because"]
+    odd = spark.createDataFrame([(None, "block", "a"), ("http://b.net/x", None, "b"), ("http://b.net/x", "block", None)],
+                                "url string, label string, cause string")
+    assert url_rules.judge(pages, labelled=odd).filter("because is not null").count() == 0
+
+
 def test_pieces_equal_the_library_and_come_back(spark, docs):
     import sentencepiece
 
