@@ -61,6 +61,10 @@ def test_bounded_broadcast(spark):
     assert "BroadcastHashJoin" in p_small
     # over the bound: no hint is added, the planner decides by size
     assert bounded_broadcast(big, max_rows=20) is big
+    wide = spark.range(3).selectExpr("id", "repeat('x', 1000) AS text")
+    assert bounded_broadcast(wide, max_bytes=2000) is wide
+    assert bounded_broadcast(wide, max_bytes=4000) is not wide
+    assert bounded_broadcast(wide.limit(0)) is not None
 
 
 @pytest.mark.parametrize("key", ["captain_counts", "basic_stats", "outliers", "most_owned"])
