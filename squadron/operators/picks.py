@@ -73,7 +73,8 @@ def weekly_squads(pick: DataFrame, score: DataFrame, with_lists: bool = False) -
         pair = F.struct(F.col("position").alias("p"), F.col("player_id").alias("i"),
                         F.col("points").alias("v"))
         aggs.append(F.array_sort(F.collect_list(F.when(starter, pair))).alias("__s"))
-    out = sp.groupBy("entry_id", "gw").agg(*aggs)
+    # dealt by squad first: behind the join on players a squad's picks are far apart
+    out = sp.repartition("entry_id", "gw").groupBy("entry_id", "gw").agg(*aggs)
     if with_lists:
         out = (out.withColumn("players", F.transform("__s", lambda s: s["i"]))
                .withColumn("points_breakdown", F.transform("__s", lambda s: s["v"]))
@@ -128,9 +129,18 @@ def points_breakdown(pick: DataFrame, score: DataFrame) -> DataFrame:
 
 def captain_vice_points(pick: DataFrame, score: DataFrame) -> DataFrame:
     """Captain points x2 (triple captain included, Q8), vice x1, 0 when absent."""
-    return weekly_squads(pick, score).select(
-        "entry_id", F.col("gw").alias("gameweek"), "captain", "vice_captain",
-        "captain_points", "vice_captain_points")
+    role = F.coalesce(F.col("is_captain") | F.col("is_vice_captain"), F.lit(False))
+    cols = ["entry_id", "gw", "player_id", "is_captain", "is_vice_captain"]
+    # Only captains and vices need their points; the others stand for their squad.
+    marked = lookup_points(pick.where(role).select(*cols), score).select(*cols, "points")
+    others = pick.where(~role).select("entry_id", "gw").distinct()
+    rows = marked.unionByName(others, allowMissingColumns=True)
+    cap, vice = F.col("is_captain"), F.col("is_vice_captain")
+    return rows.repartition("entry_id", "gw").groupBy("entry_id", F.col("gw").alias("gameweek")).agg(
+        F.max(F.when(cap, F.col("player_id"))).alias("captain"),
+        F.max(F.when(vice, F.col("player_id"))).alias("vice_captain"),
+        F.coalesce(F.max(F.when(cap, F.col("points") * 2)), F.lit(0)).cast("int").alias("captain_points"),
+        F.coalesce(F.max(F.when(vice, F.col("points"))), F.lit(0)).cast("int").alias("vice_captain_points"))
 
 
 def highest_scoring_player(pick: DataFrame, score: DataFrame) -> DataFrame:
