@@ -46,12 +46,18 @@ def _long(df: DataFrame, section: str, **cols) -> DataFrame:
     return df.selectExpr(*exprs)
 
 
-def league_weekly_report(t, population: str = "transferred", materialize: bool = True) -> DataFrame:
-    """R1 over all leagues and weeks.  ``t`` provides the domain tables
-    (entry, pick, score, league, standings, transfer, auto_sub)."""
+def week_frame(t, materialize: bool = True) -> DataFrame:
+    """The weekly scores that every part reads, staged with ``materialize``."""
     ws = weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=False, points=False)
-    if materialize:
-        ws = stage_table(ws, "weekly_scores")
+    return stage_table(ws, "weekly_scores") if materialize else ws
+
+
+def league_weekly_report(t, population: str = "transferred", materialize: bool = True,
+                         ws: DataFrame | None = None) -> DataFrame:
+    """R1 over all leagues and weeks.  ``t`` provides the domain tables
+    (entry, pick, score, league, standings, transfer, auto_sub); ``ws`` the
+    weekly scores where the caller has them already."""
+    ws = week_frame(t, materialize) if ws is None else ws
     j1 = transfers.entry_transfer_join(ws, t.transfer, t.score, t.league, population)
     if materialize:
         j1 = stage_table(j1, "entry_transfer_join")
@@ -150,9 +156,11 @@ def report_pages(report: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
     items = report.select(
         *G, "section", F.coalesce(first, F.lit(0)).cast("bigint").alias("first"),
         F.coalesce("player_id", F.ascii("label").cast("bigint"), F.lit(0)).alias("then"), item.alias("item"))
-    placed = position_rank(items, [*G, "section"], "first", "then", out="place", stage=True)
-    pages = (placed.withColumn("page", F.floor((F.col("place") - 1) / page_items).cast("int"))
-             .groupBy(*G, "section", "page")
+    placed = position_rank(items, [*G, "section"], "first", "then", out="place")
+    # dealt by page first: behind the ranks a page's items are far apart
+    pages = (placed.select(*G, "section", F.floor((F.col("place") - 1) / page_items).cast("int").alias("page"),
+                           "place", "item")
+             .repartition(*G, "section", "page").groupBy(*G, "section", "page")
              .agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("l"))
              .select(*G, "section", "page", F.transform("l", lambda x: x["item"]).alias("l")))
     skeleton = report.where("section = 'league_name'").select(*G, F.posexplode(
@@ -165,6 +173,6 @@ def report_pages(report: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
 
 def league_report_documents(t, page_items: int = PAGE_ITEMS) -> DataFrame:
     """The report's documents for all leagues and weeks, promoted vices included."""
-    ws = weekly_scores(t.entry, t.pick, t.score, t.league, with_rank=False, points=False)
-    whole = league_weekly_report(t).unionByName(promoted_vice_part(ws, t.score))
+    ws = week_frame(t)
+    whole = league_weekly_report(t, ws=ws).unionByName(promoted_vice_part(ws, t.score))
     return report_pages(stage_table(whole, "report-items"), page_items)
