@@ -109,13 +109,15 @@ def season_wrap(entry: DataFrame, pick: DataFrame, score: DataFrame) -> DataFram
     average, highest and lowest week (ties: earliest), chips used, most
     captained player (ties: lowest id) and how often the vice was promoted
     because the captain played 0 minutes."""
-    e = entry.groupBy("entry_id").agg(
+    e = entry.select("entry_id", "gw", "total_points", "active_chip").repartition("entry_id").groupBy("entry_id").agg(
         F.avg("total_points").alias("season_average"),
         F.min(F.struct((-F.col("total_points")).alias("v"), "gw")).alias("hi"),
         F.min(F.struct(F.col("total_points").alias("v"), "gw")).alias("lo"),
         F.array_sort(F.collect_set("active_chip")).alias("chips_used"))
     caps = pick.where(F.col("is_captain"))
-    cap_counts = caps.groupBy("entry_id", "player_id").agg(F.count(F.lit(1)).alias("n"))
+    # dealt by entry once, for both counts
+    cap_counts = (caps.select("entry_id", "player_id").repartition("entry_id")
+                  .groupBy("entry_id", "player_id").agg(F.count(F.lit(1)).alias("n")))
     top_cap = cap_counts.groupBy("entry_id").agg(
         F.min(F.struct((-F.col("n")).alias("neg"), "player_id")).alias("c"))
     mins = score.select(F.col("player_id"), F.col("gameweek").alias("gw"), "minutes")
