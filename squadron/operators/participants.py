@@ -151,7 +151,7 @@ def participant_history(standings: DataFrame, entry: DataFrame) -> DataFrame:
     total, league rank, overall rank (all entries that week, skew-safe) and
     bench points / transfer cost when the entry played."""
     per_entry = standings.select("entry", "gw", "event_total", "total").distinct()
-    overall = position_rank(per_entry, ["gw"], "total", "entry", out="overall_rank")
+    overall = position_rank(per_entry, ["gw"], "total", "entry", out="overall_rank", stage=True)
     e = entry.select(F.col("entry_id").alias("entry"), "gw", "points_on_bench", "event_transfers_cost")
     return (standings.select("league_id", "entry", "gw", "rank")
             .join(overall, ["entry", "gw"]).join(e, ["entry", "gw"], "left")
