@@ -178,10 +178,10 @@ def common_to(squads: DataFrame, pick: DataFrame, keys) -> DataFrame:
     ``squads`` has the group's ``keys``, entry_id and gameweek, a squad once (an
     intersection as group-by-having)."""
     p = pick.select("entry_id", F.col("gw").alias("gameweek"), "player_id")
-    size = squads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_squads"))
-    owned = squads.join(p, ["entry_id", "gameweek"]).groupBy(*keys, "player_id").agg(
-        F.count(F.lit(1)).alias("n"))
-    return owned.join(size, list(keys)).where(F.col("n") == F.col("n_squads")).select(*keys, "player_id", "n_squads")
+    size = squads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_squads")).where(F.col("n_squads") >= least)
+    owned = squads.join(size, list(keys)).join(p, ["entry_id", "gameweek"]).groupBy(
+        *keys, "player_id", "n_squads").agg(F.count(F.lit(1)).alias("n"))
+    return owned.where(F.col("n") == F.col("n_squads")).select(*keys, "player_id", "n_squads")
 
 
 def common_players(ws: DataFrame, pick: DataFrame, top: int = 3) -> DataFrame:

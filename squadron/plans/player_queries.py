@@ -11,6 +11,7 @@ from squadron.plans.oracle_common import WS_CTES, WS_VIEWS
 from squadron.plans.registry import register
 from squadron.plans.transfer_queries import SPAN, current_week
 from squadron.plans.weekly import ws_of
+from squadron.session import stage_table
 from squadron.sources.testdata import tables
 
 HALF = "CASE WHEN {g} <= 18 THEN 1 ELSE 2 END"
@@ -421,8 +422,8 @@ def q_common_players_by_captain(spark, sf_dir):
     """The chosen squads are those that share a captain."""
     t = tables(spark, sf_dir)
     keys = ["league_id", "gameweek", "captain"]
-    chosen = ws_of(t).where(F.col("captain").isNotNull()).select(*keys, "entry_id")
-    return participants.common_to(chosen, t.pick, keys).where(F.col("n_squads") > 1)
+    chosen = stage_table(ws_of(t).where(F.col("captain").isNotNull()).select(*keys, "entry_id"), "captained")
+    return participants.common_to(chosen, t.pick, keys, least=2)
 
 
 @register("owned_counts", with_views(
