@@ -51,7 +51,6 @@ def participant_report(entry: DataFrame, pick: DataFrame, score: DataFrame,
     p = player_payloads(pick, score, player)
     points = F.coalesce(F.col("payload.score.total_points"), F.lit(0))
     starter = F.col("multiplier") > 0
-    placed = F.struct(F.col("position"), F.col("player_id"), points.alias("points"))
 
     def listed(cond):
         return F.array_sort(F.collect_list(F.when(cond, placed)))
@@ -59,6 +58,13 @@ def participant_report(entry: DataFrame, pick: DataFrame, score: DataFrame,
     def only(cond, value):
         return F.max_by(F.when(cond, value), F.when(cond, F.col("player_id")))
 
+    # Only starters, captains and vices can be reported as a whole.  The picks are
+    # dealt by squad first: behind the joins on players a squad's picks are far apart.
+    whole = F.coalesce(starter, F.lit(False)) | F.coalesce(F.col("is_captain") | F.col("is_vice_captain"), F.lit(False))
+    p = p.select("entry_id", "gw", "player_id", "position", "multiplier", "is_captain", "is_vice_captain",
+                 points.alias("points"), F.when(whole, F.col("payload")).alias("payload")).repartition("entry_id", "gw")
+    points = F.col("points")
+    placed = F.struct("position", "player_id", "points")
     squads = p.groupBy("entry_id", "gw").agg(
         listed(starter).alias("s"), listed(F.col("multiplier") == 0).alias("b"),
         only(F.col("is_captain"), F.col("payload")).alias("captain"),
@@ -173,10 +179,11 @@ def league_shield(ws: DataFrame, pick: DataFrame) -> DataFrame:
             .select(*G, "player_id", "n_entries"))
 
 
-def common_to(squads: DataFrame, pick: DataFrame, keys) -> DataFrame:
-    """The players in every one of the chosen squads of each group;
-    ``squads`` has the group's ``keys``, entry_id and gameweek, a squad once (an
-    intersection as group-by-having)."""
+def common_to(squads: DataFrame, pick: DataFrame, keys, least: int = 1) -> DataFrame:
+    """The players in every one of the chosen squads of each group of at
+    least ``least`` squads; ``squads`` has the group's ``keys``, entry_id and
+    gameweek, a squad once (an intersection as group-by-having).  Groups that
+    are too small are left out before any pick is read."""
     p = pick.select("entry_id", F.col("gw").alias("gameweek"), "player_id")
     size = squads.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_squads")).where(F.col("n_squads") >= least)
     owned = squads.join(size, list(keys)).join(p, ["entry_id", "gameweek"]).groupBy(
