@@ -85,13 +85,17 @@ LEADER_METRICS = ["total_points", "expected_goals", "expected_goals_conceded", "
 
 def gameweek_leaders(score: DataFrame, player: DataFrame, metrics=LEADER_METRICS) -> DataFrame:
     """T7 (Q15 fixed: decimals sort as numbers): per gameweek and metric the
-    top player (ties by player id).  The metrics are stacked long first, so
-    one top-1 window (a WindowGroupLimit) serves all of them."""
+    top player (ties by player id).  The metrics are stacked long first and
+    reduced to the first player of each value, so one top-1 window (a
+    WindowGroupLimit) over that small table serves all of them."""
     stack = F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
     long_ = score.select("player_id", "gameweek", stack.alias("m")).select(
         "player_id", "gameweek", "m.metric", "m.value")
-    top = top_k(long_, ["gameweek", "metric"], [F.col("value").desc(), F.col("player_id")], 1)
+    # The first player of each value (no id before any id): a small table, so no row is sorted.
+    first = F.when(F.bool_or(F.col("player_id").isNull()), F.lit(None)).otherwise(F.min("player_id"))
+    values = long_.groupBy("gameweek", "metric", "value").agg(first.alias("player_id"))
+    top = top_k(values, ["gameweek", "metric"], [F.col("value").desc(), F.col("player_id")], 1)
     info = player.select("player_id", "half", "player_name", "team")
     return (top.withColumn("half", season_half("gameweek"))
             .join(info, ["player_id", "half"], "left")
